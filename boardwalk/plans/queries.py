@@ -112,8 +112,8 @@ def tie_rank_table(spark, folder):
 
 @query
 def display_columns(spark, folder):
-    spread = F.when(F.col("team") % 5 != 0, F.col("projected_points") / 4)
-    players = frames.players(spark, folder).withColumn("uncertainty", F.coalesce(spread, F.lit(0.0)))
+    spread = F.col("projected_points") / (F.col("team") % 6 + 3)
+    players = frames.players(spark, folder).withColumn("uncertainty", spread)
     board = risk.spread_risk(risk.add_interval(players))
     code = F.when(F.col("team") % 2 == 0, F.upper("risk")).otherwise(F.col("risk"))
     verdict = S.risk_verdict(code)
@@ -320,7 +320,7 @@ def temporal_weight(spark, folder):
     return (
         frames.season_points(spark, folder)
         .groupBy("player_id")
-        .agg(F.round(mean, 6).alias("weighted_points"), F.count(F.lit(1)).alias("n_seasons"))
+        .agg(F.round(mean, 8).alias("weighted_points"), F.count(F.lit(1)).alias("n_seasons"))
     )
 
 
@@ -329,7 +329,7 @@ def shrink_mean(spark, folder):
     last = frames.season_points(spark, folder).filter(F.col("season") == NEWEST_SEASON)
     base = frames.customers(spark, folder).join(last.select("player_id", "y"), "player_id", "left")
     pulled = features.shrink_to_group(base, "y", keep=0.6)
-    return pulled.select("player_id", "position", F.round("projected_points", 6).alias("projected_points"))
+    return pulled.select("player_id", "position", F.round("projected_points", 8).alias("projected_points"))
 
 
 @query
@@ -436,7 +436,7 @@ def quantile_base(spark, folder):
     predictions, quantiles = residual_interval(spark, folder, TEST_SEASON)
     test = predictions.filter(F.col("season") == TEST_SEASON)
     bounds = conformal.raw_interval(test, quantiles, ["position"])
-    return bounds.select("player_id", "position", *[F.round(c, 6).alias(c) for c in ("lo", "hi")])
+    return bounds.select("player_id", "position", *[F.round(c, 8).alias(c) for c in ("lo", "hi")])
 
 
 @query
@@ -457,7 +457,7 @@ def conformal_interval(spark, folder):
         .select(
             "position",
             "n",
-            F.round("margin", 6).alias("margin"),
+            F.round("margin", 8).alias("margin"),
             F.round("raw", 6).alias("raw_coverage"),
             F.round("coverage", 6).alias("coverage"),
         )
@@ -491,7 +491,7 @@ def event_rows(spark, folder, kind: str) -> DataFrame:
 
 
 def user_list(spark, folder) -> DataFrame:
-    """The list before the events: every second customer by nation, signed up at the start."""
+    """The list before the events: the customers of the first nations, signed up at the start."""
     return (
         frames.customers(spark, folder)
         .filter(F.col("team") < 12)
