@@ -119,5 +119,5 @@ def signup_conversion(signups_with_next: DataFrame, within_days: int, by: Sequen
     return signups_with_next.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_signups"),
         F.count_if(paid).alias("n_converted"),
-        F.round(F.avg(paid.cast("double")), 6).alias("conversion"),
+        F.avg(paid.cast("double")).alias("conversion"),
     )

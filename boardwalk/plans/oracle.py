@@ -176,10 +176,10 @@ SQL: dict[str, str] = {
           select position, max(pts) as top_pts, max(case when rn = n then pts end) as replacement_pts,
             max(slots) as slots, count(*) as n_players, max(n) as starters_needed,
             round(avg(case when rn <= n then pts end)
-              - avg(case when rn > n and rn <= 2 * n then pts end), 4) as tier_gap
+              - avg(case when rn > n and rn <= 2 * n then pts end), 6) as tier_gap
           from ranked group by position)
-        select position, top_pts, replacement_pts, round(top_pts - replacement_pts, 4) as dropoff,
-          round((top_pts - replacement_pts) / slots, 4) as dropoff_per_slot, tier_gap, n_players, starters_needed,
+        select position, top_pts, replacement_pts, round(top_pts - replacement_pts, 6) as dropoff,
+          round((top_pts - replacement_pts) / slots, 6) as dropoff_per_slot, tier_gap, n_players, starters_needed,
           cast(row_number() over (order by tier_gap desc nulls last, position) as integer) as scarcity_rank
         from g""",
     "vbd": f"""with {RANKED},
@@ -208,7 +208,7 @@ SQL: dict[str, str] = {
     "risk_quartile": f"""with {SPREAD},
         w as (select *, (ci_high - ci_low) / pts as cv from bounds),
         q as (select position, quantile_cont(cv, 0.25) as q1, quantile_cont(cv, 0.75) as q3 from w group by position)
-        select player_id, w.position, round(cv, 6) as cv,
+        select player_id, w.position, cv,
           case when cv <= q1 then 'low' when cv >= q3 then 'high' else 'medium' end as risk
         from w join q on w.position = q.position""",
     "bye_join": """with named as (
@@ -268,10 +268,10 @@ SQL: dict[str, str] = {
           as weighted_points, count(*) as n_seasons
         from seas group by player_id""",
     "shrink_mean": f"""with {SEASONS},
-        b as (select c.player_id, c.position, s.y from cust c
+        b as (select c.player_id, c.position, s.cents from cust c
           left join seas s on c.player_id = s.player_id and s.season = 2001),
-        m as (select position, avg(y) as mean from b group by position)
-        select player_id, b.position, round(coalesce(0.6 * y + 0.4 * mean, mean), 8) as projected_points
+        m as (select position, avg(cents) as mean from b group by position)
+        select player_id, b.position, coalesce(cast(0.6 as double) * cents + cast(0.4 as double) * mean, mean) as projected_points
         from b join m on b.position = m.position""",
     "scoring_profile": """select l_orderkey,
           round(sum(0.5 * l_quantity + 10 * l_discount - 5 * l_tax), 4) as points
@@ -320,7 +320,7 @@ SQL: dict[str, str] = {
         h as (
           select position, cast(cents / 1e5 between lo and hi as integer) as hit
           from ord join b on ord.player_id = b.player_id join cust on ord.player_id = cust.player_id)
-        select position, count(*) as n, round(avg(hit), 6) as coverage, round(abs(avg(hit) - 0.8), 6) as coverage_error
+        select position, count(*) as n, avg(hit) as coverage, abs(avg(hit) - 0.8) as coverage_error
         from h group by position""",
     "quantile_base": f"""with {SEASONS},
         q as (
@@ -342,8 +342,8 @@ SQL: dict[str, str] = {
           from b where season = 2000),
         m as (select position, score as margin from s where rn = ceil((n + 1) * 0.8))
         select b.position, count(*) as n, round(max(margin), 8) as margin,
-          round(avg(cast(y between lo and hi as integer)), 6) as raw_coverage,
-          round(avg(cast(y between lo - margin and hi + margin as integer)), 6) as coverage
+          avg(cast(y between lo and hi as integer)) as raw_coverage,
+          avg(cast(y between lo - margin and hi + margin as integer)) as coverage
         from b join m on b.position = m.position where season = 2001 group by b.position""",
     "upsert_latest": f"""with {EVENTS}, {LISTED}
         select user_id, source, event_id from heard where newest = 1
@@ -381,7 +381,7 @@ SQL: dict[str, str] = {
             and p.ts > src.ts and p.ts <= src.ts + interval 7 days) as paid
           from src where event_type = 'signup')
         select source, count(*) as n_signups, count(*) filter (paid) as n_converted,
-          round(avg(cast(paid as integer)), 6) as conversion
+          avg(cast(paid as integer)) as conversion
         from s group by source""",
     "stream_payment": PROFILES,
     "stream_signup": EMAIL_LIST,

@@ -152,7 +152,7 @@ def board_union(spark, folder):
 @query
 def scarcity_table(spark, folder):
     needed = scarcity.starters_needed(roster_config(spark))
-    return scarcity.scarcity(frames.players(spark, folder), needed, digits=4)
+    return scarcity.scarcity(frames.players(spark, folder), needed, digits=6)
 
 
 @query
@@ -212,7 +212,7 @@ def interval_risk(spark, folder):
 @query
 def risk_quartile(spark, folder):
     board = risk.quartile_risk(risk.add_interval(spread_frame(spark, folder)))
-    return board.select("player_id", "position", F.round("cv", 6).alias("cv"), "risk")
+    return board.select("player_id", "position", "cv", "risk")
 
 
 # Features
@@ -327,9 +327,9 @@ def temporal_weight(spark, folder):
 @query
 def shrink_mean(spark, folder):
     last = frames.season_points(spark, folder).filter(F.col("season") == NEWEST_SEASON)
-    base = frames.customers(spark, folder).join(last.select("player_id", "y"), "player_id", "left")
-    pulled = features.shrink_to_group(base, "y", keep=0.6)
-    return pulled.select("player_id", "position", F.round("projected_points", 8).alias("projected_points"))
+    base = frames.customers(spark, folder).join(last.select("player_id", "cents"), "player_id", "left")
+    pulled = features.shrink_to_group(base, "cents", keep=0.6)
+    return pulled.select("player_id", "position", "projected_points")
 
 
 @query
@@ -419,9 +419,7 @@ def coverage(spark, folder):
         "player_id", S.interval_low("_m", spread).alias("lo"), S.interval_high("_m", spread).alias("hi")
     )
     who = frames.customers(spark, folder).select("player_id", "position").join(bounds, "player_id")
-    covered = metrics.coverage(orders.join(who, "player_id"), ["position"])
-    figures = ("coverage", "coverage_error")
-    return covered.select("position", "n", *[F.round(c, 6).alias(c) for c in figures])
+    return metrics.coverage(orders.join(who, "player_id"), ["position"])
 
 
 def residual_interval(spark, folder, before: int) -> tuple[DataFrame, DataFrame]:
@@ -458,8 +456,8 @@ def conformal_interval(spark, folder):
             "position",
             "n",
             F.round("margin", 8).alias("margin"),
-            F.round("raw", 6).alias("raw_coverage"),
-            F.round("coverage", 6).alias("coverage"),
+            F.col("raw").alias("raw_coverage"),
+            "coverage",
         )
     )
 
