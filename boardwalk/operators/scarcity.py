@@ -36,7 +36,7 @@ def starters_needed(config: DataFrame) -> DataFrame:
 
 def flex_positions(config: DataFrame) -> DataFrame:
     """Rows (position) of the groups that may fill the flex slot."""
-    return config.select(F.upper(F.explode("flex_eligible")).alias("position"))
+    return config.select(F.explode(F.transform("flex_eligible", F.upper)).alias("position"))
 
 
 def _deepest(starters: DataFrame) -> int:

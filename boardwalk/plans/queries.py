@@ -22,7 +22,7 @@ from boardwalk.operators import (
     walkforward,
 )
 from boardwalk.plans import frames
-from boardwalk.session import scratch_path
+from boardwalk.session import materialise, scratch_path
 from boardwalk.streaming import ingest
 
 LIMITS = {"AUTOMOBILE": 32, "BUILDING": 50, "FURNITURE": 60, "HOUSEHOLD": 24, "MACHINERY": 32}
@@ -61,7 +61,7 @@ def roster_config(spark: SparkSession) -> DataFrame:
 
 def money_rank(df: DataFrame) -> DataFrame:
     """Players with the average ranks of their points and of their balance."""
-    valued = df.withColumn("projected_points", S.or_zero("projected_points"))
+    valued = materialise(df.withColumn("projected_points", S.or_zero("projected_points")))
     ranked = ranking.average_rank(valued, "projected_points", "avg_rank")
     return ranking.average_rank(ranked.drop("adp"), "balance", "adp")
 
@@ -152,15 +152,14 @@ def board_union(spark, folder):
 @query
 def scarcity_table(spark, folder):
     needed = scarcity.starters_needed(roster_config(spark))
-    return scarcity.scarcity(frames.players(spark, folder), needed, digits=6)
+    return scarcity.scarcity(materialise(frames.players(spark, folder)), needed, digits=6)
 
 
 @query
 def vbd(spark, folder):
     needed = scarcity.starters_needed(roster_config(spark))
-    valued = scarcity.value_over_replacement(
-        frames.players(spark, folder), needed, without_level=("HOUSEHOLD",)
-    )
+    players = materialise(frames.players(spark, folder))
+    valued = scarcity.value_over_replacement(players, needed, without_level=("HOUSEHOLD",))
     return valued.select("player_id", "position", "projected_points", "vbd")
 
 
@@ -169,7 +168,7 @@ def remaining_board(spark, folder):
     """The replacement levels once the entities that bought something are drafted."""
     bought = frames.events(spark, folder).filter(F.col("event_type") == "purchase")
     picks = bought.select(F.col("user_id").alias("player_id"))
-    left = scarcity.remaining(frames.players(spark, folder), picks)
+    left = materialise(scarcity.remaining(frames.players(spark, folder), picks))
     needed = scarcity.starters_needed(roster_config(spark))
     levels = scarcity.replacement_levels(left, needed)
     sizes = rules.slice_counts(left, ["position"], "n_left")
@@ -211,7 +210,7 @@ def interval_risk(spark, folder):
 
 @query
 def risk_quartile(spark, folder):
-    board = risk.quartile_risk(risk.add_interval(spread_frame(spark, folder)))
+    board = risk.quartile_risk(materialise(risk.add_interval(spread_frame(spark, folder))))
     return board.select("player_id", "position", "cv", "risk")
 
 
@@ -347,20 +346,24 @@ def scoring_profile(spark, folder):
 
 def naive_predictions(spark, folder) -> DataFrame:
     """Player seasons predicted by the season before."""
-    lagged = features.season_lag(frames.season_points(spark, folder), ["y"])
-    who = frames.customers(spark, folder).select("player_id", "position", "adp")
-    known = lagged.filter(F.col("y_lag1").isNotNull())
-    return known.join(who, "player_id").select(
-        "player_id", "season", "position", "adp", "y", F.col("y_lag1").alias("y_hat")
-    )
+    return by_last_season(frames.player_seasons(spark, folder))
+
+
+def by_last_season(seasons: DataFrame) -> DataFrame:
+    lagged = features.season_lag(seasons, ["y"]).filter(F.col("y_lag1").isNotNull())
+    return lagged.select("player_id", "season", "position", "adp", "y", F.col("y_lag1").alias("y_hat"))
 
 
-def with_market(df: DataFrame) -> DataFrame:
-    return df.withColumn("adp", F.greatest("adp", F.lit(1.0)))
+def market_seasons(spark, folder) -> DataFrame:
+    """Player seasons with a market price of at least 1, as its logarithm is taken."""
+    return frames.player_seasons(spark, folder).withColumn("adp", F.greatest("adp", F.lit(1.0)))
 
 
-def baseline_coefficients(spark, folder) -> DataFrame:
-    return walkforward.log_market_baseline(with_market(frames.player_seasons(spark, folder)), TEST_SEASONS)
+def with_baseline(spark, folder) -> DataFrame:
+    """The test seasons' predictions by last season, and by the market as ``y_base``."""
+    seasons = materialise(market_seasons(spark, folder))
+    tested = by_last_season(seasons).filter(F.col("season").isin(*TEST_SEASONS))
+    return walkforward.predict_baseline(tested, walkforward.log_market_baseline(seasons, TEST_SEASONS))
 
 
 @query
@@ -370,16 +373,14 @@ def walk_forward(spark, folder):
 
 @query
 def log_baseline(spark, folder):
-    fitted = baseline_coefficients(spark, folder)
+    fitted = walkforward.log_market_baseline(market_seasons(spark, folder), TEST_SEASONS)
     rounded = [F.round(b, 4).alias(b) for b in ("b0", "b1", "b2")]
     return fitted.select("test_season", "position", "n_train", *rounded)
 
 
 @query
 def metrics_rollup(spark, folder):
-    tested = with_market(naive_predictions(spark, folder).filter(F.col("season").isin(*TEST_SEASONS)))
-    based = walkforward.predict_baseline(tested, baseline_coefficients(spark, folder))
-    table = metrics.season_metrics(based)
+    table = metrics.season_metrics(with_baseline(spark, folder))
     figures = ("mae", "rmse", "r2", "mae_base", "r2_base", "edge")
     return table.select("scope", "n_seasons", "n_rows", *[F.round(c, 6).alias(c) for c in figures])
 
@@ -387,9 +388,7 @@ def metrics_rollup(spark, folder):
 @query
 def model_choice(spark, folder):
     """The better of last season and the market baseline per segment, on pooled errors."""
-    tested = with_market(naive_predictions(spark, folder).filter(F.col("season").isin(*TEST_SEASONS)))
-    based = walkforward.predict_baseline(tested, baseline_coefficients(spark, folder))
-    both = based.select(
+    both = with_baseline(spark, folder).select(
         "position",
         "y",
         F.explode(
@@ -424,7 +423,7 @@ def coverage(spark, folder):
 
 def residual_interval(spark, folder, before: int) -> tuple[DataFrame, DataFrame]:
     """Naive predictions, and their residual quantiles over the seasons before ``before``."""
-    predictions = naive_predictions(spark, folder)
+    predictions = materialise(naive_predictions(spark, folder))
     train = predictions.filter(F.col("season") < before)
     return predictions, conformal.residual_quantiles(train, ["position"])
 
