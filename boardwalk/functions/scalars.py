@@ -170,5 +170,18 @@ def score(weights: Mapping[str, float]) -> Column:
     return reduce(lambda a, b: a + b, [or_zero(stat) * F.lit(float(w)) for stat, w in weights.items()])
 
 
+def without_nulls(items: Column | str) -> Column:
+    return F.array_compact(_col(items))
+
+
+def join_texts(items: Column | str, separator: str = "") -> Column:
+    return F.array_join(_col(items), separator)
+
+
+def may_fill_flex(position: Column | str, eligible: Column | str) -> Column:
+    """Whether the roster's flex list, written in lower case, names the position."""
+    return F.array_contains(_col(eligible), F.lower(_col(position)))
+
+
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from boardwalk.functions import scalars as S
 from boardwalk.operators.joins import join_small
+from boardwalk.operators.slices import SLICE, across, inside, sliced
 
-# Team codes that stand for the same team.
+# Team codes that stand for the same team, and the first season whose depth chart is
+# the one nearest to a date.
 TEAM_ALIASES = {"LA": "LAR", "JAC": "JAX", "WSH": "WAS"}
+NEAREST_DATE_SINCE = 2025
 
 
 def canonical_team(team: Column | str, aliases: Mapping[str, str] = TEAM_ALIASES) -> Column:
@@ -82,55 +85,51 @@ def asof_join(
     left_time: str,
     right_time: str,
     right_key: str,
-    slot: Column | None = None,
+    left_key: str,
     direction: str = "nearest",
 ) -> DataFrame:
     """For each left row the right row of the same keys that is nearest in time.
 
     ``direction`` is ``backward`` (at or before), ``forward`` (after) or ``nearest`` of the two; at
     equal distance the earlier one wins, at equal time the lower ``right_key``. Adds ``right_time``
-    and ``right_key``, null where there is none; the two time columns need different names.
+    and ``right_key``, null where there is none. ``left_key`` is unique among the left rows.
 
-    Each key is cut into time slots (a day each unless ``slot`` gives another increasing function
-    of the time column ``_t``). A slot is searched on its own, and what an empty side of a slot
-    needs is carried over from one summary row per slot. So a key with very many rows is spread
-    over its slots, and no pair of rows is ever formed.
+    Both sides are put in one order and searched slice by slice; what an end of a slice lacks is
+    carried over from the neighbouring slices of the key. No pair of rows is ever formed, and a key
+    with very many rows spans many slices.
     """
     if direction not in ("backward", "forward", "nearest"):
         raise ValueError(f"unknown direction {direction!r}")
     keys = list(by)
-    slot = F.to_date("_t") if slot is None else slot
     hit = F.struct(F.col("_t").alias("t"), F.col("_id").alias("id"))
     points = (
         right.filter(F.col(right_time).isNotNull())
         .groupBy(*keys, F.col(right_time).alias("_t"))
         .agg(F.min(right_key).alias("_id"))
-        .select(*keys, "_t", slot.alias("_slot"), hit.alias("_hit"))
+        .select(*keys, "_t", hit.alias("_hit"))
+    )
+    asks = left.select(
+        *keys, F.col(left_time).alias("_t"), F.col(left_key).alias("_ask"), F.struct(*left.columns).alias("_row")
     )
-    asks = left.select(*keys, F.col(left_time).alias("_t"), F.struct(*left.columns).alias("_row"))
-    asks = asks.withColumn("_slot", slot)
-    both = asks.unionByName(points, allowMissingColumns=True)
-
     # Points come before asks of the same time, so an equal time counts as backward.
-    inner = Window.partitionBy(*keys, "_slot").orderBy("_t", F.col("_row").isNotNull())
-    found = both.withColumn(
-        "_back", F.last("_hit", True).over(inner.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("_next", F.first("_hit", True).over(inner.rowsBetween(1, Window.unboundedFollowing)))
-    found = found.filter(F.col("_row").isNotNull())
-
-    slots = both.groupBy(*keys, "_slot").agg(F.min("_hit").alias("_first"), F.max("_hit").alias("_last"))
-    outer = Window.partitionBy(*keys).orderBy("_slot")
-    slots = slots.select(
-        *keys,
-        "_slot",
-        F.last("_last", True).over(outer.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", True).over(outer.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    order = [F.col("_t"), F.col("_ask").asc_nulls_first()]
+    both = sliced(asks.unionByName(points, allowMissingColumns=True), keys, order)
+
+    start, end = Window.unboundedPreceding, Window.unboundedFollowing
+    found = both.withColumn("_back", F.last("_hit", True).over(inside(order).rowsBetween(start, 0))).withColumn(
+        "_next", F.first("_hit", True).over(inside(order).rowsBetween(1, end))
+    )
+    ends = both.groupBy(*SLICE).agg(F.min("_hit").alias("_first"), F.max("_hit").alias("_last"))
+    ends = ends.select(
+        *SLICE,
+        F.last("_last", True).over(across().rowsBetween(start, -1)).alias("_before"),
+        F.first("_first", True).over(across().rowsBetween(1, end)).alias("_after"),
     )
-    placed = found.join(slots, [*keys, "_slot"], "left").select(
-        "_row",
-        "_t",
-        F.coalesce("_back", "_before").alias("_back"),
-        F.coalesce("_next", "_after").alias("_next"),
+    back, ahead = F.coalesce("_back", "_before"), F.coalesce("_next", "_after")
+    placed = (
+        found.filter(F.col("_row").isNotNull())
+        .join(ends, SLICE)
+        .select("_row", "_t", back.alias("_back"), ahead.alias("_next"))
     )
     back, ahead = F.col("_back"), F.col("_next")
     if direction == "backward":
@@ -147,6 +146,13 @@ def _instant(time: Column | str) -> Column:
     return F.unix_micros(F.to_timestamp(time))
 
 
+def snapshot_target(season: Column | str, week_one: Column | str) -> Column:
+    """The date a season's snapshot should be of: 5 September, in older seasons that of week 1."""
+    year = F.col(season) if isinstance(season, str) else season
+    opening = F.col(week_one) if isinstance(week_one, str) else week_one
+    return F.when(year >= NEAREST_DATE_SINCE, F.make_date(year, F.lit(9), F.lit(5))).otherwise(opening)
+
+
 def depth_snapshot(
     targets: DataFrame,
     snapshots: DataFrame,
@@ -156,9 +162,12 @@ def depth_snapshot(
     season: str = "season",
     payload: str = "depth_rank",
 ) -> DataFrame:
-    """The snapshot nearest to each entity's target date of the season; the earlier one on a tie."""
+    """The snapshot nearest to each entity's target date of the season; the earlier one on a tie.
+
+    ``targets`` has one row per entity and season.
+    """
     return asof_join(
-        targets, snapshots, [entity, season], target_date, snapshot_date, payload, slot=F.trunc("_t", "month")
+        targets, snapshots, [entity, season], target_date, snapshot_date, payload, left_key=entity
     )
 
 

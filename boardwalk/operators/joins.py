@@ -23,10 +23,10 @@ def join_small(
 
 
 def without(rows: DataFrame, taken: DataFrame, on: list[str]) -> DataFrame:
-    """Rows whose key is not in ``taken``."""
-    return rows.join(taken.select(*on), on, "left_anti")
+    """Rows whose key is not in ``taken``, whose keys are reduced to distinct ones before they move."""
+    return rows.join(taken.select(*on).distinct(), on, "left_anti")
 
 
 def having(rows: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose key is in ``kept``."""
-    return rows.join(kept.select(*on), on, "left_semi")
+    return rows.join(kept.select(*on).distinct(), on, "left_semi")

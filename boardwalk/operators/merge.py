@@ -26,8 +26,8 @@ def upsert(existing: DataFrame, changes: DataFrame, keys: Sequence[str], order:
 
 def new_rows(existing: DataFrame, offered: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The earliest offered row of each key that the table lacks."""
-    fresh = without(offered, existing, list(keys))
-    return earliest_per_key(fresh, keys, order).select(*existing.columns)
+    first = earliest_per_key(offered, keys, order).select(*existing.columns)
+    return without(first, existing, list(keys))
 
 
 def insert_ignore(

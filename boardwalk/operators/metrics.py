@@ -98,6 +98,11 @@ def season_metrics(
     return means.withColumn("edge", edge("mae", "mae_base"))
 
 
+def hit(actual: str, low: str, high: str) -> Column:
+    """1 for an outcome inside its interval, ends included, else 0."""
+    return F.col(actual).between(F.col(low), F.col(high)).cast("double")
+
+
 def coverage(
     df: DataFrame,
     groups: Sequence[str],
@@ -107,11 +112,11 @@ def coverage(
     target: float = 0.8,
 ) -> DataFrame:
     """Share of outcomes inside their interval, and how far that is from the target."""
-    hit = F.col(actual).between(F.col(low), F.col(high)).cast("double")
+    share = F.avg(hit(actual, low, high))
     return df.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(hit).alias("coverage"),
-        F.abs(F.avg(hit) - target).alias("coverage_error"),
+        share.alias("coverage"),
+        F.abs(share - target).alias("coverage_error"),
     )
 
 

@@ -1,8 +1,4 @@
-"""Ranks, top-k boards and model-against-market gaps.
-
-A full rank never sorts a whole group in one task: rows are range-partitioned by (group, order),
-each slice is numbered on its own, and the rows of the earlier slices of the group are added.
-"""
+"""Ranks, top-k boards and model-against-market gaps."""
 
 from __future__ import annotations
 
@@ -12,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardwalk.functions import scalars as S
-from boardwalk.session import materialise
+from boardwalk.operators.slices import weight_before
 
 # Board sizes, gap board size and least projection of a listed entity.
 BOARD_LIMITS = {"QB": 32, "RB": 50, "WR": 60, "TE": 24}
@@ -61,33 +57,6 @@ def position_boards(
     return top_per_group(df, [group], order, limits).withColumn("rank_label", S.rank_label(group, "rank"))
 
 
-def weight_before(
-    df: DataFrame, groups: Sequence[str], order: Sequence[Column], weight: Column, out: str
-) -> DataFrame:
-    """Adds the total ``weight`` of the rows that come earlier in the same group.
-
-    ``order`` has to be total within the group, so that range partitioning can split it anywhere.
-    """
-    columns = df.columns
-    sliced = materialise(
-        df.withColumn("_w", weight.cast("bigint"))
-        .repartitionByRange(*[F.col(g) for g in groups], *order)
-        .withColumn("_slice", F.spark_partition_id())
-        .withColumn("_g", F.struct(F.lit(0).alias("_"), *groups))
-    )
-    earlier = Window.partitionBy("_g").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.groupBy("_g", "_slice")
-        .agg(F.sum("_w").alias("_w"))
-        .select("_g", "_slice", F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_earlier"))
-    )
-    inside = Window.partitionBy("_g", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = sliced.withColumn("_inside", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-    return numbered.join(offsets, ["_g", "_slice"]).select(
-        *columns, (F.col("_earlier") + F.col("_inside")).alias(out)
-    )
-
-
 def row_rank(df: DataFrame, groups: Sequence[str], order: Sequence[Column], out: str = "rank") -> DataFrame:
     """1..n within each group; ``order`` has to end in a unique key."""
     columns = df.columns
@@ -117,10 +86,10 @@ def average_rank(
     """Rank of each row where ties share the mean of their places.
 
     Only distinct values are sorted. They are joined back by value, a join in which adaptive
-    execution splits a value that many rows share.
+    execution splits a value that many rows share. A row without a value has no rank.
     """
     ranks = tie_ranks(df, value, groups, descending).select(*groups, value, F.col("avg_rank").alias(out))
-    return df.join(ranks, [*groups, value])
+    return df.join(ranks, [*groups, value], "left")
 
 
 def value_gap(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardwalk.functions import scalars as S
+from boardwalk.operators.joins import having, without
 
 # Domains and defaults of the subscriber tables.
 PLANS = ("free", "paid")
@@ -64,14 +65,12 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Children whose parent is missing."""
-    known = parent.select(F.col(parent_key).alias(child_key))
-    return child.join(known, child_key, "left_anti")
+    return without(child, parent.select(F.col(parent_key).alias(child_key)), [child_key])
 
 
 def cascade(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """What is left of the children once those of deleted parents are gone."""
-    known = parent.select(F.col(parent_key).alias(child_key))
-    return child.join(known, child_key, "left_semi")
+    return having(child, parent.select(F.col(parent_key).alias(child_key)), [child_key])
 
 
 def visible_to(df: DataFrame, principal, owner: str = "id") -> DataFrame:

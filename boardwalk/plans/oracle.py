@@ -130,6 +130,17 @@ SQL: dict[str, str] = {
         select player_id, position, cast(rn as integer) as rank, position || rn as rank_label,
           printf('%.1f', projected_points) as points
         from r where rn <= k""",
+    "board_digest": f"""with {PLAYERS},
+        lim(position, k) as (values ('AUTOMOBILE', 32), ('BUILDING', 50), ('FURNITURE', 60),
+          ('HOUSEHOLD', 24), ('MACHINERY', 32)),
+        r as (
+          select p.position, k, p.position || row_number() over w || ' ' || player_name as line,
+            row_number() over w as rn
+          from players p join lim on p.position = lim.position where projected_points >= 20
+          window w as (partition by p.position order by projected_points desc, player_id))
+        select position, string_agg(line, ', ' order by rn) as board,
+          position in ('BUILDING', 'FURNITURE', 'HOUSEHOLD') as flex
+        from r where rn <= k group by position""",
     "avg_rank_gap": f"with {GAPS} select player_id, avg_rank, adp, adp_gap, model_rank, label from gaps",
     "gap_board": f"""with {GAPS},
         r as (select *, row_number() over (partition by label order by abs(adp_gap) desc, player_id) as rn from gaps)

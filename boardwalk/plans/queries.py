@@ -134,6 +134,21 @@ def display_columns(spark, folder):
     )
 
 
+@query
+def board_digest(spark, folder):
+    """Each board as one text, and whether its segment may fill the flex slot."""
+    board = ranking.position_boards(ranking.active(frames.players(spark, folder)), LIMITS)
+    line = F.struct("rank", F.concat("rank_label", F.lit(" "), "player_name").alias("text"))
+    boards = board.groupBy("position").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    eligible = F.array(*[F.lit(p) for p in ROSTER["flex_eligible"]])
+    texts = F.transform("lines", lambda entry: entry["text"])
+    return boards.select(
+        "position",
+        S.join_texts(S.without_nulls(texts), ", ").alias("board"),
+        S.may_fill_flex("position", eligible).alias("flex"),
+    )
+
+
 @query
 def board_union(spark, folder):
     suppliers = frames.table(spark, folder, "supplier").select(
@@ -256,7 +271,7 @@ def asof_nearest(spark, folder):
     views = events.filter(F.col("event_type") == "view").select(
         "user_id", F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id")
     )
-    joined = features.asof_join(asks, views, ["user_id"], "ts", "view_ts", "view_id")
+    joined = features.asof_join(asks, views, ["user_id"], "ts", "view_ts", "view_id", "event_id")
     apart = F.abs(F.unix_micros("ts") - F.unix_micros("view_ts"))
     return joined.select("event_id", "user_id", "view_id", apart.alias("micros_apart"))
 
@@ -446,18 +461,11 @@ def conformal_interval(spark, folder):
         bounded.filter(F.col("season") == CALIBRATION_SEASON), ["position"]
     )
     test = conformal.widen(bounded.filter(F.col("season") == TEST_SEASON), margins, ["position"])
-    raw = metrics.coverage(test, ["position"]).select("position", F.col("coverage").alias("raw"))
-    calibrated = metrics.coverage(test, ["position"], low="cal_lo", high="cal_hi")
+    hits = {"raw_coverage": metrics.hit("y", "lo", "hi"), "coverage": metrics.hit("y", "cal_lo", "cal_hi")}
     return (
-        calibrated.join(raw, "position")
-        .join(margins.select("position", "margin"), "position")
-        .select(
-            "position",
-            "n",
-            F.round("margin", 8).alias("margin"),
-            F.col("raw").alias("raw_coverage"),
-            "coverage",
-        )
+        test.groupBy("position")
+        .agg(F.count(F.lit(1)).alias("n"), *[F.avg(h).alias(name) for name, h in hits.items()])
+        .join(margins.select("position", F.round("margin", 8).alias("margin")), "position")
     )
 
 
@@ -598,7 +606,9 @@ def signup_conversion(spark, folder):
     paid = events.filter(F.col("event_type") == "purchase").select(
         "user_id", F.col("ts").alias("paid_ts"), F.col("event_id").alias("paid_id")
     )
-    joined = features.asof_join(signups, paid, ["user_id"], "ts", "paid_ts", "paid_id", direction="forward")
+    joined = features.asof_join(
+        signups, paid, ["user_id"], "ts", "paid_ts", "paid_id", "event_id", direction="forward"
+    )
     return merge.signup_conversion(joined, 7, ["source"])
 
 

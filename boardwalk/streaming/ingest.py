@@ -54,7 +54,13 @@ def fold_payments(payments: DataFrame) -> DataFrame:
 def payment_stream(
     events: DataFrame, path: str, checkpoint: str, delay: str = "7 days", once: bool = True
 ) -> StreamingQuery:
-    """Writes the completed payments of an event stream; other event types are passed over."""
+    """Writes the completed payments of an event stream.
+
+    Other event types are passed over, and counted per batch as ``n_ignored`` of the progress
+    report's ``payment_events``.
+    """
+    ignored = F.count_if(~F.col("type").eqNullSafe(merge.PAYMENT_TYPE))
+    events = events.observe("payment_events", F.count(F.lit(1)).alias("n_events"), ignored.alias("n_ignored"))
     payments = without_repeats(merge.completed_payments(events), delay=delay)
 
     def each_batch(rows: DataFrame, batch: int) -> None:

@@ -24,6 +24,16 @@ def spark():
     session.stop()
 
 
+@pytest.fixture
+def many_slices(spark):
+    """Keeps the small slices of test data apart, as those of large data are."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, before)
+
+
 @pytest.fixture
 def rows(spark):
     """Builds a DataFrame of tuples and a DDL schema."""

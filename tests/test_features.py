@@ -79,7 +79,7 @@ def brute_asof(asks, points, direction):
 
 @pytest.mark.parametrize("direction", ["nearest", "backward", "forward"])
 @pytest.mark.parametrize("seconds", [3600, 86400 * 40])
-def test_asof_against_brute_force(rows, direction, seconds):
+def test_asof_against_brute_force(rows, many_slices, direction, seconds):
     random.seed(5)
     start = datetime(2024, 1, 1)
     users = ["hot"] * 5 + ["b", "c"]
@@ -98,6 +98,7 @@ def test_asof_against_brute_force(rows, direction, seconds):
         "ts",
         "pts",
         "pid",
+        "aid",
         direction=direction,
     )
     assert values(found, "aid", "pid") == brute_asof(asks, points, direction)
@@ -107,10 +108,10 @@ def test_asof_against_brute_force(rows, direction, seconds):
 def test_asof_forms_no_pairs(rows):
     left = rows([(1, "a", datetime(2024, 1, 1))], "aid int, user string, ts timestamp")
     right = rows([("a", datetime(2024, 1, 2), 1)], "user string, pts timestamp, pid int")
-    plan = X.asof_join(left, right, ["user"], "ts", "pts", "pid")._jdf.queryExecution().executedPlan().toString()
+    plan = X.asof_join(left, right, ["user"], "ts", "pts", "pid", "aid")._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     with pytest.raises(ValueError):
-        X.asof_join(left, right, ["user"], "ts", "pts", "pid", direction="sideways")
+        X.asof_join(left, right, ["user"], "ts", "pts", "pid", "aid", direction="sideways")
 
 
 def test_depth_snapshot_earlier_on_a_tie_and_null_without_one(rows):
@@ -122,6 +123,12 @@ def test_depth_snapshot_earlier_on_a_tie_and_null_without_one(rows):
     assert values(X.depth_snapshot(targets, snaps), "player_id", "depth_rank") == [("a", 2), ("b", None)]
 
 
+def test_snapshot_target(rows):
+    df = rows([(2024, date(2024, 9, 8)), (2025, date(2025, 9, 7))], "season int, opening date")
+    found = df.select(X.snapshot_target("season", "opening").alias("d"))
+    assert values(found, "d") == [(date(2024, 9, 8),), (date(2025, 9, 5),)]
+
+
 def test_latest_and_earliest(rows):
     df = rows([("a", 1, 5, "x"), ("a", 2, 5, None), ("b", 1, 1, "z")], "k string, id int, t int, v string")
     assert values(X.latest_per_key(df, ["k"], ["t", "id"]), "k", "id", "v") == [("a", 2, None), ("b", 1, "z")]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from boardwalk.functions import scalars as S
 from boardwalk.operators import ranking as R
+from boardwalk.operators.slices import sliced
 
 
 @pytest.fixture
@@ -62,7 +63,14 @@ def skewed(rows, seed=3):
     return data, rows(data, "id int, g string, v double")
 
 
-def test_row_rank_is_a_permutation_in_order(rows):
+def test_a_hot_group_spans_slices(rows, many_slices):
+    _, df = skewed(rows)
+    found = sliced(df.filter("g = 'hot'"), ["g"], [F.col("v").desc(), F.col("id")])
+    sizes = [r["count"] for r in found.groupBy("_slice").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def test_row_rank_is_a_permutation_in_order(rows, many_slices):
     data, df = skewed(rows)
     ranked = R.row_rank(df, ["g"], [F.col("v").desc_nulls_last(), F.col("id")])
     expected = []
@@ -73,7 +81,7 @@ def test_row_rank_is_a_permutation_in_order(rows):
 
 
 @pytest.mark.parametrize("groups", [[], ["g"]])
-def test_average_ranks(rows, groups):
+def test_average_ranks(rows, many_slices, groups):
     data, df = skewed(rows)
     df = df.filter(F.col("g").isNotNull() & F.col("v").isNotNull())
     ranked = R.average_rank(df, "v", "avg_rank", groups)
@@ -88,6 +96,11 @@ def test_average_ranks(rows, groups):
         assert sum(v for _, v in expected) == n * (n + 1) / 2
 
 
+def test_a_row_without_a_value_is_kept_without_a_rank(rows):
+    df = rows([("a", 2.0), ("b", None), ("c", 2.0)], "id string, v double")
+    assert values(R.average_rank(df, "v", "r"), "id", "r") == [("a", 1.5), ("b", None), ("c", 1.5)]
+
+
 def test_gap_uses_the_uncut_rank_and_labels_by_sign(rows):
     df = rows(
         [("a", 19.5, 139.5), ("b", 19.5, 131.0), ("c", 142.0, 30.0), ("d", 50.0, 92.0), ("e", 50.0, 50.0), ("f", 1.0, None)],

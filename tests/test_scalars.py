@@ -99,3 +99,9 @@ def test_score_and_flags(rows):
     flags = S.starter_flags("depth")
     out = df.select(S.score({"rec": 0.5, "yards": 0.1}).alias("s"), *[c.alias(n) for n, c in flags.items()])
     assert values(out, "s", "is_starter", "is_backup") == [(0.0, 0, 0), (0.5, 0, 0), (1.0, 0, 1), (7.0, 1, 0)]
+
+
+def test_lists(rows):
+    df = rows([(["a", None, "b"], "RB"), ([], "QB"), (None, "TE")], "items array<string>, p string")
+    out = df.select(S.join_texts(S.without_nulls("items"), "-").alias("t"), S.may_fill_flex("p", F.array(F.lit("rb"), F.lit("te"))).alias("f"))
+    assert [tuple(r) for r in out.collect()] == [("a-b", True), ("", False), (None, True)]

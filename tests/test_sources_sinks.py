@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boardwalk import schemas
+from boardwalk.__main__ import main as command_line
 from boardwalk.plans import boards
 from boardwalk.sources import readers, sinks
 
@@ -128,6 +129,15 @@ def test_export_and_read_back(spark, data, rows, tmp_path):
         boards.season_points(stats, "unknown")
 
 
+def test_command_line(spark, data, rows, tmp_path, capsys):
+    command_line(["boards", str(data), str(tmp_path / "site")])
+    assert "wrote 7 board rows" in capsys.readouterr().out
+    stats = rows([("q1", "QB", 2025, 100.0, 4)], "player_id string, position string, season int, rec_yards double, receptions int")
+    stats.write.parquet(str(tmp_path / "stats"))
+    command_line(["export", str(tmp_path / "stats"), str(data), str(tmp_path / "out"), "--scoring", "ppr"])
+    assert values(spark.read.json(str(tmp_path / "out" / "season_points")), "points") == [(14.0,)]
+
+
 def test_append_new_keeps_the_first(spark, rows, tmp_path):
     path = str(tmp_path / "profiles")
     schema = "id string, at int"

@@ -41,7 +41,9 @@ def profiles(spark):
 
 def run_payments(spark, folder, out):
     stream = readers.read_event_stream(spark, str(folder), schemas.PAYMENT_EVENTS, maxFilesPerTrigger=1)
-    ingest.payment_stream(stream, str(out / "log"), str(out / "progress")).awaitTermination()
+    run = ingest.payment_stream(stream, str(out / "log"), str(out / "progress"))
+    run.awaitTermination()
+    return [p["observedMetrics"]["payment_events"] for p in run.recentProgress if p["numInputRows"]]
 
 
 def test_payments_with_repeats_and_late_events(spark, profiles, tmp_path):
@@ -49,7 +51,7 @@ def test_payments_with_repeats_and_late_events(spark, profiles, tmp_path):
     first = [payment("e2", 20, "u1", "draft"), payment("e3", 3, "u2"), payment("e4", 4, "u3", kind="other")]
     later = [payment("e1", 10, "u1"), payment("e2", 20, "u1", "draft"), payment("e9", 9, "ghost")]
     drop(events, "a.json", first)
-    run_payments(spark, events, out)
+    assert [(m["n_events"], m["n_ignored"]) for m in run_payments(spark, events, out)] == [(3, 1)]
     drop(events, "b.json", later)
     run_payments(spark, events, out)
     state = ingest.profiles_after_payments(profiles, str(out / "log"), F.lit(NOW))
