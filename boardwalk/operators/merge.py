@@ -18,23 +18,31 @@ FREE = "free"
 SEASON_PLAN = "season"
 
 
-def upsert(existing: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Last write wins: the latest change of a key replaces its row, other rows stay."""
-    latest = latest_per_key(changes, keys, order).select(*existing.columns)
-    return without(existing, latest, list(keys)).unionByName(latest)
+def _merged(existing: DataFrame, rows: DataFrame, keys: Sequence[str], first: str, second: str) -> DataFrame:
+    """Both tables, one row per key, in one join; of a key in both, the row of the ``first`` side."""
+    rest = [c for c in existing.columns if c not in keys]
+    old = existing.select(*keys, F.struct(*rest).alias("_old"))
+    new = rows.select(*keys, F.struct(*rest).alias("_new"))
+    both = old.join(new, list(keys), "full").select(*keys, F.coalesce(first, second).alias("_r"))
+    return both.select(*keys, "_r.*").select(*existing.columns)
 
 
-def new_rows(existing: DataFrame, offered: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The earliest offered row of each key that the table lacks."""
-    first = earliest_per_key(offered, keys, order).select(*existing.columns)
-    return without(first, existing, list(keys))
+def upsert(existing: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Last write wins: the latest change of a key replaces its row, other rows stay."""
+    return _merged(existing, latest_per_key(changes, keys, order), keys, "_new", "_old")
 
 
 def insert_ignore(
     existing: DataFrame, offered: DataFrame, keys: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
-    """First write wins: known keys keep their row."""
-    return existing.unionByName(new_rows(existing, offered, keys, order))
+    """First write wins: known keys keep their row, new ones get the earliest offered."""
+    return _merged(existing, earliest_per_key(offered, keys, order), keys, "_old", "_new")
+
+
+def new_rows(existing: DataFrame, offered: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Only the earliest offered row of each key that the table lacks."""
+    first = earliest_per_key(offered, keys, order).select(*existing.columns)
+    return without(first, existing, list(keys))
 
 
 def completed_payments(events: DataFrame) -> DataFrame:
@@ -79,9 +87,8 @@ def apply_payments(profiles: DataFrame, payments: DataFrame, at: Column | None =
 
 
 def with_profile(users: DataFrame, profiles: DataFrame, key: str = "id") -> DataFrame:
-    """Users with plan and plan type; a user without a profile is on the free season plan."""
-    plans = profiles.select(key, "plan", "plan_type")
-    return users.join(plans, key, "left").withColumns(
+    """Users with their profile; a user without one is on the free season plan."""
+    return users.join(profiles, key, "left").withColumns(
         {"plan": F.coalesce("plan", F.lit(FREE)), "plan_type": F.coalesce("plan_type", F.lit(SEASON_PLAN))}
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardwalk.functions import scalars as S
-from boardwalk.operators.slices import weight_before
+from boardwalk.operators.slices import place, weight_before
 
 # Board sizes, gap board size and least projection of a listed entity.
 BOARD_LIMITS = {"QB": 32, "RB": 50, "WR": 60, "TE": 24}
@@ -59,9 +59,7 @@ def position_boards(
 
 def row_rank(df: DataFrame, groups: Sequence[str], order: Sequence[Column], out: str = "rank") -> DataFrame:
     """1..n within each group; ``order`` has to end in a unique key."""
-    columns = df.columns
-    placed = weight_before(df, groups, order, F.lit(1), "_before")
-    return placed.select(*columns, (F.col("_before") + 1).alias(out))
+    return place(df, groups, order, out)
 
 
 def tie_ranks(

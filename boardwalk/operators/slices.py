@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boardwalk.operators.joins import join_small
 from boardwalk.session import materialise
 
 SLICE = ["_g", "_slice"]
@@ -28,6 +29,26 @@ def sliced(df: DataFrame, groups: Sequence[str], order: Sequence[Column]) -> Dat
     return materialise(ranged.withColumn("_slice", F.spark_partition_id()).withColumn("_g", group))
 
 
+def place(df: DataFrame, groups: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """Adds the 1-based place of each row in its group, at the cost of one shuffle.
+
+    Rows are sorted inside their slices, where ``monotonically_increasing_id`` numbers them: its
+    upper bits are the partition, its lower 33 bits the row. A slice's rows of a group then only
+    need a shift, which the few summary rows give.
+    """
+    keys = [F.col(g) for g in groups]
+    ordered = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    group = F.struct(F.lit(0).alias("_"), *groups)
+    rows = materialise(ordered.withColumn("_g", group).withColumn("_id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_slice", F.shiftright("_id", 33)).withColumn(
+        "_row", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    )
+    spans = rows.groupBy(*SLICE).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    earlier = F.sum("_n").over(across().rowsBetween(Window.unboundedPreceding, -1))
+    shifts = spans.select(*SLICE, (F.coalesce(earlier, F.lit(0)) + 1 - F.col("_first")).alias("_shift"))
+    return join_small(rows, shifts, SLICE).select(*df.columns, (F.col("_row") + F.col("_shift")).alias(out))
+
+
 def inside(order: Sequence[Column]):
     """The window of a slice."""
     return Window.partitionBy(*SLICE).orderBy(*order)

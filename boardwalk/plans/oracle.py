@@ -259,8 +259,8 @@ SQL: dict[str, str] = {
         d as (select player_id, row_number() over (partition by team order by balance desc, player_id) as depth
           from cust)
         select c.player_id, first_season, n_orders, n_events,
-          cast(n_orders is not null as integer) as has_1, cast(n_orders is not null as integer) as has_2,
-          cast(n_events is not null as integer) as has_3, cast(depth <= 2 as integer) as has_4,
+          cast(n_orders is not null as integer) as has_1, cast(n_events is not null as integer) as has_2,
+          cast(depth <= 2 as integer) as has_3,
           cast(coalesce(first_season = 2001, false) as integer) as is_rookie,
           cast(depth = 1 as integer) as is_starter, cast(depth = 2 as integer) as is_backup,
           n_events * cast(coalesce(first_season = 2001, false) as integer) as college_x_rookie

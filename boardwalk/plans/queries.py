@@ -289,8 +289,9 @@ def latest_assignment(spark, folder):
 def feature_merge(spark, folder):
     base = frames.customers(spark, folder).select("player_id", "position", "team", "balance")
     orders = frames.order_cents(spark, folder)
-    first = orders.groupBy("player_id").agg(F.min("season").alias("first_season"))
-    career = orders.groupBy("player_id").agg(F.count(F.lit(1)).alias("n_orders"))
+    draft = orders.groupBy("player_id").agg(
+        F.min("season").alias("first_season"), F.count(F.lit(1)).alias("n_orders")
+    )
     college = (
         frames.events(spark, folder)
         .groupBy(F.col("user_id").alias("player_id"))
@@ -299,7 +300,7 @@ def feature_merge(spark, folder):
     depth = ranking.top_per_group(
         base, ["team"], [F.col("balance").desc(), F.col("player_id")], 2, "depth_rank"
     ).select("player_id", "depth_rank")
-    merged = features.merge_features(base, [first, career, college, depth])
+    merged = features.merge_features(base, [draft, college, depth])
     rookie = F.coalesce((F.col("first_season") == NEWEST_SEASON).cast("int"), F.lit(0))
     merged = merged.withColumn("is_rookie", rookie).withColumns(S.starter_flags("depth_rank"))
     return merged.select(
@@ -310,7 +311,6 @@ def feature_merge(spark, folder):
         "has_1",
         "has_2",
         "has_3",
-        "has_4",
         "is_rookie",
         "is_starter",
         "is_backup",
@@ -536,7 +536,7 @@ def paid_profiles(spark, folder) -> DataFrame:
     return merge.apply_payments(frames.profiles(spark, folder), payments, F.lit(UPDATED).cast("timestamp"))
 
 
-def profile_columns(profiles: DataFrame) -> list[Column]:
+def profile_columns() -> list[Column]:
     times = [F.unix_micros(c).alias(f"{c}_us") for c in ("paid_at", "updated_at")]
     return [F.col("id"), F.col("plan"), F.col("plan_type"), F.col("season_paid"), *times]
 
@@ -544,12 +544,10 @@ def profile_columns(profiles: DataFrame) -> list[Column]:
 @query
 def payment_merge(spark, folder):
     """Every event's user with the plan after all payments; users without a profile are free."""
-    paid = paid_profiles(spark, folder)
-    users = frames.events(spark, folder).select(F.col("user_id").cast("string").alias("id")).distinct()
-    everyone = users.unionByName(paid.select("id")).distinct()
-    planned = merge.with_profile(everyone, paid)
-    details = paid.select("id", "season_paid", "paid_at", "updated_at")
-    return planned.join(details, "id", "left").select(*profile_columns(paid))
+    users = frames.events(spark, folder).select(F.col("user_id").cast("string").alias("id"))
+    everyone = users.unionByName(frames.profiles(spark, folder).select("id")).distinct()
+    planned = merge.with_profile(everyone, paid_profiles(spark, folder))
+    return planned.select(*profile_columns())
 
 
 @query
@@ -621,7 +619,7 @@ def stream_payment(spark, folder):
     run.awaitTermination()
     profiles = frames.profiles(spark, folder)
     paid = ingest.profiles_after_payments(profiles, f"{target}/log", F.lit(UPDATED).cast("timestamp"))
-    return paid.select(*profile_columns(paid))
+    return paid.select(*profile_columns())
 
 
 @query
