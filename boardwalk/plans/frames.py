@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boardwalk.schemas import WAREHOUSE
+
 # Shares of the 0..99 counter in an event's properties that stand for each sign-up source.
 SOURCE_FROM = {0: "landing", 40: "register", 60: "checkout_abandon", 70: "manual", 80: "unlisted", 90: ""}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(WAREHOUSE[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def cents(money: str) -> Column:
@@ -85,8 +87,8 @@ def event_rows(stored: DataFrame) -> DataFrame:
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The event files of the folder as a stream."""
-    schema = table(spark, folder, "events").schema
-    return event_rows(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder))
+    files = spark.readStream.schema(WAREHOUSE["events"]).option("pathGlobFilter", "events.parquet")
+    return event_rows(files.parquet(folder))
 
 
 def source_of(k: Column | str) -> Column:

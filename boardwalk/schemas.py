@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 _TEXT, _NUMBER, _INT, _TIME = T.StringType(), T.DoubleType(), T.IntegerType(), T.TimestampType()
+_LONG, _LOCAL_TIME = T.LongType(), T.TimestampNTZType()
 
 
 def _table(**columns: T.DataType) -> T.StructType:
@@ -78,3 +79,17 @@ PAYMENT_EVENTS = _table(
     data=_table(object=_table(metadata=_table(user_id=_TEXT, season=_TEXT, plan_type=_TEXT))),
 )
 PAYMENTS = _table(event_id=_TEXT, ts=_TIME, user_id=_TEXT, season=_TEXT, plan_type=_TEXT)
+
+# The warehouse tables, as far as the queries read them.
+WAREHOUSE = {
+    "nation": _table(n_nationkey=_INT, n_name=_TEXT, n_regionkey=_INT),
+    "customer": _table(c_custkey=_LONG, c_name=_TEXT, c_nationkey=_INT, c_acctbal=_NUMBER, c_mktsegment=_TEXT),
+    "supplier": _table(s_suppkey=_LONG, s_name=_TEXT, s_nationkey=_INT, s_acctbal=_NUMBER),
+    "orders": _table(o_orderkey=_LONG, o_custkey=_LONG, o_totalprice=_NUMBER, o_orderdate=_LOCAL_TIME),
+    "lineitem": _table(
+        l_orderkey=_LONG, l_linenumber=_INT, l_quantity=_NUMBER, l_discount=_NUMBER, l_tax=_NUMBER
+    ),
+    "events": _table(
+        event_id=_LONG, ts=_LOCAL_TIME, user_id=_LONG, event_type=_TEXT, value=_NUMBER, props=_TEXT
+    ),
+}
