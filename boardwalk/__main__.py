@@ -34,6 +34,7 @@ def main(arguments: list[str] | None = None) -> None:
     spark = build_session(f"boardwalk-{args.command}", master=args.master)
     if args.command == "boards":
         report = boards.publish(spark, args.data, args.site, datetime.now(UTC).replace(tzinfo=None))
+        print(f"{report['n_active']} active players, {report['n_gaps']} value gaps")
         print(f"wrote {report['n_rows']} board rows to {args.site}")
         return
     boards.export_static(

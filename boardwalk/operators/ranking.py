@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardwalk.functions import scalars as S
+from boardwalk.operators.joins import join_small
 from boardwalk.operators.slices import place, weight_before
 
 # Board sizes, gap board size and least projection of a listed entity.
@@ -83,11 +84,12 @@ def average_rank(
 ) -> DataFrame:
     """Rank of each row where ties share the mean of their places.
 
-    Only distinct values are sorted. They are joined back by value, a join in which adaptive
-    execution splits a value that many rows share. A row without a value has no rank.
+    Only distinct values are sorted. They are joined back by value: few of them, as of rounded
+    points, are broadcast; with many, adaptive execution splits a value that many rows share. A row
+    without a value has no rank.
     """
     ranks = tie_ranks(df, value, groups, descending).select(*groups, value, F.col("avg_rank").alias(out))
-    return df.join(ranks, [*groups, value], "left")
+    return join_small(df, ranks, [*groups, value])
 
 
 def value_gap(

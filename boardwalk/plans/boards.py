@@ -46,7 +46,7 @@ def ranking_rows(
     players: DataFrame, updated: datetime, limits: Mapping[str, int] = ranking.BOARD_LIMITS
 ) -> DataFrame:
     """The rows of all position boards, formatted for display after the top-k cut."""
-    top = ranking.position_boards(ranking.active(players), limits)
+    top = ranking.position_boards(players, limits)
     return top.select(
         F.concat(F.lower("position"), F.lit("-rankings")).alias("board"),
         "rank",
@@ -84,16 +84,22 @@ def gap_rows(value_gaps: DataFrame, updated: datetime, size: int = ranking.GAP_B
 
 
 def build_boards(players: DataFrame, value_gaps: DataFrame, updated: datetime) -> DataFrame:
-    """All boards in one table with the column ``board``."""
+    """All boards of the active players and the value gaps, in one table with the column ``board``."""
     return ranking.union_boards(ranking_rows(players, updated), gap_rows(value_gaps, updated))
 
 
 def publish(spark: SparkSession, data_folder: str, site_folder: str, updated: datetime) -> dict:
-    """Reads the products, writes the boards, and returns the run's row counts."""
+    """Reads the products, writes the boards, and returns how many rows went in and out."""
     products = load_products(spark, data_folder)
-    report = Observation("boards")
-    sinks.publish_boards(build_boards(products["players"], products["value_gaps"], updated), site_folder, report)
-    return report.get
+    counts = {name: Observation(name) for name in ("n_active", "n_gaps", "n_rows")}
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.observe(counts[name], F.count(F.lit(1)).alias(name))
+
+    active = counted(ranking.active(products["players"]), "n_active")
+    boards = build_boards(active, counted(products["value_gaps"], "n_gaps"), updated)
+    sinks.publish_boards(counted(boards, "n_rows"), site_folder)
+    return {name: seen.get[name] for name, seen in counts.items()}
 
 
 def scoring_weights(scoring: str) -> dict[str, float]:

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from boardwalk.schemas import ROSTER_CONFIG
 
+CORRUPT = "_corrupt_record"
+
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
     """A JSON array of objects, on one line or many; malformed input fails.
@@ -49,14 +51,26 @@ def read_roster_config(spark: SparkSession, path: str) -> DataFrame:
 
 
 def payload(schema: T.StructType, column: str = "value") -> Column:
-    """A JSON body as a struct; a body that does not parse is null."""
-    return F.from_json(F.col(column).cast("string"), schema)
+    """A JSON body as a struct, with the whole body in ``_corrupt_record`` where it does not parse."""
+    fields = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    return F.from_json(F.col(column).cast("string"), fields, {"columnNameOfCorruptRecord": CORRUPT})
+
+
+def events_of(bodies: DataFrame, schema: T.StructType, time: str = "ts") -> DataFrame:
+    """The fields of the bodies (``value``) that parse and have a time."""
+    parsed = bodies.select(payload(schema).alias("e")).filter(F.col(f"e.{CORRUPT}").isNull())
+    return parsed.select("e.*").drop(CORRUPT).filter(F.col(time).isNotNull())
+
+
+def malformed_of(bodies: DataFrame, schema: T.StructType, time: str = "ts") -> DataFrame:
+    """The bodies that ``events_of`` leaves out, as they came."""
+    parsed = bodies.select("value", payload(schema).alias("e"))
+    return parsed.filter(F.col(f"e.{CORRUPT}").isNotNull() | F.col(f"e.{time}").isNull()).select("value")
 
 
-def read_event_stream(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
-    """A stream of JSON event files with the fields of ``schema`` as columns."""
-    lines = spark.readStream.options(**options).text(path)
-    return lines.select(payload(schema).alias("e")).filter(F.col("e").isNotNull()).select("e.*")
+def read_bodies(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A stream of event files, one JSON body per line, as ``value``."""
+    return spark.readStream.options(**options).text(path)
 
 
 def find_by_key(keys: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:

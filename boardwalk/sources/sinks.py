@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from boardwalk.operators.merge import new_rows
 
 
-def publish_boards(boards: DataFrame, path: str, report: Observation | None = None) -> None:
-    """One output folder per board; a published board is replaced, the others stay.
-
-    ``report`` receives the number of rows written.
-    """
-    if report is not None:
-        boards = boards.observe(report, F.count(F.lit(1)).alias("n_rows"))
+def publish_boards(boards: DataFrame, path: str) -> None:
+    """One output folder per board; a published board is replaced, the others stay."""
     (
         boards.repartition("board")
         .sortWithinPartitions("board", "rank")

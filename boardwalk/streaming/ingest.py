@@ -26,8 +26,14 @@ REJECTED_SIGNUPS = T.StructType(schemas.SIGNUP_EVENTS.fields + [T.StructField("r
 def without_repeats(
     events: DataFrame, event_id: str = "event_id", time: str = "ts", delay: str = "7 days"
 ) -> DataFrame:
-    """Drops events seen before within the delay."""
-    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([event_id])
+    """Drops events seen before within the delay, and events later than the delay.
+
+    The tables do not need this, as their folds ignore repeats; it saves writing them. An event
+    without an id is known by its content.
+    """
+    content = F.sha2(F.to_json(F.struct("*")), 256)
+    known = events.withColumn("_id", F.coalesce(F.col(event_id).cast("string"), content))
+    return known.withWatermark(time, delay).dropDuplicatesWithinWatermark(["_id"]).drop("_id")
 
 
 def write_batch(rows: DataFrame, path: str, batch: int) -> None:
@@ -52,16 +58,18 @@ def fold_payments(payments: DataFrame) -> DataFrame:
 
 
 def payment_stream(
-    events: DataFrame, path: str, checkpoint: str, delay: str = "7 days", once: bool = True
+    events: DataFrame, path: str, checkpoint: str, delay: str | None = None, once: bool = True
 ) -> StreamingQuery:
-    """Writes the completed payments of an event stream.
+    """Writes the completed payments of an event stream; with ``delay``, ``without_repeats``.
 
     Other event types are passed over, and counted per batch as ``n_ignored`` of the progress
     report's ``payment_events``.
     """
     ignored = F.count_if(~F.col("type").eqNullSafe(merge.PAYMENT_TYPE))
     events = events.observe("payment_events", F.count(F.lit(1)).alias("n_events"), ignored.alias("n_ignored"))
-    payments = without_repeats(merge.completed_payments(events), delay=delay)
+    payments = merge.completed_payments(events)
+    if delay:
+        payments = without_repeats(payments, delay=delay)
 
     def each_batch(rows: DataFrame, batch: int) -> None:
         write_batch(fold_payments(rows), path, batch)
@@ -88,12 +96,13 @@ def signup_stream(
     path: str,
     rejected_path: str,
     checkpoint: str,
-    delay: str = "7 days",
+    delay: str | None = None,
     once: bool = True,
 ) -> StreamingQuery:
     """Writes valid sign-ups to ``path`` and the rest, with the reason, to ``rejected_path``."""
-    filled = rules.fill_defaults(without_repeats(events, delay=delay), rules.EMAIL_DEFAULTS)
-    checked = rules.check(filled, SIGNUP_RULES)
+    if delay:
+        events = without_repeats(events, delay=delay)
+    checked = rules.check(rules.fill_defaults(events, rules.EMAIL_DEFAULTS), SIGNUP_RULES)
 
     def each_batch(rows: DataFrame, batch: int) -> None:
         rows = rows.persist()
@@ -105,6 +114,11 @@ def signup_stream(
     return start(checked, each_batch, checkpoint, once)
 
 
+def malformed_stream(malformed: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Keeps the bodies that are no events, see ``readers.malformed_of``."""
+    return start(malformed, lambda rows, batch: write_batch(rows, path, batch), checkpoint, once)
+
+
 def email_list(spark: SparkSession, path: str, existing: DataFrame | None = None) -> DataFrame:
     """The e-mail list with all sign-ups written so far."""
     return merge.email_list(read_batches(spark, path, schemas.SIGNUP_EVENTS), existing)

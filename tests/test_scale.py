@@ -36,16 +36,23 @@ def small_partitions(spark):
 
 
 def test_ranks_join_back_splits_a_value_many_rows_share(spark, small_partitions):
-    value = F.when(F.col("id") % 3 > 0, 0.0).otherwise(F.col("id") % 1000 + 0.5)
-    df = spark.range(0, 60_000, 1, 16).select("id", value.alias("v"))
+    value = F.when(F.col("id") % 3 > 0, 0.0).otherwise(F.col("id") + 0.5)
+    df = spark.range(0, 66_000, 1, 16).select("id", value.alias("v"))
     ranked = ranking.average_rank(df, "v", "r")
     total = ranked.agg(F.sum("r").alias("s"), F.count("*").alias("n")).first()
-    assert (total.n, total.s) == (60_000, 60_000 * 60_001 / 2)
+    assert (total.n, total.s) == (66_000, 66_000 * 66_001 / 2)
     counted = ranked.groupBy("r").agg(F.sum(F.xxhash64("id") % 1000))
     counted.collect()
     assert "skew=true" in plan(counted)
 
 
+def test_ranks_of_few_values_are_broadcast(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 7).cast("double").alias("v"))
+    ranked = ranking.average_rank(df, "v", "r")
+    assert "strategy=broadcast" in ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert ranked.agg(F.sum("r")).first()[0] == 3000 * 3001 / 2
+
+
 def test_few_group_figures_are_broadcast_many_are_not(rows):
     left = rows([("a", 1), ("b", 2), ("c", 3)], "g string, v int")
     small = rows([("a", 10), ("b", 20)], "g string, m int")

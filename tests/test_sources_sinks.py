@@ -4,7 +4,6 @@ from datetime import datetime
 import pytest
 from conftest import values
 from pyspark.errors import AnalysisException
-from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,9 +77,12 @@ def test_maps_become_rows(spark, data):
 
 
 def test_payloads(rows):
-    df = rows([('{"email": "a@x", "source": "manual"}',), ("not json",)], "value string")
-    parsed = df.select(readers.payload(schemas.SIGNUP_EVENTS).alias("e")).select("e.email", "e.source")
-    assert values(parsed, "email", "source") == [("a@x", "manual"), (None, None)]
+    bodies = ['{"email": "a@x", "ts": "2026-01-01T00:00:00Z"}', "not json", '{"email": "b@x"}', ""]
+    df = rows([(b,) for b in bodies], "value string")
+    events = readers.events_of(df, schemas.SIGNUP_EVENTS)
+    assert events.schema == schemas.SIGNUP_EVENTS
+    assert values(events, "email", "ts") == [("a@x", datetime(2026, 1, 1))]
+    assert values(readers.malformed_of(df, schemas.SIGNUP_EVENTS), "value") == [("",), ("not json",), (bodies[2],)]
 
 
 def test_find_by_key(rows):
@@ -90,7 +92,7 @@ def test_find_by_key(rows):
 
 def test_publishing_replaces_only_the_boards_written(spark, data, tmp_path):
     site = str(tmp_path / "site")
-    assert boards.publish(spark, str(data), site, UPDATED) == {"n_rows": 7}
+    assert boards.publish(spark, str(data), site, UPDATED) == {"n_active": 5, "n_gaps": 3, "n_rows": 7}
     published = spark.read.parquet(site)
     ranks = published.filter("board = 'qb-rankings'")
     assert values(ranks, "rank_label", "player_name", "points", "interval", "market_rank", "risk", "updated") == [
@@ -104,9 +106,7 @@ def test_publishing_replaces_only_the_boards_written(spark, data, tmp_path):
         ("top-sleepers", 1, "A", "FA", "169", "+156", "why"),
         ("top-sleepers", 2, "C", "GB", "131", "+111", ""),
     ]
-    report = Observation("again")
-    sinks.publish_boards(spark.createDataFrame([("qb-rankings", 1)], "board string, rank int"), site, report)
-    assert report.get == {"n_rows": 1}
+    sinks.publish_boards(spark.createDataFrame([("qb-rankings", 1)], "board string, rank int"), site)
     counts = spark.read.schema("rank int, board string").parquet(site).groupBy("board").count()
     assert values(counts, "board", "count") == [("qb-rankings", 1), ("rb-rankings", 1), ("top-busts", 1), ("top-sleepers", 2)]
 

@@ -39,21 +39,26 @@ def profiles(spark):
     return spark.createDataFrame(data, schemas.PROFILES)
 
 
-def run_payments(spark, folder, out):
-    stream = readers.read_event_stream(spark, str(folder), schemas.PAYMENT_EVENTS, maxFilesPerTrigger=1)
-    run = ingest.payment_stream(stream, str(out / "log"), str(out / "progress"))
+def stream_of(spark, folder, schema):
+    return readers.events_of(readers.read_bodies(spark, str(folder), maxFilesPerTrigger=1), schema)
+
+
+def run_payments(spark, folder, out, delay):
+    stream = stream_of(spark, folder, schemas.PAYMENT_EVENTS)
+    run = ingest.payment_stream(stream, str(out / "log"), str(out / "progress"), delay)
     run.awaitTermination()
     return [p["observedMetrics"]["payment_events"] for p in run.recentProgress if p["numInputRows"]]
 
 
-def test_payments_with_repeats_and_late_events(spark, profiles, tmp_path):
+@pytest.mark.parametrize("delay", [None, "7 days"])
+def test_payments_with_repeats_and_late_events(spark, profiles, tmp_path, delay):
     events, out = tmp_path / "events", tmp_path / "out"
     first = [payment("e2", 20, "u1", "draft"), payment("e3", 3, "u2"), payment("e4", 4, "u3", kind="other")]
     later = [payment("e1", 10, "u1"), payment("e2", 20, "u1", "draft"), payment("e9", 9, "ghost")]
     drop(events, "a.json", first)
-    assert [(m["n_events"], m["n_ignored"]) for m in run_payments(spark, events, out)] == [(3, 1)]
+    assert [(m["n_events"], m["n_ignored"]) for m in run_payments(spark, events, out, delay)] == [(3, 1)]
     drop(events, "b.json", later)
-    run_payments(spark, events, out)
+    run_payments(spark, events, out, delay)
     state = ingest.profiles_after_payments(profiles, str(out / "log"), F.lit(NOW))
     columns = ("id", "plan", "plan_type", "paid_at", "updated_at")
     assert values(state, *columns) == [
@@ -84,7 +89,7 @@ def test_signups_rejects_and_compaction(spark, tmp_path):
         [signup("1", 1, "a@x", "manual"), signup("2", 2, "", "manual"), signup("3", 3, "b@x", "nowhere"), signup("4", 4, "c@x", "register", "register")],
     )
     drop(events, "b.json", [signup("5", 5, "a@x"), signup("6", 2, "c@x", "landing", "register"), signup("7", 7, "d@x", path="other"), signup("5", 5, "a@x")])
-    stream = readers.read_event_stream(spark, str(events), schemas.SIGNUP_EVENTS, maxFilesPerTrigger=1)
+    stream = stream_of(spark, events, schemas.SIGNUP_EVENTS)
     paths = [str(out / p) for p in ("log", "rejected", "progress")]
     ingest.signup_stream(stream, *paths).awaitTermination()
     expected = [("a@x", "landing", T0 + timedelta(hours=5)), ("c@x", "landing", T0 + timedelta(hours=2))]
@@ -95,6 +100,25 @@ def test_signups_rejects_and_compaction(spark, tmp_path):
     assert values(ingest.email_list(spark, str(out / "small")), "email", "source", "created_at") == expected
 
 
+def test_repeats_are_dropped_by_id_or_content(spark, tmp_path):
+    drop(tmp_path / "in", "a.json", [signup("1", 1, "a@x"), signup("1", 2, "a@x"), signup(None, 3, "b@x")])
+    drop(tmp_path / "in", "b.json", [signup("1", 1, "a@x"), signup(None, 3, "b@x"), signup(None, 4, "b@x")])
+    stream = ingest.without_repeats(stream_of(spark, tmp_path / "in", schemas.SIGNUP_EVENTS))
+    run = ingest.start(stream, lambda r, b: ingest.write_batch(r, str(tmp_path / "log"), b), str(tmp_path / "progress"))
+    run.awaitTermination()
+    kept = ingest.read_batches(spark, str(tmp_path / "log"), schemas.SIGNUP_EVENTS)
+    assert values(kept, "email") == [("a@x",), ("b@x",), ("b@x",)]
+
+
+def test_malformed_bodies_are_kept(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"event_id": "1"\nplain text\n' + json.dumps(signup("2", 1, "a@x")))
+    bodies = readers.read_bodies(spark, str(tmp_path / "in"))
+    malformed = readers.malformed_of(bodies, schemas.SIGNUP_EVENTS)
+    ingest.malformed_stream(malformed, str(tmp_path / "bad"), str(tmp_path / "progress")).awaitTermination()
+    assert values(spark.read.parquet(str(tmp_path / "bad")), "value") == [("plain text",), ('{"event_id": "1"',)]
+
+
 def test_two_streams_join_within_the_window(spark, tmp_path):
     for name, data in {
         "signups": [("u1", stamp(0)), ("u2", stamp(0)), ("u3", stamp(5))],
@@ -102,7 +126,7 @@ def test_two_streams_join_within_the_window(spark, tmp_path):
     }.items():
         drop(tmp_path / name, "a.json", [{"user_id": u, "ts": t} for u, t in data])
     schema = spark.createDataFrame([], "user_id string, ts timestamp").schema
-    sides = [readers.read_event_stream(spark, str(tmp_path / n), schema) for n in ("signups", "payments")]
+    sides = [stream_of(spark, tmp_path / n, schema) for n in ("signups", "payments")]
 
     def each_batch(rows, batch):
         ingest.write_batch(rows, str(tmp_path / "out"), batch)
