@@ -26,8 +26,8 @@ def residual_quantiles(
 def raw_interval(
     df: DataFrame, quantiles: DataFrame, groups: Sequence[str], predicted: str = "y_hat"
 ) -> DataFrame:
-    """Prediction plus its group's residual quantiles as ``lo`` and ``hi``."""
-    joined = join_small(df, quantiles.drop("n"), list(groups), "inner")
+    """Prediction plus its group's residual quantiles as ``lo`` and ``hi``, null for a new group."""
+    joined = join_small(df, quantiles.drop("n"), list(groups))
     return (
         joined.withColumn("lo", F.col(predicted) + F.col("e_lo"))
         .withColumn("hi", F.col(predicted) + F.col("e_hi"))

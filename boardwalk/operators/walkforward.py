@@ -104,7 +104,10 @@ def predict_baseline(
     season: str = "season",
     out: str = "y_base",
 ) -> DataFrame:
-    """Baseline of each row by the coefficients of the fold that tests its season."""
+    """Baseline of each row by the coefficients of the fold that tests its season.
+
+    Rows of seasons that no fold tests, and of groups a fold was not fitted on, drop out.
+    """
     fitted = coefficients.withColumnRenamed("test_season", season).drop("n_train")
     x = F.ln(F.when(F.col(market) > 0, F.col(market)))
     value = F.col("b0") + F.col("b1") * x + F.col("b2") * x * x

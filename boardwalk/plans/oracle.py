@@ -248,6 +248,15 @@ SQL: dict[str, str] = {
               order by abs(epoch_us(p.ts) - epoch_us(vts)), vts, v.view_id) as rn
           from p left join v on p.user_id = v.user_id)
         select event_id, user_id, view_id, micros_apart from c where rn = 1""",
+    "depth_snapshot": """with o as (
+          select o_custkey as player_id, cast(year(o_orderdate) as integer) as season, o_orderkey,
+            cast(o_orderdate as date) as d, make_date(year(o_orderdate), 9, 5) as target
+          from orders),
+        r as (
+          select *, row_number() over (
+            partition by player_id, season order by abs(d - target), d, o_orderkey) as rn from o)
+        select player_id, season, o_orderkey as order_id, cast(abs(d - target) as integer) as days_apart
+        from r where rn = 1""",
     "latest_assignment": f"""with {EVENTS},
         m as (select user_id, k % 25 as team, row_number() over (
             partition by user_id order by ts desc, event_id desc) as rn from ev)

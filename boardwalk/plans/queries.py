@@ -276,6 +276,22 @@ def asof_nearest(spark, folder):
     return joined.select("event_id", "user_id", "view_id", apart.alias("micros_apart"))
 
 
+@query
+def depth_snapshot(spark, folder):
+    """Of each customer and season the order nearest to 5 September."""
+    orders = frames.table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("player_id"),
+        F.year("o_orderdate").alias("season"),
+        F.to_date("o_orderdate").alias("snapshot_date"),
+        F.col("o_orderkey").alias("depth_rank"),
+    )
+    day = F.make_date("season", F.lit(9), F.lit(5))
+    targets = orders.select("player_id", "season").distinct().withColumn("target_date", day)
+    nearest = features.depth_snapshot(targets, orders)
+    apart = F.abs(F.date_diff("snapshot_date", "target_date"))
+    return nearest.select("player_id", "season", F.col("depth_rank").alias("order_id"), apart.alias("days_apart"))
+
+
 @query
 def latest_assignment(spark, folder):
     moves = frames.events(spark, folder).select(
@@ -419,7 +435,9 @@ def model_choice(spark, folder):
 
 @query
 def rank_backtest(spark, folder):
-    ranks = metrics.rank_backtest(naive_predictions(spark, folder))
+    points = frames.season_points(spark, folder).select("player_id", "season", "y")
+    predictions = points.select("player_id", (F.col("season") + 1).alias("season"), F.col("y").alias("y_hat"))
+    ranks = metrics.rank_backtest(metrics.with_actuals(predictions, points))
     return ranks.select("player_id", "season", "predicted_rank", "actual_rank", "rank_miss")
 
 
