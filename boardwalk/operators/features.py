@@ -115,15 +115,18 @@ def asof_join(
     order = [F.col("_t"), F.col("_ask").asc_nulls_first()]
     both = sliced(asks.unionByName(points, allowMissingColumns=True), keys, order)
 
-    start, end = Window.unboundedPreceding, Window.unboundedFollowing
+    # What follows is found in a window of reverse order: a frame that runs to the end of its
+    # partition is evaluated anew for every row.
+    start = Window.unboundedPreceding
+    reverse = [F.col("_t").desc(), F.col("_ask").desc_nulls_last()]
     found = both.withColumn("_back", F.last("_hit", True).over(inside(order).rowsBetween(start, 0))).withColumn(
-        "_next", F.first("_hit", True).over(inside(order).rowsBetween(1, end))
+        "_next", F.last("_hit", True).over(inside(reverse).rowsBetween(start, -1))
     )
     ends = both.groupBy(*SLICE).agg(F.min("_hit").alias("_first"), F.max("_hit").alias("_last"))
     ends = ends.select(
         *SLICE,
         F.last("_last", True).over(across().rowsBetween(start, -1)).alias("_before"),
-        F.first("_first", True).over(across().rowsBetween(1, end)).alias("_after"),
+        F.last("_first", True).over(across(backwards=True).rowsBetween(start, -1)).alias("_after"),
     )
     back, ahead = F.coalesce("_back", "_before"), F.coalesce("_next", "_after")
     placed = (

@@ -54,9 +54,10 @@ def inside(order: Sequence[Column]):
     return Window.partitionBy(*SLICE).orderBy(*order)
 
 
-def across():
+def across(backwards: bool = False):
     """The window over the slices of a group, one summary row each."""
-    return Window.partitionBy("_g").orderBy("_slice")
+    at = F.col("_slice")
+    return Window.partitionBy("_g").orderBy(at.desc() if backwards else at.asc())
 
 
 def weight_before(

@@ -78,6 +78,8 @@ def test_latest_rows_combine_before_the_shuffle(rows):
 def test_no_query_pairs_rows_or_runs_python(spark, name):
     text = plan(REGISTRY[name](spark, FOLDER))
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|Python|ArrowEval", text)
+    # A frame from a row to the end of its partition costs the square of the partition.
+    assert not re.search(r"(currentrow\$\(\)|-?\d+), unboundedfollowing", text)
 
 
 def test_filters_and_columns_reach_the_scan(spark):
