@@ -1,4 +1,4 @@
-"""Command line: ``boards`` publishes the boards of a data folder, ``export`` writes its products."""
+"""Command line: ``boards`` publishes the boards, ``export`` writes the data products."""
 
 from __future__ import annotations
 
@@ -17,12 +17,14 @@ def parser() -> argparse.ArgumentParser:
     commands = top.add_subparsers(dest="command", required=True)
 
     publish = commands.add_parser("boards", help="ranking, sleeper and bust boards")
-    publish.add_argument("data", help="folder with players.json and sleepers_busts.json")
+    publish.add_argument("players", help="projections, a JSON array")
+    publish.add_argument("gaps", help="value gaps, a JSON array")
     publish.add_argument("site", help="output folder, one part per board")
 
     export = commands.add_parser("export", help="season points, value over replacement, scarcity")
     export.add_argument("stats", help="season stat lines, Parquet")
-    export.add_argument("data", help="folder with players.json and roster_config.json")
+    export.add_argument("players", help="projections, a JSON array")
+    export.add_argument("roster", help="roster configuration, one JSON document")
     export.add_argument("out", help="output folder")
     export.add_argument("--seasons", type=int, default=5)
     export.add_argument("--scoring", choices=sorted(boards.RECEPTION_POINTS), default="half_ppr")
@@ -33,14 +35,15 @@ def main(arguments: list[str] | None = None) -> None:
     args = parser().parse_args(arguments)
     spark = build_session(f"boardwalk-{args.command}", master=args.master)
     if args.command == "boards":
-        report = boards.publish(spark, args.data, args.site, datetime.now(UTC).replace(tzinfo=None))
+        now = datetime.now(UTC).replace(tzinfo=None)
+        report = boards.publish(spark, args.players, args.gaps, args.site, now)
         print(f"{report['n_active']} active players, {report['n_gaps']} value gaps")
         print(f"wrote {report['n_rows']} board rows to {args.site}")
         return
     boards.export_static(
         spark.read.parquet(args.stats),
-        readers.read_records(spark, f"{args.data}/players.json", schemas.PROJECTIONS),
-        readers.read_roster_config(spark, f"{args.data}/roster_config.json"),
+        readers.read_records(spark, args.players, schemas.PROJECTIONS),
+        readers.read_roster_config(spark, args.roster),
         args.out,
         args.seasons,
         args.scoring,

@@ -29,17 +29,12 @@ STAT_POINTS = {
 }
 
 
-def load_products(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Projections, value gaps and, where present, the accuracy table of a data folder."""
+def read_accuracy(spark: SparkSession, path: str) -> DataFrame:
+    """The accuracy map as rows per position; no rows where the file is missing."""
     by_position = T.StructType([T.StructField("position", T.StringType()), *schemas.ACCURACY.fields])
-    return {
-        "players": readers.read_records(spark, f"{folder}/players.json", schemas.PROJECTIONS),
-        "value_gaps": readers.read_records(spark, f"{folder}/sleepers_busts.json", schemas.VALUE_GAPS),
-        "accuracy": readers.optional(
-            lambda: readers.read_map(spark, f"{folder}/accuracy.json", schemas.ACCURACY, key="position"),
-            by_position,
-        ),
-    }
+    return readers.optional(
+        lambda: readers.read_map(spark, path, schemas.ACCURACY, key="position"), by_position
+    )
 
 
 def ranking_rows(
@@ -88,17 +83,18 @@ def build_boards(players: DataFrame, value_gaps: DataFrame, updated: datetime) -
     return ranking.union_boards(ranking_rows(players, updated), gap_rows(value_gaps, updated))
 
 
-def publish(spark: SparkSession, data_folder: str, site_folder: str, updated: datetime) -> dict:
-    """Reads the products, writes the boards, and returns how many rows went in and out."""
-    products = load_products(spark, data_folder)
+def publish(spark: SparkSession, players: str, value_gaps: str, site: str, updated: datetime) -> dict:
+    """Reads projections and value gaps, writes the boards, and returns how many rows went in and out."""
+    projections = readers.read_records(spark, players, schemas.PROJECTIONS)
+    gaps = readers.read_records(spark, value_gaps, schemas.VALUE_GAPS)
     counts = {name: Observation(name) for name in ("n_active", "n_gaps", "n_rows")}
 
     def counted(df: DataFrame, name: str) -> DataFrame:
         return df.observe(counts[name], F.count(F.lit(1)).alias(name))
 
-    active = counted(ranking.active(products["players"]), "n_active")
-    boards = build_boards(active, counted(products["value_gaps"], "n_gaps"), updated)
-    sinks.publish_boards(counted(boards, "n_rows"), site_folder)
+    active = counted(ranking.active(projections), "n_active")
+    boards = build_boards(active, counted(gaps, "n_gaps"), updated)
+    sinks.publish_boards(counted(boards, "n_rows"), site)
     return {name: seen.get[name] for name, seen in counts.items()}
 
 

@@ -36,15 +36,15 @@ def data(tmp_path):
         {"player_name": "C", "position": "QB", "team": "GB", "projected_points": 154.8, "model_rank": 19, "adp": 131.0, "adp_gap": 111.5, "label": "SLEEPER"},
     ]
     config = {"roster_slots": {"qb": 1, "rb": 1, "k": 1}, "flex_eligible": ["rb"], "bench_size": 6, "num_teams": 1, "scoring_format": "half_ppr"}
-    (tmp_path / "players.json").write_text(json.dumps(players, indent=2))
-    (tmp_path / "sleepers_busts.json").write_text(json.dumps(gaps))
-    (tmp_path / "bye_weeks.json").write_text(json.dumps({"LA": 8, "LAR": 8, "GB": 5}))
-    (tmp_path / "roster_config.json").write_text(json.dumps(config))
+    (tmp_path / "projections.json").write_text(json.dumps(players, indent=2))
+    (tmp_path / "gaps.json").write_text(json.dumps(gaps))
+    (tmp_path / "byes.json").write_text(json.dumps({"LA": 8, "LAR": 8, "GB": 5}))
+    (tmp_path / "roster.json").write_text(json.dumps(config))
     return tmp_path
 
 
 def test_arrays_on_one_line_or_many(spark, data):
-    players = readers.read_records(spark, str(data / "players.json"), schemas.PROJECTIONS)
+    players = readers.read_records(spark, str(data / "projections.json"), schemas.PROJECTIONS)
     assert players.schema == schemas.PROJECTIONS
     assert values(players.filter("position = 'QB'"), "player_id", "ci_low", "uncertainty") == [
         ("q1", 61.0, None),
@@ -52,7 +52,7 @@ def test_arrays_on_one_line_or_many(spark, data):
         ("q3", None, None),
         ("q4", None, None),
     ]
-    assert readers.read_records(spark, str(data / "sleepers_busts.json"), schemas.VALUE_GAPS).count() == 3
+    assert readers.read_records(spark, str(data / "gaps.json"), schemas.VALUE_GAPS).count() == 3
 
 
 def test_malformed_input_fails(spark, tmp_path):
@@ -62,17 +62,20 @@ def test_malformed_input_fails(spark, tmp_path):
 
 
 def test_optional_source_is_empty_when_missing(spark, data):
-    loaded = boards.load_products(spark, str(data))
-    assert loaded["accuracy"].count() == 0
-    (data / "accuracy.json").write_text(json.dumps({"QB": {"best_model": "boosted", "mae": 62, "rmse": 80.19, "r2": 0.63}}))
-    loaded = boards.load_products(spark, str(data))
-    assert values(loaded["accuracy"], "position", "best_model", "mae") == [("QB", "boosted", 62.0)]
+    path = data / "errors.json"
+    assert boards.read_accuracy(spark, str(path)).count() == 0
+    path.write_text(json.dumps({"QB": {"best_model": "boosted", "mae": 62, "rmse": 80.19, "r2": 0.63}}))
+    found = boards.read_accuracy(spark, str(path))
+    assert values(found, "position", "best_model", "mae") == [("QB", "boosted", 62.0)]
+    path.write_text("{")
+    with pytest.raises(Exception, match="MALFORMED"):
+        boards.read_accuracy(spark, str(path)).collect()
     with pytest.raises(AnalysisException):
         readers.read_records(spark, str(data / "none.json"), schemas.PROJECTIONS)
 
 
 def test_maps_become_rows(spark, data):
-    byes = readers.read_map(spark, str(data / "bye_weeks.json"), T.IntegerType(), key="team", out="bye")
+    byes = readers.read_map(spark, str(data / "byes.json"), T.IntegerType(), key="team", out="bye")
     assert values(byes, "team", "bye") == [("GB", 5), ("LA", 8), ("LAR", 8)]
 
 
@@ -92,7 +95,7 @@ def test_find_by_key(rows):
 
 def test_publishing_replaces_only_the_boards_written(spark, data, tmp_path):
     site = str(tmp_path / "site")
-    assert boards.publish(spark, str(data), site, UPDATED) == {"n_active": 5, "n_gaps": 3, "n_rows": 7}
+    assert boards.publish(spark, str(data / "projections.json"), str(data / "gaps.json"), site, UPDATED) == {"n_active": 5, "n_gaps": 3, "n_rows": 7}
     published = spark.read.parquet(site)
     ranks = published.filter("board = 'qb-rankings'")
     assert values(ranks, "rank_label", "player_name", "points", "interval", "market_rank", "risk", "updated") == [
@@ -116,8 +119,8 @@ def test_export_and_read_back(spark, data, rows, tmp_path):
         [("q1", "QB", 2019, 4000.0, 0), ("q1", "QB", 2025, 5000.0, 2), ("r1", "RB", 2025, None, 40)],
         "player_id string, position string, season int, passing_yards double, receptions int",
     )
-    players = readers.read_records(spark, str(data / "players.json"), schemas.PROJECTIONS)
-    config = readers.read_roster_config(spark, str(data / "roster_config.json"))
+    players = readers.read_records(spark, str(data / "projections.json"), schemas.PROJECTIONS)
+    config = readers.read_roster_config(spark, str(data / "roster.json"))
     boards.export_static(stats, players, config, str(tmp_path / "out"), seasons=5)
     points = spark.read.json(str(tmp_path / "out" / "season_points"))
     assert values(points, "player_id", "season", "points") == [("q1", 2025, 201.0), ("r1", 2025, 20.0)]
@@ -130,11 +133,12 @@ def test_export_and_read_back(spark, data, rows, tmp_path):
 
 
 def test_command_line(spark, data, rows, tmp_path, capsys):
-    command_line(["boards", str(data), str(tmp_path / "site")])
+    players, gaps, roster = (str(data / f"{n}.json") for n in ("projections", "gaps", "roster"))
+    command_line(["boards", players, gaps, str(tmp_path / "site")])
     assert "wrote 7 board rows" in capsys.readouterr().out
     stats = rows([("q1", "QB", 2025, 100.0, 4)], "player_id string, position string, season int, rec_yards double, receptions int")
     stats.write.parquet(str(tmp_path / "stats"))
-    command_line(["export", str(tmp_path / "stats"), str(data), str(tmp_path / "out"), "--scoring", "ppr"])
+    command_line(["export", str(tmp_path / "stats"), players, roster, str(tmp_path / "out"), "--scoring", "ppr"])
     assert values(spark.read.json(str(tmp_path / "out" / "season_points")), "points") == [(14.0,)]
 
 
