@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boardwalk.llm import ngram_join
+from boardwalk.llm import bpe, decontaminate, ngram_join
 from boardwalk.llm.common import read
 from boardwalk.llm.ship import ship
 
@@ -32,3 +33,18 @@ def query(name: str, sql: str | None = None):
 def op1(spark, folder):
     rule = ngram_join.Similarity(k=3, num=90, den=100)
     return ngram_join.ngram_components(read(spark, folder, "documents"), rule).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+@query("op2_decontamination")
+def op2(spark, folder):
+    return decontaminate.leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query("op3_token_counts")
+def op3(spark, folder):
+    return bpe.token_counts(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=512)
+
+
+@query("op9_byte_bpe")
+def op9(spark, folder):
+    return bpe.round_trip(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
