@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boardwalk.llm import bpe, decontaminate, ngram_join
-from boardwalk.llm.common import read
+from boardwalk.llm import bpe, chat, decontaminate, language, ngram_join, quality, topk, toxicity
+from boardwalk.llm.common import read, remainder
 from boardwalk.llm.ship import ship
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,34 @@ def op3(spark, folder):
 @query("op9_byte_bpe")
 def op9(spark, folder):
     return bpe.round_trip(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op4_language")
+def op4(spark, folder):
+    docs = read(spark, folder, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    known = language.profiles(docs, remainder("doc_id", 4) != 2)
+    return language.identify(docs, known).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_chat", chat.ROTATE_SQL)
+def op5(spark, folder):
+    return chat.digest(chat.rotate(read(spark, folder, "conversations")))
+
+
+@query("op10_top_k", topk.TOP_K_SQL)
+def op10(spark, folder):
+    return topk.top_k(read(spark, folder, "embeddings"))
+
+
+@query("op6_toxicity")
+def op6(spark, folder):
+    docs = read(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, folder, "labels")))
+
+
+@query("op7_quality")
+def op7(spark, folder):
+    docs = read(spark, folder, "documents")
+    model = quality.fit(docs, read(spark, folder, "labels"), seen=remainder("doc_id", 3) != 1)
+    return quality.score(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
