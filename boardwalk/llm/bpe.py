@@ -86,12 +86,16 @@ class ByteBPE:
         known = self.prove_whole_tokens()
         if len(self.found) > KEPT:
             self.found.clear()
-        merge = self.library.model.tokenize
-        for text in set(chain.from_iterable(split)).difference(known, self.found):
-            characters = text.encode("utf-8").decode("latin-1").translate(self.names)
-            self.found[text] = tuple(token.id for token in merge(characters))
+        for text in set(chain.from_iterable(split)):
+            if text not in known and text not in self.found:
+                self.found[text] = self.merged(text)
         return _Both(known, self.found)
 
+    def merged(self, text: str) -> tuple:
+        """The ids of one pre-token by the library's merges."""
+        characters = text.encode("utf-8").decode("latin-1").translate(self.names)
+        return tuple(token.id for token in self.library.model.tokenize(characters))
+
 
 class _Both(dict):
     """Looks up the second mapping, then the first."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boardwalk.llm import bpe, chat, decontaminate, language, ngram_join, quality, topk, toxicity
+from boardwalk.llm import attention_lm, bpe, chat, decontaminate, language, ngram_join, quality, topk, toxicity
 from boardwalk.llm.common import read, remainder
 from boardwalk.llm.ship import ship
 
@@ -79,3 +79,10 @@ def op7(spark, folder):
     docs = read(spark, folder, "documents")
     model = quality.fit(docs, read(spark, folder, "labels"), seen=remainder("doc_id", 3) != 1)
     return quality.score(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op8_attention_lm")
+def op8(spark, folder):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    scored = attention_lm.score(read(spark, folder, "documents"), remainder("doc_id", 10) != 0, path, public_tokenizers.PATTERN)
+    return scored.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
