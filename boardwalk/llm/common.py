@@ -127,20 +127,22 @@ def ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arra
 
 # A set of 64-bit keys as bits of their hash. It may hold other keys too, so use it where that only costs work.
 
-BITS = 26
+BITS = (20, 30)
 
 
-def slots(keys: np.ndarray, bits: int = BITS) -> np.ndarray:
+def slots(keys: np.ndarray, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def bitmap(keys: DataFrame, bits: int = BITS):
-    """Broadcast of the bits of a column of longs: 2**bits bits (8 MB), however many keys there are.
+def bitmap(keys: DataFrame):
+    """Broadcast of the bits of a stored column of longs: 16 bits a key, but at most 2**30 bits (128 MB).
 
-    Tasks and a map-side aggregate put the bits together, 64 at a time; the driver gets at most 2**(bits - 6) longs.
+    Beyond that many keys more others look like members. Tasks and a map-side aggregate put the bits together, 64
+    at a time; the driver gets a long for each 64 bits.
     """
+    bits = min(BITS[1], max(BITS[0], int(keys.count()).bit_length() + 4))
     spark, (name,) = keys.sparkSession, keys.columns
 
     def spots(batches):

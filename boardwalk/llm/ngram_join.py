@@ -22,17 +22,21 @@ from boardwalk.llm.common import Scratch, bitmap, id_text, over_texts, ragged, r
 from boardwalk.llm.components import components
 from boardwalk.llm.words import mix, shingle_rows, words
 
-ALL_COUNTED = 256
+ALL_COUNTED = 128
 
 
 @dataclass(frozen=True)
 class Similarity:
-    """Shingles of ``k`` words; linked when ``den * intersection >= num * union``. ``frequent``: rows that hold
-    a shingle from which on it counts as frequent; it changes the work, never the result."""
+    """Shingles of ``k`` words; linked when ``den * intersection >= num * union``.
+
+    A shingle that ``common`` rows hold comes after rarer ones, and from ``frequent`` rows on it signs in pairs
+    only; both change the work, never the result.
+    """
 
     k: int = 5
     num: int = 80
     den: int = 100
+    common: int = 4
     frequent: int = 24
 
     def lack(self, n: int) -> int:
@@ -55,8 +59,8 @@ class Similarity:
         return max(1, min(self.num * smallest // self.den // 2, int(share * smallest / 4)))
 
     def counted(self, level: int) -> np.uint64:
-        """Shingle keys below this are counted: all for short sets, else two and a half times what a prefix takes."""
-        share = 1.0 if 1 << (level - 1) < ALL_COUNTED else min(1.0, 2.5 * (self.den - self.num) / self.den)
+        """Shingle keys below this are counted: all for short sets, else twice what a prefix takes."""
+        share = 1.0 if 1 << (level - 1) < ALL_COUNTED else min(1.0, 2 * (self.den - self.num) / self.den)
         return np.uint64(min(2**64 - 1, int(share * 2**64)))
 
 
@@ -64,23 +68,27 @@ def _keys(row: np.ndarray, level: int) -> np.ndarray:
     return mix(row + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
 
 
-def signatures(row: np.ndarray, level: int, rule: Similarity, frequent: np.ndarray) -> np.ndarray:
-    """The signatures of one set of distinct shingle hashes at a level."""
+def signatures(row: np.ndarray, level: int, rule: Similarity, common: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The signatures of one set of distinct shingle hashes at a level.
+
+    The order of all sets: counted shingles that few rows hold, counted ones that more hold, then the frequent and
+    the uncounted ones; by hash within each.
+    """
     keys = _keys(row, level)
     need = rule.lack(len(row)) + 1
     front = keys[keys < rule.counted(level)]
     front.sort()
-    front = front[: need + need // 4 + 4]
-    front = front[~within(frequent, front)]
-    if len(front) >= need:
-        return front[:need]
-    keys.sort()
-    rare = keys < rule.counted(level)
-    rare[rare] = ~within(frequent, keys[rare])
-    single = keys[rare][:need]
+    many = within(common, front)
+    single = front[~many][:need]
     if len(single) == need:
         return single
-    rest = keys[~rare]
+    front = front[many]
+    often = within(frequent, front)
+    single = np.concatenate([single, front[~often][: need - len(single)]])
+    if len(single) == need:
+        return single
+    rest = np.concatenate([front[often], keys[keys >= rule.counted(level)]])
+    rest.sort()
     kind = (rest >> np.uint64(20)) % np.uint64(rule.classes(level))
     first = np.zeros(len(rest), np.int64)
     first[np.unique(kind, return_index=True)[1]] = 1
@@ -98,8 +106,8 @@ def signatures(row: np.ndarray, level: int, rule: Similarity, frequent: np.ndarr
     return np.unique(np.concatenate(found))
 
 
-def _frequent(docs: DataFrame, rule: Similarity) -> DataFrame:
-    """Keys of the counted shingles that at least ``frequent`` rows hold; each task adds up its own first."""
+def _counted(docs: DataFrame, rule: Similarity) -> DataFrame:
+    """Keys of the counted shingles that at least ``common`` rows hold, with their number; tasks add up their own first."""
 
     def loop(batches):
         from boardwalk.llm.common import pieces
@@ -124,10 +132,10 @@ def _frequent(docs: DataFrame, rule: Similarity) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32))], ["key", "n"])
 
     counted = docs.mapInArrow(loop, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
-    return counted.where(F.col("n") >= rule.frequent).select("key")
+    return counted.where(F.col("n") >= rule.common)
 
 
-def _signed(docs: DataFrame, rule: Similarity, frequent) -> DataFrame:
+def _signed(docs: DataFrame, rule: Similarity, common, frequent) -> DataFrame:
     """Per row: doc_id, n (distinct shingles), two sums that stand for the set, and its signatures."""
 
     def work(batch):
@@ -136,7 +144,7 @@ def _signed(docs: DataFrame, rule: Similarity, frequent) -> DataFrame:
         for i, row in enumerate(shingle_rows(flat, counts, rule.k)):
             own = [np.zeros(0, np.uint64)]
             if len(row) > rule.lone - 1:
-                own = [signatures(row, level, rule, frequent.value) for level in rule.levels(len(row))]
+                own = [signatures(row, level, rule, common.value, frequent.value) for level in rule.levels(len(row))]
             found += own
             sizes.append(sum(map(len, own)))
             sums[:, i] = len(row), row.sum().view(np.int64), mix(row).sum().view(np.int64)
@@ -147,12 +155,37 @@ def _signed(docs: DataFrame, rule: Similarity, frequent) -> DataFrame:
     return over_texts(docs, work, "doc_id long, n long, f1 long, f2 long, signs array<long>")
 
 
+def _shared(signed: DataFrame) -> DataFrame:
+    """Signatures that more than one row holds; each task adds up its own first."""
+
+    def loop(batches):
+        for batch in batches:
+            found, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n > 1)], ["sign", "twice"])
+
+    own = signed.select("signs").mapInArrow(loop, "sign long, twice boolean")
+    return own.groupBy("sign").agg((F.max("twice") | (F.count(F.lit(1)) > 1)).alias("twice")).where("twice").select("sign")
+
+
+def _signs_in(signed: DataFrame, marks) -> DataFrame:
+    def loop(batches):
+        for batch in batches:
+            signs = batch.column("signs")
+            flat = signs.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(signs)), signs.value_lengths().to_numpy(zero_copy_only=False))
+            kept = within(marks.value, flat)
+            at = pa.array(row[kept])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[kept]), batch.column("doc_id").take(at), batch.column("n").take(at)], ["sign", "doc_id", "n"])
+
+    return signed.mapInArrow(loop, "sign long, doc_id long, n long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, rule: Similarity) -> DataFrame:
     """Those of the pairs (a, b) of ids whose whole texts are similar enough, with shared and union sizes.
 
     Only texts that a pair names are shuffled: a bitmap of the ids leaves the others out at the scan.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     texts = rows_maybe_in(docs, "doc_id", bitmap(ids))
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -197,16 +230,23 @@ def ngram_components(docs: DataFrame, rule: Similarity, key: str = "doc_id", tex
     """
     docs = id_text(docs, key, text)
     scratch = Scratch(docs.sparkSession, "ngram-join")
-    signed = scratch.write(_signed(docs, rule, bitmap(_frequent(docs, rule))), "signed")
-    sets = signed.select("doc_id", "n", "f1", "f2")
+    counted = scratch.write(_counted(docs, rule), "counted")
+    common, frequent = bitmap(counted.select("key")), bitmap(counted.where(F.col("n") >= rule.frequent).select("key"))
+    scratch.drop("counted")
+    signed = scratch.write(_signed(docs, rule, common, frequent), "signed")
+    sets = scratch.write(signed.select("doc_id", "n", "f1", "f2"), "sets")
     usable = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
     chosen = classes.where(F.col("n") >= rule.lone).select(F.col("class_id").alias("doc_id")).distinct()
 
-    rows = signed.join(chosen, "doc_id", "leftsemi").select(F.explode("signs").alias("sign"), "doc_id", "n")
-    buckets = rows.groupBy("sign").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.max("doc_id").alias("last"))
-    buckets = buckets.where("last > hub.doc_id").select("sign", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"))
-    members = scratch.write(rows.join(buckets, "sign"), "members")
+    signed = signed.join(chosen, "doc_id", "leftsemi").select("doc_id", "n", "signs")
+    shared = scratch.write(_shared(signed), "shared")
+    rows = scratch.write(_signs_in(signed, bitmap(shared)), "rows")
+    scratch.drop("signed", "shared")
+    buckets = rows.groupBy("sign").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("last > hub").select("sign", "hub")
+    hubs = rows.select(F.col("doc_id").alias("hub"), F.col("n").alias("hub_n")).distinct()
+    members = scratch.write(rows.join(buckets, "sign").join(hubs, "hub"), "members")
+    scratch.drop("rows")
 
     near = F.least("n", "hub_n") * rule.den >= F.greatest("n", "hub_n") * rule.num
     stars = members.where(near & (F.col("doc_id") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
@@ -248,6 +288,7 @@ def one_of_each(docs: DataFrame, rule: Similarity) -> DataFrame:
     found = scratch.write(ngram_components(docs, rule), "found")
     dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
     twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    twice = scratch.write(twice, "twice")
     marks = bitmap(dropped.union(twice))
     rows = rows_maybe_in(docs, "doc_id", marks).join(dropped, "doc_id", "leftanti").select(docs.columns)
     again = rows_maybe_in(rows, "doc_id", bitmap(twice))
