@@ -95,7 +95,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def over_texts(df: DataFrame, work: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
+def over_texts(df: DataFrame, work: Callable[[pa.RecordBatch], dict | None], schema: str, size: int = 1 << 18) -> DataFrame:
     """``work`` on small runs of rows, as Arrow batches; it returns the columns of its result."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -103,7 +103,7 @@ def over_texts(df: DataFrame, work: Callable[[pa.RecordBatch], dict | None], sch
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def loop(batches):
-        for piece in pieces(batches):
+        for piece in pieces(batches, size=size):
             found = work(piece)
             if found is not None:
                 yield pa.RecordBatch.from_arrays([_as(found[f.name], f.type) for f in target], schema=target)
