@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,7 +93,8 @@ def asof_join(
 
     ``direction`` is ``backward`` (at or before), ``forward`` (after) or ``nearest`` of the two; at
     equal distance the earlier one wins, at equal time the lower ``right_key``. Adds ``right_time``
-    and ``right_key``, null where there is none. ``left_key`` is unique among the left rows.
+    and ``right_key``, null where there is none; a null key or time finds nothing. ``left_key`` is
+    unique among the left rows.
 
     Both sides are put in one order and searched slice by slice; what an end of a slice lacks is
     carried over from the neighbouring slices of the key. No pair of rows is ever formed, and a key
@@ -103,12 +105,13 @@ def asof_join(
     keys = list(by)
     hit = F.struct(F.col("_t").alias("t"), F.col("_id").alias("id"))
     points = (
-        right.filter(F.col(right_time).isNotNull())
+        right.dropna(subset=[*keys, right_time])
         .groupBy(*keys, F.col(right_time).alias("_t"))
         .agg(F.min(right_key).alias("_id"))
         .select(*keys, "_t", hit.alias("_hit"))
     )
-    asks = left.select(
+    blank = left.filter(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in (*keys, left_time)]))
+    asks = left.dropna(subset=[*keys, left_time]).select(
         *keys, F.col(left_time).alias("_t"), F.col(left_key).alias("_ask"), F.struct(*left.columns).alias("_row")
     )
     # Points come before asks of the same time, so an equal time counts as backward.
@@ -142,7 +145,8 @@ def asof_join(
     else:
         nearer = _instant(ahead["t"]) - _instant("_t") < _instant("_t") - _instant(back["t"])
         chosen = F.when(back.isNull() | nearer, ahead).otherwise(back)
-    return placed.select("_row.*", chosen["t"].alias(right_time), chosen["id"].alias(right_key))
+    found = placed.select("_row.*", chosen["t"].alias(right_time), chosen["id"].alias(right_key))
+    return found.unionByName(blank, allowMissingColumns=True)
 
 
 def _instant(time: Column | str) -> Column:

@@ -23,9 +23,10 @@ def r_squared(actual: Column, error: Column) -> Column:
 
 
 def accuracy(df: DataFrame, groups: Sequence[str], actual: str = "y", predicted: str = "y_hat") -> DataFrame:
+    """Errors over the rows that have both an outcome and a prediction."""
     y = F.col(actual)
     error = y - F.col(predicted)
-    return df.groupBy(*groups).agg(
+    return df.filter(error.isNotNull()).groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.abs(error)).alias("mae"),
         F.sqrt(F.avg(error * error)).alias("rmse"),
@@ -60,10 +61,11 @@ def season_metrics(
 ) -> DataFrame:
     """Means over the held-out seasons, overall and per group, against a baseline.
 
-    Rows are reduced to sums per season and group once; the roll-up runs on those.
+    Model and baseline are held against the same rows: those with an outcome and both predictions. Rows are
+    reduced to sums per season and group once; the roll-up runs on those.
     """
     y, p, b = F.col(actual), F.col(predicted), F.col(baseline)
-    sums = df.groupBy(season, group).agg(
+    sums = df.filter(y.isNotNull() & p.isNotNull() & b.isNotNull()).groupBy(season, group).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(y).alias("y"),
         F.sum(y * y).alias("yy"),

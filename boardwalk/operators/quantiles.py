@@ -27,14 +27,14 @@ def order_statistics(
     places: Mapping[str, tuple[float, Column]],
     accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """One row per group: ``n`` non-null values, and for each name the value at a place.
+    """One row per group: ``n`` values (null and NaN are none), and for each name the value at a place.
 
     ``places`` maps a name to the share of the group it lies near and to its 1-based place as a
     column of ``n``. A place outside 1..n gives null.
     """
     keys = list(groups) or ["_all"]
     rows = df if groups else df.withColumn("_all", F.lit(0))
-    rows = rows.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    rows = rows.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     shares = sorted({share for share, _ in places.values()})
     margin = 3.0 / accuracy
     while True:

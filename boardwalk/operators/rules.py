@@ -64,13 +64,14 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """Children whose parent is missing."""
-    return without(child, parent.select(F.col(parent_key).alias(child_key)), [child_key])
+    """Children whose parent is missing; a null key refers to nothing."""
+    return without(child.filter(F.col(child_key).isNotNull()), parent.select(F.col(parent_key).alias(child_key)), [child_key])
 
 
 def cascade(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """What is left of the children once those of deleted parents are gone."""
-    return having(child, parent.select(F.col(parent_key).alias(child_key)), [child_key])
+    """What is left of the children once those of deleted parents are gone; those without a parent stay."""
+    kept = having(child, parent.select(F.col(parent_key).alias(child_key)), [child_key])
+    return kept.unionByName(child.filter(F.col(child_key).isNull()))
 
 
 def visible_to(df: DataFrame, principal, owner: str = "id") -> DataFrame:

@@ -144,21 +144,34 @@ def fit_predict(
     rounds: int = 20,
     parallel: int = 4,
 ) -> DataFrame:
-    """Predictions of one fold's test rows by each model trained on that fold's training rows.
+    """Predictions of all of one fold's test rows by each model trained on that fold's training rows.
+
+    Training takes the rows with an outcome; every test row is predicted, with or without one. A missing
+    feature counts as 0; where a feature is missing in some rows, a second column of 0 or 1 says so. A group without training rows keeps its
+    test rows, with null predictions.
 
     ``folds`` comes from ``walk_forward`` and has the outcome ``y``. Training rows are written once,
     partitioned by group, so that every fit reads its own group only; the fits themselves are
     distributed, and a few of them run at a time.
     """
     spark = folds.sparkSession
-    fold = folds.filter(F.col("test_season") == test_season).dropna(subset=["y", *features])
+    fold = folds.filter((F.col("test_season") == test_season) & ((F.col("role") == TEST) | F.col("y").isNotNull()))
+    given = {f"_f_{f}": F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None)), F.lit(0.0)) for f in features}
+    absent = {f"_no_{f}": (F.col(f).isNull() | F.isnan(F.col(f).cast("double"))).cast("double") for f in features}
+    lacking = fold.agg(*[F.max(c).alias(name) for name, c in absent.items()]).first()
+    absent = {name: c for name, c in absent.items() if lacking[name]}
+    fold = fold.withColumns({**given, **absent})
     path = scratch_path(spark, "fold")
     fold.withColumn("_group", F.col(group)).write.partitionBy("role", "_group").parquet(path)
     stored = spark.read.schema(fold.schema.add("_group", "string")).parquet(path)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_x")
+    assembler = VectorAssembler(inputCols=[*given, *absent], outputCol="_x")
+    trained = stored.filter(F.col("role") == TRAIN).groupBy("_group").count().collect()
+    known = {r["_group"] for r in trained}
 
     def predict(name: str, model: str) -> DataFrame:
         rows = stored.filter(F.col("_group") == name)
+        if name not in known:
+            return rows.filter(F.col("role") == TEST).withColumns({"y_hat": F.lit(None).cast("double"), "model": F.lit(model)})
         regressor = group_models(name, weight, trees, rounds)[model]
         fitted = Pipeline(stages=[assembler, regressor]).fit(rows.filter(F.col("role") == TRAIN))
         return fitted.transform(rows.filter(F.col("role") == TEST)).withColumn("model", F.lit(model))
@@ -166,7 +179,8 @@ def fit_predict(
     tasks = [(name, model) for name in groups for model in ("ridge", "forest", "boosted")]
     with ThreadPoolExecutor(parallel) as pool:
         predictions = list(pool.map(lambda task: predict(*task), tasks))
-    return reduce(DataFrame.unionByName, predictions).drop("_x", "_group")
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), predictions)
+    return both.drop("_x", "_group", *given, *absent)
 
 
 def ensemble(predictions: DataFrame, keys: Sequence[str], predicted: str = "y_hat") -> DataFrame:
@@ -174,5 +188,5 @@ def ensemble(predictions: DataFrame, keys: Sequence[str], predicted: str = "y_ha
     return predictions.groupBy(*keys).agg(
         F.avg(predicted).alias("y_hat"),
         F.stddev_samp(predicted).alias("uncertainty"),
-        F.count(F.lit(1)).alias("n_models"),
+        F.count(predicted).alias("n_models"),
     )

@@ -208,7 +208,7 @@ def spread_frame(spark, folder) -> DataFrame:
     stats = orders.groupBy("player_id").agg(
         F.sum("cents").alias("cents"), F.stddev_samp(F.col("cents") / 1e6).alias("sd")
     )
-    joined = frames.customers(spark, folder).join(stats, "player_id")
+    joined = frames.customers(spark, folder).join(stats, "player_id", "left")
     return joined.select(
         "player_id",
         "position",
@@ -239,7 +239,7 @@ def bye_join(spark, folder):
         F.col("n_name").alias("team"), (F.col("n_regionkey") + 5).alias("bye")
     )
     named = frames.customers(spark, folder).join(
-        nations.select(F.col("n_nationkey").alias("team"), F.col("n_name").alias("team_name")), "team"
+        nations.select(F.col("n_nationkey").alias("team"), F.col("n_name").alias("team_name")), "team", "left"
     )
     roster = named.select("player_id", F.col("team_name").alias("team"))
     return features.add_bye(roster, byes, aliases=ALIASES).select(
@@ -491,12 +491,12 @@ def conformal_interval(spark, folder):
 def ensemble_ml(spark, folder):
     lagged = features.teammate_production(frames.player_seasons(spark, folder), ["y"])
     weight = features.recency_weight("season", NEWEST_SEASON, 0.8)
-    rows = lagged.filter(F.col("y_lag1").isNotNull()).select(
+    rows = lagged.select(
         "player_id", "season", "position", "y", "y_lag1", "teammate_y_prev", "adp", weight.alias("recency")
     )
     folds = walkforward.walk_forward(rows, [TEST_SEASON])
     predictions = walkforward.fit_predict(
-        folds, ["y_lag1", "teammate_y_prev", "adp"], SEGMENTS, TEST_SEASON, weight="recency", trees=10, rounds=10
+        folds, ["y_lag1", "teammate_y_prev", "adp"], SEGMENTS, TEST_SEASON, weight="recency"
     )
     return walkforward.ensemble(predictions, ["player_id", "season", "position", "y"])
 

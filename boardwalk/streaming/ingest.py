@@ -36,12 +36,19 @@ def without_repeats(
     return known.withWatermark(time, delay).dropDuplicatesWithinWatermark(["_id"]).drop("_id")
 
 
+# The batch of the compacted rows; those of streams count from 0.
+BASE = -1
+
+
 def write_batch(rows: DataFrame, path: str, batch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The rows of all batches written so far."""
+    """The rows of all batches written so far; none before the first."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
@@ -127,8 +134,8 @@ def email_list(spark: SparkSession, path: str, existing: DataFrame | None = None
 def compact(
     spark: SparkSession, path: str, target: str, schema: T.StructType, fold: Callable[[DataFrame], DataFrame]
 ) -> None:
-    """Writes the fold of all batches as the first batch of a new folder."""
-    write_batch(fold(read_batches(spark, path, schema)), target, 0)
+    """Writes the fold of all batches as the base of a new folder; no stream ever numbers a batch so."""
+    write_batch(fold(read_batches(spark, path, schema)), target, BASE)
 
 
 def conversions(

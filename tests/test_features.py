@@ -158,3 +158,10 @@ def test_recency_and_shrinkage(rows):
     assert values(df.groupBy("id").agg(mean.alias("m")), "id", "m") == [("a", pytest.approx(20 / 1.5)), ("b", None)]
     hist = rows([("a", "K", 100.0), ("b", "K", 50.0), ("c", "K", None)], "id string, position string, h double")
     assert values(X.shrink_to_group(hist, "h", keep=0.6), "id", "projected_points") == [("a", 90.0), ("b", 60.0), ("c", 75.0)]
+
+
+def test_null_keys_and_times_find_nothing(rows):
+    asks = rows([(1, "a", 5), (2, None, 5), (3, "a", None)], "ask int, k string, t int")
+    points = rows([(7, "a", 4), (8, None, 5), (9, "a", None)], "id int, k string, at int")
+    found = {r.ask: r.id for r in X.asof_join(asks, points, ["k"], "t", "at", "id", "ask", direction="backward").collect()}
+    assert found == {1: 7, 2: None, 3: None}

@@ -145,3 +145,21 @@ def test_models_learn_and_agree(rows):
     assert {r.model: r.r2 > 0.7 for r in error.collect()} == {"ridge": True, "forest": True, "boosted": True}
     together = walkforward.ensemble(predictions, ["player_id", "y"])
     assert together.count() == 100 and together.filter("n_models <> 3 or uncertainty is null").isEmpty()
+
+
+def test_every_test_row_is_predicted(rows):
+    data = [(i, "QB", 2019 + i % 3, float(i % 7), 2.0 * (i % 7) + 1) for i in range(90)]
+    data += [(500, "QB", 2022, 3.0, None), (501, "QB", 2022, None, None), (502, "TE", 2022, 1.0, None)]
+    df = rows(data, "player_id int, position string, season int, x double, y double")
+    predictions = walkforward.fit_predict(walkforward.walk_forward(df, [2022]), ["x"], ["QB", "TE"], 2022, trees=3, rounds=3)
+    found = {(r.player_id, r.model): r.y_hat for r in predictions.collect()}
+    assert {k[0] for k in found} == {500, 501, 502} and len(found) == 9
+    assert all((y is None) == (who == 502) for (who, _), y in found.items())
+
+
+def test_model_and_baseline_share_their_rows(rows):
+    data = [(2020, "a", 10.0, 8.0, 20.0), (2020, "a", 30.0, 28.0, 20.0), (2020, "a", 50.0, 40.0, None)]
+    df = rows(data, "season int, position string, y double, y_hat double, y_base double")
+    row = metrics.season_metrics(df).filter("scope = 'a'").first()
+    assert (row.n_rows, row.mae, row.mae_base, row.edge) == (2, 2.0, 10.0, 0.8)
+    assert metrics.accuracy(df, ["position"], predicted="y_base").first()[1:3] == (2, 10.0)

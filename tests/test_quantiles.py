@@ -47,3 +47,9 @@ def test_a_place_far_from_its_share_widens_the_bracket(rows):
 def test_single_value_group(rows):
     found = Q.percentiles(rows([("a", 4.0)], "g string, v double"), ["g"], "v", {"m": 0.5}).first()
     assert (found.n, found.m) == (1, 4.0)
+
+
+def test_nan_is_no_value(rows):
+    df = rows([("a", float("nan")), ("a", 1.0), ("a", 3.0), ("b", float("nan"))], "g string, v double")
+    table = Q.percentiles(df, ["g"], "v", {"half": 0.5})
+    assert [tuple(r) for r in table.collect() if r.g == "a"] == [("a", 2, 2.0)]
