@@ -136,23 +136,34 @@ def _counted(docs: DataFrame, rule: Similarity) -> DataFrame:
 
 
 def _signed(docs: DataFrame, rule: Similarity, common, frequent) -> DataFrame:
-    """Per row: doc_id, n (distinct shingles), two sums that stand for the set, and its signatures."""
+    """Per row: doc_id, n (distinct shingles), two sums that stand for the set, its signatures, and its parities: for
+    each of 256 hash values, whether an odd number of the shingles has it."""
 
     def work(batch):
         flat, counts = words(*raw(batch.column("text")))
         found, sizes, sums = [np.zeros(0, np.uint64)], [], np.zeros((3, len(counts)), np.int64)
+        odd = np.zeros((len(counts), 4), np.int64)
         for i, row in enumerate(shingle_rows(flat, counts, rule.k)):
             own = [np.zeros(0, np.uint64)]
             if len(row) > rule.lone - 1:
                 own = [signatures(row, level, rule, common.value, frequent.value) for level in rule.levels(len(row))]
             found += own
             sizes.append(sum(map(len, own)))
+            odd[i] = np.packbits((np.bincount((row & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
             sums[:, i] = len(row), row.sum().view(np.int64), mix(row).sum().view(np.int64)
         flat = np.concatenate(found).view(np.int64)
         ids = batch.column("doc_id")
-        return {"doc_id": ids, "n": sums[0], "f1": sums[1], "f2": sums[2], "signs": ragged(flat, np.array(sizes), pa.int64())}
+        return {"doc_id": ids, "n": sums[0], "f1": sums[1], "f2": sums[2], "signs": ragged(flat, np.array(sizes), pa.int64()), "odd": ragged(odd.ravel(), np.full(len(counts), 4), pa.int64())}
 
-    return over_texts(docs, work, "doc_id long, n long, f1 long, f2 long, signs array<long>")
+    return over_texts(docs, work, "doc_id long, n long, f1 long, f2 long, signs array<long>, odd array<long>")
+
+
+def _may_link(rule: Similarity, n: str, odd: str, other_n: str, other_odd: str):
+    """False only for sets too different: each shingle of just one of them flips one parity, so as many parities as
+    differ, as many shingles at least are not shared; and their sizes bound what they can share."""
+    differ = sum((F.bit_count(F.col(odd)[i].bitwiseXOR(F.col(other_odd)[i])) for i in range(1, 4)), F.bit_count(F.col(odd)[0].bitwiseXOR(F.col(other_odd)[0])))
+    few = differ * (rule.den + rule.num) <= (F.col(n) + F.col(other_n)) * (rule.den - rule.num)
+    return few & (F.least(n, other_n) * rule.den >= F.greatest(n, other_n) * rule.num)
 
 
 def _shared(signed: DataFrame) -> DataFrame:
@@ -168,16 +179,17 @@ def _shared(signed: DataFrame) -> DataFrame:
 
 
 def _signs_in(signed: DataFrame, marks) -> DataFrame:
+    """(sign, doc_id) for the signatures in the bitmap."""
+
     def loop(batches):
         for batch in batches:
             signs = batch.column("signs")
             flat = signs.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(signs)), signs.value_lengths().to_numpy(zero_copy_only=False))
             kept = within(marks.value, flat)
-            at = pa.array(row[kept])
-            yield pa.RecordBatch.from_arrays([pa.array(flat[kept]), batch.column("doc_id").take(at), batch.column("n").take(at)], ["sign", "doc_id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[kept]), batch.column("doc_id").take(pa.array(row[kept]))], ["sign", "doc_id"])
 
-    return signed.mapInArrow(loop, "sign long, doc_id long, n long")
+    return signed.mapInArrow(loop, "sign long, doc_id long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rule: Similarity) -> DataFrame:
@@ -239,34 +251,36 @@ def ngram_components(docs: DataFrame, rule: Similarity, key: str = "doc_id", tex
     classes = usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
     chosen = classes.where(F.col("n") >= rule.lone).select(F.col("class_id").alias("doc_id")).distinct()
 
-    signed = signed.join(chosen, "doc_id", "leftsemi").select("doc_id", "n", "signs")
+    signed = signed.join(chosen, "doc_id", "leftsemi")
+    forms = scratch.write(signed.groupBy("doc_id").agg(F.first(F.struct("n", "odd")).alias("f")).select("doc_id", "f.n", "f.odd"), "forms")
+    signed = signed.select("doc_id", "signs")
     shared = scratch.write(_shared(signed), "shared")
     rows = scratch.write(_signs_in(signed, bitmap(shared)), "rows")
     scratch.drop("signed", "shared")
     buckets = rows.groupBy("sign").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("last > hub").select("sign", "hub")
-    hubs = rows.select(F.col("doc_id").alias("hub"), F.col("n").alias("hub_n")).distinct()
-    members = scratch.write(rows.join(buckets, "sign").join(hubs, "hub"), "members")
+    members = scratch.write(rows.join(buckets, "sign"), "members")
     scratch.drop("rows")
 
-    near = F.least("n", "hub_n") * rule.den >= F.greatest("n", "hub_n") * rule.num
-    stars = members.where(near & (F.col("doc_id") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
-    stars = scratch.write(stars.distinct(), "stars")
+    stars = members.where(F.col("doc_id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = stars.join(forms.select(F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("odd").alias("b_odd")), "b")
+    stars = stars.join(forms.select(F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("odd").alias("a_odd")), "a")
+    stars = scratch.write(stars.where(_may_link(rule, "a_n", "a_odd", "b_n", "b_odd")).select("a", "b"), "stars")
     links = scratch.write(verified(stars, docs, rule).select("a", "b"), "links")
     label = scratch.write(components(links, scratch, "first"), "label")
 
-    placed = members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "doc_id")).select("sign", "doc_id", "n", "hub", "component")
+    placed = members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(forms, "doc_id")
+    placed = placed.withColumn("component", F.coalesce("component", "doc_id")).select("sign", "doc_id", "n", "odd", "hub", "component")
+    placed = scratch.write(placed, "placed")
     split = placed.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("component"))).alias("main"))
     split = split.where("low < high").select("sign", "main")
-    placed = scratch.write(placed.join(split, "sign"), "placed")
-    outside = placed.where("component <> main").select("sign", F.col("doc_id").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_component"))
-    others = placed.select("sign", F.col("doc_id").alias("y"), F.col("n").alias("y_n"), F.col("component").alias("y_component"))
-    apart = outside.join(others, "sign").where("x_component <> y_component")
-    apart = apart.where(F.least("x_n", "y_n") * rule.den >= F.greatest("x_n", "y_n") * rule.num)
+    others = placed.join(split, "sign")
+    outside = others.where("component <> main").select("sign", F.col("doc_id").alias("x"), F.col("n").alias("x_n"), F.col("odd").alias("x_odd"), F.col("component").alias("x_component"))
+    others = others.select("sign", F.col("doc_id").alias("y"), F.col("n").alias("y_n"), F.col("odd").alias("y_odd"), F.col("component").alias("y_component"))
+    apart = outside.join(others, "sign").where((F.col("x_component") != F.col("y_component")) & _may_link(rule, "x_n", "x_odd", "y_n", "y_odd"))
     apart = apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "leftanti")
     apart = scratch.write(apart, "apart")
     more = scratch.write(verified(apart, docs, rule).select("a", "b"), "more")
-    scratch.drop("members", "placed", "apart", "stars")
+    scratch.drop("members", "placed", "apart", "stars", "forms")
     if not more.isEmpty():
         label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch, "last")
     by_class = classes.join(label.withColumnRenamed("node", "class_id"), "class_id", "left")
