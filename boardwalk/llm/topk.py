@@ -47,7 +47,6 @@ class Shard:
         order = order[query[order] != 0]
         rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0)
         n = len(self.ids)
-        score = np.zeros(n, np.int64)
         alive = np.zeros(n, bool)
         # the score of a few vectors in full is a first threshold
         some = np.argsort(-(self.columns[order[0]] * query[order[0]]), kind="stable")[: 8 * k] if len(order) else np.arange(min(n, 8 * k))
@@ -63,15 +62,19 @@ class Shard:
                 break
         if floor is None or floor <= 0:
             alive[:] = True
-        alive &= self.ids != own
+        alive[self.ids == own] = False
         at = np.flatnonzero(alive)
+        score = np.zeros(len(at), np.int64)
         for i, dim in enumerate(order):
-            score[at] += self.columns[dim][at] * query[dim]
+            column = self.columns[dim]
+            score += (column if len(at) == n else column[at]) * query[dim]
             if floor is not None and i % 4 == 3:
-                at = at[score[at] + rest[i + 1] >= floor]
+                good = score + rest[i + 1] >= floor
+                if not good.all():
+                    at, score = at[good], score[good]
             if not len(at):
                 break
-        ids, score = self.ids[at], score[at]
+        ids = self.ids[at]
         last = _kth(ids, score, k)
         keep = score >= last if last is not None else np.ones(len(ids), bool)
         return ids[keep], score[keep]
