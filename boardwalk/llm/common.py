@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -95,6 +96,22 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def giving_back(loop: Callable) -> Callable:
+    """``loop``, which at the end of its partition gives freed memory back to the system.
+
+    Workers are reused; what the allocators of Arrow and C hold back would add up from one stage to the next.
+    """
+
+    def run(batches):
+        yield from loop(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def over_texts(df: DataFrame, work: Callable[[pa.RecordBatch], dict | None], schema: str, size: int = 1 << 18) -> DataFrame:
     """``work`` on small runs of rows, as Arrow batches; it returns the columns of its result."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -108,7 +125,7 @@ def over_texts(df: DataFrame, work: Callable[[pa.RecordBatch], dict | None], sch
             if found is not None:
                 yield pa.RecordBatch.from_arrays([_as(found[f.name], f.type) for f in target], schema=target)
 
-    return df.mapInArrow(loop, schema)
+    return df.mapInArrow(giving_back(loop), schema)
 
 
 def _as(values, kind: pa.DataType) -> pa.Array:
@@ -153,7 +170,7 @@ def bitmap(keys: DataFrame):
                 ones = np.bitwise_or.reduceat(np.uint64(1) << (found & 63).astype(np.uint64), first)
                 yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(ones.view(np.int64))], ["place", "ones"])
 
-    spread = keys.select(F.col(name).cast("long")).mapInArrow(spots, "place long, ones long")
+    spread = keys.select(F.col(name).cast("long")).mapInArrow(giving_back(spots), "place long, ones long")
     table = spread.groupBy("place").agg(F.bit_or("ones").alias("ones")).toArrow()
     whole = np.zeros(1 << (bits - 6), np.uint64)
     whole[table.column("place").to_numpy()] = table.column("ones").to_numpy().view(np.uint64)
@@ -176,7 +193,7 @@ def rows_maybe_in(df: DataFrame, key: str, marks, inside: bool = True) -> DataFr
             mask = within(marks.value, keys) & ~column.is_null().to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(mask if inside else ~mask))
 
-    return df.mapInArrow(loop, df.schema)
+    return df.mapInArrow(giving_back(loop), df.schema)
 
 
 def labelled_sample(labels: DataFrame, label: str, bound: int, seen: Column) -> DataFrame:
