@@ -16,9 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from boardwalk.llm.common import id_text, over_texts, ragged, raw
+from boardwalk.llm.common import giving_back, id_text, over_texts, ragged, raw
 
-KEPT = 400_000
+KEPT = 100_000
 _OPEN: dict = {}
 
 
@@ -206,7 +206,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", key: s
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.binary()), pa.array(text, pa.string())], ["doc_id", "bytes", "text"])
 
     own = encoded.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{ids}`").alias("ids"))
-    return own.mapInArrow(loop, "doc_id long, bytes binary, text string")
+    return own.mapInArrow(giving_back(loop), "doc_id long, bytes binary, text string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

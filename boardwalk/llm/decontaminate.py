@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardwalk.llm.common import id_text, pieces, raw
+from boardwalk.llm.common import giving_back, id_text, pieces, raw
 from boardwalk.llm.words import mix, shingle_rows, shingles, words
 
 _BITS = np.arange(64, dtype=np.uint64)
@@ -175,7 +175,7 @@ def leaks(docs: DataFrame, items: DataFrame, rule: Rule = Rule(), key: str = "do
     docs = id_text(docs, key, text)
     found = None
     for block in item_blocks(items, rule):
-        part = docs.mapInArrow(_reporter(block), SCHEMA)
+        part = docs.mapInArrow(giving_back(_reporter(block)), SCHEMA)
         found = part if found is None else found.union(part)
     return found
 
@@ -212,5 +212,5 @@ def clean(docs: DataFrame, items: DataFrame, rule: Rule = Rule()) -> DataFrame:
         return loop
 
     for block in item_blocks(items, rule):
-        docs = docs.mapInArrow(keeper(block), docs.schema)
+        docs = docs.mapInArrow(giving_back(keeper(block)), docs.schema)
     return docs

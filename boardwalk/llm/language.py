@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardwalk.llm.common import Scratch, id_text, over_texts, pieces
+from boardwalk.llm.common import Scratch, giving_back, id_text, over_texts, pieces
 from boardwalk.llm.words import mix
 
 UNDETERMINED = "und"
@@ -101,7 +101,7 @@ def profiles(docs: DataFrame, learn: Column, size: int = 400, key: str = "doc_id
             names = pa.array([own], pa.string()).take(pa.array(np.zeros(len(grams), np.int32)))
             yield pa.RecordBatch.from_arrays([names, pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    counted = rows.mapInArrow(loop, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(giving_back(loop), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     scratch = Scratch(docs.sparkSession, "language")
     counted = scratch.write(counted, "counted")
     found = {}

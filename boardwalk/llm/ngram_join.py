@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardwalk.llm.common import Scratch, bitmap, id_text, over_texts, ragged, raw, rows_maybe_in, within
+from boardwalk.llm.common import Scratch, bitmap, giving_back, id_text, over_texts, ragged, raw, rows_maybe_in, within
 from boardwalk.llm.components import components
 from boardwalk.llm.words import mix, shingle_rows, words
 
@@ -131,7 +131,7 @@ def _counted(docs: DataFrame, rule: Similarity) -> DataFrame:
         keys, n = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32))], ["key", "n"])
 
-    counted = docs.mapInArrow(loop, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = docs.mapInArrow(giving_back(loop), "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
     return counted.where(F.col("n") >= rule.common)
 
 
@@ -174,7 +174,7 @@ def _shared(signed: DataFrame) -> DataFrame:
             found, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n > 1)], ["sign", "twice"])
 
-    own = signed.select("signs").mapInArrow(loop, "sign long, twice boolean")
+    own = signed.select("signs").mapInArrow(giving_back(loop), "sign long, twice boolean")
     return own.groupBy("sign").agg((F.max("twice") | (F.count(F.lit(1)) > 1)).alias("twice")).where("twice").select("sign")
 
 
@@ -189,7 +189,7 @@ def _signs_in(signed: DataFrame, marks) -> DataFrame:
             kept = within(marks.value, flat)
             yield pa.RecordBatch.from_arrays([pa.array(flat[kept]), batch.column("doc_id").take(pa.array(row[kept]))], ["sign", "doc_id"])
 
-    return signed.mapInArrow(loop, "sign long, doc_id long")
+    return signed.mapInArrow(giving_back(loop), "sign long, doc_id long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rule: Similarity) -> DataFrame:
@@ -224,7 +224,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Similarity) -> DataFrame:
             yield pa.RecordBatch.from_arrays([a.take(rows), b.take(rows), pa.array(common, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "shared", "union_size"])
 
     both = pairs.join(right, "b").join(left, "a")
-    return both.mapInArrow(loop, "a long, b long, shared long, union_size long")
+    return both.mapInArrow(giving_back(loop), "a long, b long, shared long, union_size long")
 
 
 def ngram_components(docs: DataFrame, rule: Similarity, key: str = "doc_id", text: str = "text") -> DataFrame:

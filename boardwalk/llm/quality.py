@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardwalk.llm.common import id_text, over_texts, pieces, ragged, raw
+from boardwalk.llm.common import giving_back, id_text, over_texts, pieces, ragged, raw
 from boardwalk.llm.fit import adam, labelled_texts, sigmoid
 from boardwalk.llm.words import hashes, spans
 
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, rule: Rule = Rule(), seen: Column |
             x, bags = passages(batch.column("text"), size)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), ragged(x.ravel(), bags * WIDTH, pa.float32())], ["doc_id", "label", "x"])
 
-    table = texts.mapInArrow(loop, "doc_id long, label int, x array<float>").toArrow().sort_by("doc_id")
+    table = texts.mapInArrow(giving_back(loop), "doc_id long, label int, x array<float>").toArrow().sort_by("doc_id")
     y = table.column("label").to_numpy().astype(np.float64)
     random = np.random.RandomState(7)
     h = rule.hidden
@@ -186,4 +186,4 @@ def accepted(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
         for batch in pieces(batches):
             yield batch.filter(pa.array(held.value.score(batch.column(place)) >= limit))
 
-    return docs.mapInArrow(loop, docs.schema)
+    return docs.mapInArrow(giving_back(loop), docs.schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardwalk.llm.common import Scratch, id_text, over_texts, pieces, ragged, raw
+from boardwalk.llm.common import Scratch, giving_back, id_text, over_texts, pieces, ragged, raw
 from boardwalk.llm.fit import adam, labelled_texts, sigmoid
 from boardwalk.llm.words import hashes, spans
 
@@ -75,7 +75,7 @@ def _vocabulary(texts: DataFrame, rule: Rule) -> np.ndarray:
             keys, back = np.unique(found, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(back, toxic == 1, len(keys)).astype(np.int64)), pa.array(np.bincount(back, toxic != 1, len(keys)).astype(np.int64))], ["word", "bad", "good"])
 
-    counted = texts.mapInArrow(loop, "word long, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counted = texts.mapInArrow(giving_back(loop), "word long, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     all_bad, all_good = texts.agg(F.count(F.when(F.col("label") == 1, 1)), F.count(F.when(F.col("label") != 1, 1))).first()
     odds = F.log((F.col("bad") + 0.5) / (all_bad + 1.0)) - F.log((F.col("good") + 0.5) / (all_good + 1.0))
     scored = counted.where(F.col("bad") + F.col("good") >= rule.least).withColumn("z", F.abs(odds) / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5)))
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, rule: Rule = Rule(), seen: Column |
             sizes = np.bincount(row, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), ragged(at.astype(np.int32), sizes, pa.int32()), ragged(n.astype(np.int32), sizes, pa.int32())], ["doc_id", "label", "at", "n"])
 
-    table = texts.mapInArrow(loop, "doc_id long, label int, at array<int>, n array<int>").toArrow().sort_by("doc_id")
+    table = texts.mapInArrow(giving_back(loop), "doc_id long, label int, at array<int>, n array<int>").toArrow().sort_by("doc_id")
     scratch.drop("texts")
     label = table.column("label").to_numpy().astype(np.int64)
     sizes = np.array([len(x) for x in table.column("at").to_pylist()], np.int64)
@@ -177,4 +177,4 @@ def accepted(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
         for batch in pieces(batches):
             yield batch.filter(pa.array(_severity(held.value, batch.column(place))[0] < limit))
 
-    return docs.mapInArrow(loop, docs.schema)
+    return docs.mapInArrow(giving_back(loop), docs.schema)
