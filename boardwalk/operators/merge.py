@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardwalk.functions import scalars as S
+from boardwalk.operators import rules
 from boardwalk.operators.features import earliest_per_key, latest_per_key
 from boardwalk.operators.joins import without
 
@@ -61,9 +62,11 @@ def apply_payments(profiles: DataFrame, payments: DataFrame, at: Column | None =
     """Profiles with the latest payment of each user; unknown users change nothing.
 
     A payment counts when it is later than the stored one, so repeats and late arrivals leave the
-    profile, and its ``updated_at``, alone.
+    profile, and its ``updated_at``, alone. One of a plan type that profiles cannot hold counts for
+    nothing; ``rules.PAYMENT_RULES`` finds those.
     """
     at = F.current_timestamp() if at is None else at
+    payments = payments.filter(F.col("plan_type").isin(*rules.PLAN_TYPES))
     latest = latest_per_key(payments, ["user_id"], ["ts", "event_id"]).select(
         F.col("user_id").alias("id"),
         F.col("ts").alias("_ts"),
@@ -116,6 +119,28 @@ def email_list(events: DataFrame, existing: DataFrame | None = None) -> DataFram
     )
 
 
+def registered_profiles(events: DataFrame, existing: DataFrame) -> DataFrame:
+    """The profiles after sign-up events: a registration opens a free one, unless its user has one.
+
+    Of an address only the earliest registration counts; one without a user id opens none.
+    """
+    registrations = events.filter((F.col("path") == rules.REGISTER) & F.col("user_id").isNotNull())
+    first = earliest_per_key(registrations, ["email"], ["ts", "event_id"])
+    values = {
+        "id": F.col("user_id"),
+        "email": F.col("email"),
+        "plan": F.lit(rules.PROFILE_DEFAULTS["plan"]),
+        "plan_type": F.lit(rules.PROFILE_DEFAULTS["plan_type"]),
+        "created_at": F.col("ts"),
+        "updated_at": F.col("ts"),
+    }
+    columns = [
+        values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in existing.schema.fields
+    ]
+    offered = first.select(*columns, F.col("event_id").alias("_event"))
+    return insert_ignore(existing, offered, ["id"], ["created_at", "_event"])
+
+
 def signup_conversion(signups_with_next: DataFrame, within_days: int, by: Sequence[str]) -> DataFrame:
     """Share of sign-ups whose next payment follows within some days.
 

@@ -17,6 +17,7 @@ PLAN_TYPES = ("season", "draft")
 SOURCES = ("landing", "register", "checkout_abandon", "manual")
 PROFILE_DEFAULTS = {"plan": "free", "plan_type": "season"}
 EMAIL_DEFAULTS = {"source": "landing"}
+REGISTER = "register"
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,7 @@ def one_of(column: str, allowed: Sequence[str]) -> Rule:
 
 PROFILE_RULES = (required("id"), required("email"), one_of("plan", PLANS), one_of("plan_type", PLAN_TYPES))
 EMAIL_RULES = (required("email"), one_of("source", SOURCES))
+PAYMENT_RULES = (one_of("plan_type", PLAN_TYPES),)
 
 
 def fill_defaults(df: DataFrame, defaults: Mapping[str, str]) -> DataFrame:
@@ -46,6 +48,12 @@ def fill_defaults(df: DataFrame, defaults: Mapping[str, str]) -> DataFrame:
     return df.withColumns({c: S.or_default(c, d) for c, d in defaults.items()})
 
 
+def signup_sources(events: DataFrame) -> DataFrame:
+    """Sign-up events with the source to store: that of a registration is ``register``, whatever it came with."""
+    filled = fill_defaults(events, EMAIL_DEFAULTS)
+    return filled.withColumn("source", F.when(F.col("path") == REGISTER, REGISTER).otherwise(F.col("source")))
+
+
 def check(df: DataFrame, rules: Sequence[Rule], out: str = "reject_reason") -> DataFrame:
     """Adds the reason of the first rule a row breaks, null for an accepted row."""
     reason = F.coalesce(*[F.when(rule.broken(), rule.reason) for rule in rules])

@@ -55,37 +55,56 @@ def log_market_baseline(
 ) -> DataFrame:
     """Per fold and group, outcome as a quadratic of log market price: ``b0 + b1·x + b2·x²``.
 
-    Rows are reduced to power sums per season and group; folds add those up, and the normal
-    equations are solved as column expressions. A degenerate fold has null coefficients.
+    Log prices are centred and scaled per group, then rows are reduced to power sums per season and
+    group; folds add those up, and the normal equations are solved as column expressions. A fold of
+    fewer than three different prices has null coefficients.
     """
-    x, y = F.ln(F.col(market)), F.col(actual)
+    priced = df.filter((F.col(market) > 0) & F.col(actual).isNotNull()).select(
+        season, group, F.ln(F.col(market)).alias("_x"), F.col(actual).alias("_y")
+    )
+    spread = F.coalesce(F.nullif(F.stddev_pop("_x"), F.lit(0.0)), F.lit(1.0))
+    scales = priced.groupBy(group).agg(F.avg("_x").alias("_c"), spread.alias("_s"))
+    x, y = (F.col("_x") - F.col("_c")) / F.col("_s"), F.col("_y")
     powers = {"x": x, "x2": x * x, "x3": x * x * x, "x4": x * x * x * x}
     products = {"y": y, "xy": x * y, "x2y": x * x * y}
+    scaling = [F.max(c).alias(c) for c in ("_c", "_s")]
     sums = (
-        df.filter((F.col(market) > 0) & y.isNotNull())
+        join_small(priced, scales, [group])
         .groupBy(season, group)
         .agg(
             F.count(F.lit(1)).cast("double").alias("n"),
             *[F.sum(e).alias(n) for n, e in {**powers, **products}.items()],
+            *scaling,
         )
     )
-    names = ["n", *powers, *products]
+    # A price counts in the season it first appears in, so that folds add up to their different prices.
+    first = priced.groupBy(group, "_x").agg(F.min(season).alias(season))
+    prices = first.groupBy(season, group).agg(F.count(F.lit(1)).alias("prices"))
+    names = ["n", *powers, *products, "prices"]
     folds = (
-        walk_forward(sums, test_seasons, season)
+        walk_forward(sums.unionByName(prices, allowMissingColumns=True), test_seasons, season)
         .filter(F.col("role") == TRAIN)
         .groupBy("test_season", group)
-        .agg(*[F.sum(c).alias(c) for c in names])
+        .agg(*[F.sum(c).alias(c) for c in names], *scaling)
     )
     left = [["n", "x", "x2"], ["x", "x2", "x3"], ["x2", "x3", "x4"]]
     right = ["y", "xy", "x2y"]
     base = _determinant([[F.col(c) for c in row] for row in left])
-    # Fewer than three different prices leave rounding noise here, not a determinant.
-    base = F.when(base > 1e-12 * F.col("n") * F.col("x2") * F.col("x4"), base)
+    base = F.when(F.col("prices") >= 3, base)
     solution = []
     for j in range(3):
         swapped = [[F.col(right[i] if k == j else left[i][k]) for k in range(3)] for i in range(3)]
-        solution.append(F.try_divide(_determinant(swapped), base).alias(f"b{j}"))
-    return folds.select("test_season", group, F.col("n").cast("bigint").alias("n_train"), *solution)
+        solution.append(F.try_divide(_determinant(swapped), base))
+    a0, a1, a2 = solution
+    ratio = F.col("_c") / F.col("_s")
+    return folds.select(
+        "test_season",
+        group,
+        F.col("n").cast("bigint").alias("n_train"),
+        (a0 - a1 * ratio + a2 * ratio * ratio).alias("b0"),
+        ((a1 - 2 * a2 * ratio) / F.col("_s")).alias("b1"),
+        (a2 / (F.col("_s") * F.col("_s"))).alias("b2"),
+    )
 
 
 def _determinant(m: list[list[Column]]) -> Column:
@@ -106,12 +125,12 @@ def predict_baseline(
 ) -> DataFrame:
     """Baseline of each row by the coefficients of the fold that tests its season.
 
-    Rows of seasons that no fold tests, and of groups a fold was not fitted on, drop out.
+    Rows of seasons that no fold tests, and of groups a fold was not fitted on, have a null baseline.
     """
     fitted = coefficients.withColumnRenamed("test_season", season).drop("n_train")
     x = F.ln(F.when(F.col(market) > 0, F.col(market)))
     value = F.col("b0") + F.col("b1") * x + F.col("b2") * x * x
-    return join_small(df, fitted, [season, group], "inner").withColumn(out, value).drop("b0", "b1", "b2")
+    return join_small(df, fitted, [season, group]).withColumn(out, value).drop("b0", "b1", "b2")
 
 
 def group_models(group: str, weight: str | None, trees: int, rounds: int) -> Mapping[str, object]:

@@ -94,7 +94,8 @@ def publish(spark: SparkSession, players: str, value_gaps: str, site: str, updat
 
     active = counted(ranking.active(projections), "n_active")
     boards = build_boards(active, counted(gaps, "n_gaps"), updated)
-    sinks.publish_boards(counted(boards, "n_rows"), site)
+    owned = [*(f"{position.lower()}-rankings" for position in ranking.BOARD_LIMITS), *LABEL_BOARD.values()]
+    sinks.publish_boards(counted(boards, "n_rows"), site, owned)
     return {name: seen.get[name] for name, seen in counts.items()}
 
 

@@ -116,15 +116,21 @@ def signups(events: DataFrame) -> DataFrame:
         address.alias("email"),
         source_of("k").alias("source"),
         path.alias("path"),
+        F.col("user_id").cast("string").alias("user_id"),
     )
 
 
-def payment_events(events: DataFrame) -> DataFrame:
-    """Events in the payment envelope: purchases complete a checkout, the plan type may be empty."""
+def payment_events(events: DataFrame, unlisted_from: int = 100) -> DataFrame:
+    """Events in the payment envelope: purchases complete a checkout, the plan type may be empty.
+
+    From the counter ``unlisted_from`` on the plan type is one that profiles cannot hold.
+    """
+    k = F.col("k")
+    listed = F.when(k % 3 == 0, "season").when(k % 3 == 1, "draft").otherwise("")
     metadata = F.struct(
         F.col("user_id").cast("string").alias("user_id"),
         F.year("ts").cast("string").alias("season"),
-        F.when(F.col("k") % 3 == 0, "season").when(F.col("k") % 3 == 1, "draft").otherwise("").alias("plan_type"),
+        F.when(k >= unlisted_from, "lifetime").otherwise(listed).alias("plan_type"),
     )
     completed = F.when(F.col("event_type") == "purchase", "checkout.session.completed")
     return events.select(

@@ -53,18 +53,23 @@ bounds as (
   from spread)"""
 FOLDS = "folds(test_season) as (values (1997), (1998), (1999), (2000), (2001))"
 BASELINE = f"""{SEASONS}, {FOLDS},
+mids as (select position, avg(ln(market)) as mid from pseas group by position),
+centred as (select p.*, mid, ln(market) - mid as z from pseas p join mids on p.position = mids.position),
 sums as (
-  select f.test_season, s.position, count(*) as n_train, cast(count(*) as double) as n,
-    sum(ln(market)) as x, sum(ln(market) ** 2) as x2, sum(ln(market) ** 3) as x3, sum(ln(market) ** 4) as x4,
-    sum(y) as y, sum(y * ln(market)) as xy, sum(y * ln(market) ** 2) as x2y
-  from pseas s join folds f on s.season < f.test_season group by f.test_season, s.position),
+  select f.test_season, s.position, max(mid) as mid, count(*) as n_train, cast(count(*) as double) as n,
+    sum(z) as x, sum(z ** 2) as x2, sum(z ** 3) as x3, sum(z ** 4) as x4,
+    sum(y) as y, sum(y * z) as xy, sum(y * z ** 2) as x2y
+  from centred s join folds f on s.season < f.test_season group by f.test_season, s.position),
 dets as (
   select *, n * (x2 * x4 - x3 * x3) - x * (x * x4 - x3 * x2) + x2 * (x * x3 - x2 * x2) as d,
     y * (x2 * x4 - x3 * x3) - x * (xy * x4 - x3 * x2y) + x2 * (xy * x3 - x2 * x2y) as d0,
     n * (xy * x4 - x3 * x2y) - y * (x * x4 - x3 * x2) + x2 * (x * x2y - xy * x2) as d1,
     n * (x2 * x2y - xy * x3) - x * (x * x2y - xy * x2) + y * (x * x3 - x2 * x2) as d2
   from sums),
-coefs as (select test_season, position, n_train, d0 / d as b0, d1 / d as b1, d2 / d as b2 from dets),
+coefs as (
+  select test_season, position, n_train, (d0 - d1 * mid + d2 * mid ** 2) / d as b0, (d1 - 2 * d2 * mid) / d as b1,
+    d2 / d as b2
+  from dets),
 tested as (
   select l.player_id, l.season, l.position, l.y, l.y_hat,
     c.b0 + c.b1 * ln(l.market) + c.b2 * ln(l.market) ** 2 as y_base
@@ -79,8 +84,9 @@ src as (
   from ev)"""
 SIGNUPS = f"""{EVENTS},
 mail as (
-  select event_id, ts, case when value < 5 then '' else 'user' || user_id || '@example.com' end as email,
-    case when source = '' then 'landing' else source end as source, event_type = 'signup' as capture
+  select event_id, ts, user_id, case when value < 5 then '' else 'user' || user_id || '@example.com' end as email,
+    case when event_type = 'view' then 'register' when source = '' then 'landing' else source end as source,
+    event_type = 'signup' as capture
   from src where event_type in ('signup', 'view')),
 judged as (
   select *, case when email = '' then 'email required'
@@ -107,15 +113,23 @@ prof as (
     case when p.id is null then epoch_us(timestamp '2023-12-31 00:00:00')
       else epoch_us(timestamp '2026-04-20 12:00:00') end as updated_at_us
   from customer c left join (select * from pay where rn = 1) p on cast(c.c_custkey as varchar) = p.id)"""
-EMAIL_LIST = f"""with {SIGNUPS},
+EMAIL_LIST_PARTS = f"""with {SIGNUPS},
 ok as (select * from judged where outcome = 'accepted'),
 placed as (
   select *, row_number() over (
     partition by email order by capture desc, case when capture then -epoch_us(ts) else epoch_us(ts) end,
       case when capture then -event_id else event_id end) as rn
-  from ok)
-select email, source, epoch_us(ts) as created_us from placed where rn = 1"""
+  from ok)"""
+EMAIL_LIST = f"{EMAIL_LIST_PARTS} select email, source, epoch_us(ts) as created_us from placed where rn = 1"
 PROFILES = f"with {PAID} select id, plan, plan_type, season_paid, paid_at_us, updated_at_us from prof"
+CONVERSION = f"""with {EVENTS},
+s as (
+  select source, exists (select 1 from ev p where p.event_type = 'purchase' and p.user_id = src.user_id
+    and p.ts > src.ts and p.ts <= src.ts + interval 7 days) as paid
+  from src where event_type = 'signup')
+select source, count(*) as n_signups, count(*) filter (paid) as n_converted,
+  avg(cast(paid as integer)) as conversion
+from s group by source"""
 
 SQL: dict[str, str] = {
     "active_filter": f"""with {PLAYERS}
@@ -395,14 +409,56 @@ SQL: dict[str, str] = {
         select plan, plan_type, season_paid, count(*) as n from prof group by plan, plan_type, season_paid""",
     "own_rows": "select event_id, user_id, event_type, value from events where user_id = 7",
     "distinct_keys": "select event_type, count(distinct user_id) as n_keys from events group by event_type",
-    "signup_conversion": f"""with {EVENTS},
-        s as (
-          select source, exists (select 1 from ev p where p.event_type = 'purchase' and p.user_id = src.user_id
-            and p.ts > src.ts and p.ts <= src.ts + interval 7 days) as paid
-          from src where event_type = 'signup')
-        select source, count(*) as n_signups, count(*) filter (paid) as n_converted,
-          avg(cast(paid as integer)) as conversion
-        from s group by source""",
+    "signup_conversion": CONVERSION,
+    "stream_conversion": CONVERSION,
     "stream_payment": PROFILES,
+    "stream_compacted": PROFILES,
     "stream_signup": EMAIL_LIST,
+    "stream_repeats": """select cast(user_id as varchar) as user_id, count(*) as n_payments, max(epoch_us(ts)) as last_us
+        from events where event_type = 'purchase' group by user_id""",
+    "payment_quarantine": f"""with {EVENTS},
+        pay as (
+          select cast(user_id as varchar) as id, ts, event_id,
+            case when k >= 90 then 'lifetime' when k % 3 = 1 then 'draft' else 'season' end as plan_type
+          from ev where event_type = 'purchase'),
+        bad as (select id, count(*) as n from pay where plan_type = 'lifetime' group by id),
+        good as (
+          select *, row_number() over (partition by id order by ts desc, event_id desc) as rn
+          from pay where plan_type <> 'lifetime')
+        select cast(c_custkey as varchar) as id, case when good.id is null then 'free' else 'paid' end as plan,
+          coalesce(plan_type, 'season') as plan_type, epoch_us(good.ts) as paid_at_us, coalesce(n, 0) as n_rejected
+        from customer left join (select * from good where rn = 1) good on cast(c_custkey as varchar) = good.id
+          left join bad on cast(c_custkey as varchar) = bad.id""",
+    "register_flow": f"""{EMAIL_LIST_PARTS},
+        old as (
+          select cast(c_custkey as varchar) as id, 'user' || c_custkey || '@example.com' as email,
+            epoch_us(timestamp '2023-12-31 00:00:00') as opened_us
+          from customer where c_nationkey < 12),
+        reg as (
+          select cast(user_id as varchar) as id, email, epoch_us(ts) as opened_us,
+            row_number() over (partition by email order by ts, event_id) as rn
+          from ok where not capture),
+        prof as (
+          select * from old
+          union all select id, email, opened_us from reg where rn = 1 and id not in (select id from old)),
+        list as (select email, source, epoch_us(ts) as created_us from placed where rn = 1)
+        select coalesce(list.email, prof.email) as email, id, case when id is not null then 'free' end as plan,
+          opened_us, source, created_us
+        from list full join prof on list.email = prof.email""",
+    "asof_null_keys": f"""with {EVENTS},
+        p as (
+          select event_id, case when k >= 5 then user_id end as user_id, case when k < 5 or k >= 10 then ts end as t
+          from ev where event_type = 'purchase'),
+        v as (
+          select case when k >= 10 then user_id end as user_id, ts as vts, event_id as view_id
+          from ev where event_type = 'view'),
+        c as (
+          select p.event_id, p.user_id, v.view_id, abs(epoch_us(t) - epoch_us(vts)) as micros_apart,
+            row_number() over (partition by p.event_id order by abs(epoch_us(t) - epoch_us(vts)), vts, v.view_id) as rn
+          from p left join v on p.user_id = v.user_id and p.t is not null)
+        select event_id, user_id, view_id, micros_apart from c where rn = 1""",
+    "ensemble_average": f"""with {BASELINE}
+        select player_id, season, round((y_hat + y_base) / 2, 4) as y_hat,
+          round(abs(y_hat - y_base) / sqrt(2), 4) as uncertainty, cast(2 as bigint) as n_models
+        from tested""",
 }

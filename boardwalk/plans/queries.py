@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boardwalk import schemas
 from boardwalk.functions import scalars as S
@@ -21,8 +22,10 @@ from boardwalk.operators import (
     scarcity,
     walkforward,
 )
+from boardwalk.operators.joins import having
 from boardwalk.plans import frames
 from boardwalk.session import materialise, scratch_path
+from boardwalk.sources import readers
 from boardwalk.streaming import ingest
 
 LIMITS = {"AUTOMOBILE": 32, "BUILDING": 50, "FURNITURE": 60, "HOUSEHOLD": 24, "MACHINERY": 32}
@@ -276,6 +279,26 @@ def asof_nearest(spark, folder):
     return joined.select("event_id", "user_id", "view_id", apart.alias("micros_apart"))
 
 
+@query
+def asof_null_keys(spark, folder):
+    """``asof_nearest`` where some purchases lack the user or the time, and some views the user."""
+    events = frames.events(spark, folder)
+    k = F.col("k")
+    asks = events.filter(F.col("event_type") == "purchase").select(
+        "event_id",
+        F.when(k >= 5, F.col("user_id")).alias("user_id"),
+        F.when((k < 5) | (k >= 10), F.col("ts")).alias("ts"),
+    )
+    views = events.filter(F.col("event_type") == "view").select(
+        F.when(k >= 10, F.col("user_id")).alias("user_id"),
+        F.col("ts").alias("view_ts"),
+        F.col("event_id").alias("view_id"),
+    )
+    joined = features.asof_join(asks, views, ["user_id"], "ts", "view_ts", "view_id", "event_id")
+    apart = F.abs(F.unix_micros("ts") - F.unix_micros("view_ts"))
+    return joined.select("event_id", "user_id", "view_id", apart.alias("micros_apart"))
+
+
 @query
 def depth_snapshot(spark, folder):
     """Of each customer and season the order nearest to 5 September."""
@@ -416,19 +439,28 @@ def metrics_rollup(spark, folder):
     return table.select("scope", "n_seasons", "n_rows", *[F.round(c, 6).alias(c) for c in figures])
 
 
+def by_model(spark, folder) -> DataFrame:
+    """The predictions by last season and by the market as rows of two models."""
+    models = F.array(
+        F.struct(F.lit("last_season").alias("model"), F.col("y_hat").alias("y_hat")),
+        F.struct(F.lit("market").alias("model"), F.col("y_base").alias("y_hat")),
+    )
+    rows = with_baseline(spark, folder).select("player_id", "season", "position", "y", F.explode(models).alias("m"))
+    return rows.select("player_id", "season", "position", "y", "m.*")
+
+
+@query
+def ensemble_average(spark, folder):
+    """Mean and spread of the predictions by last season and by the market."""
+    averaged = walkforward.ensemble(by_model(spark, folder), ["player_id", "season"])
+    figures = [F.round(c, 4).alias(c) for c in ("y_hat", "uncertainty")]
+    return averaged.select("player_id", "season", *figures, "n_models")
+
+
 @query
 def model_choice(spark, folder):
     """The better of last season and the market baseline per segment, on pooled errors."""
-    both = with_baseline(spark, folder).select(
-        "position",
-        "y",
-        F.explode(
-            F.array(
-                F.struct(F.lit("last_season").alias("model"), F.col("y_hat").alias("y_hat")),
-                F.struct(F.lit("market").alias("model"), F.col("y_base").alias("y_hat")),
-            )
-        ).alias("m"),
-    ).select("position", "y", "m.*")
+    both = by_model(spark, folder)
     best = metrics.best_model(metrics.accuracy(both, ["position", "model"]), ["position"])
     return best.select("position", "best_model", *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "r2")])
 
@@ -541,11 +573,30 @@ def insert_ignore(spark, folder):
     return merged.select("user_id", "source", "event_id")
 
 
+def accepted_signups(spark, folder) -> DataFrame:
+    filled = rules.signup_sources(frames.signups(frames.events(spark, folder)))
+    return rules.split(filled, rules.EMAIL_RULES)[0]
+
+
+@query
+def register_flow(spark, folder):
+    """The profiles and the list, by address, after sign-ups and registrations; some users had a profile."""
+    accepted = accepted_signups(spark, folder)
+    known = frames.customers(spark, folder).filter(F.col("team") < 12)
+    stored = having(
+        frames.profiles(spark, folder), known.select(F.col("player_id").cast("string").alias("id")), ["id"]
+    )
+    profiles = merge.registered_profiles(accepted, stored).select(
+        "email", "id", "plan", F.unix_micros("created_at").alias("opened_us")
+    )
+    listed = merge.email_list(accepted).select("email", "source", F.unix_micros("created_at").alias("created_us"))
+    return profiles.join(listed, "email", "full")
+
+
 @query
 def email_list(spark, folder):
     """Both sign-up paths in one list: captures overwrite, registrations only add."""
-    filled = rules.fill_defaults(frames.signups(frames.events(spark, folder)), rules.EMAIL_DEFAULTS)
-    accepted, _ = rules.split(filled, rules.EMAIL_RULES)
+    accepted = accepted_signups(spark, folder)
     return merge.email_list(accepted).select("email", "source", F.unix_micros("created_at").alias("created_us"))
 
 
@@ -570,7 +621,7 @@ def payment_merge(spark, folder):
 
 @query
 def quarantine(spark, folder):
-    filled = rules.fill_defaults(frames.signups(frames.events(spark, folder)), rules.EMAIL_DEFAULTS)
+    filled = rules.signup_sources(frames.signups(frames.events(spark, folder)))
     checked = rules.check(filled, rules.EMAIL_RULES)
     return rules.slice_counts(
         checked.withColumn("outcome", F.coalesce("reject_reason", F.lit("accepted"))), ["outcome", "source"]
@@ -640,6 +691,85 @@ def stream_payment(spark, folder):
     return paid.select(*profile_columns())
 
 
+@query
+def payment_quarantine(spark, folder):
+    """The profiles after a payment stream that also brings plan types no profile can hold, and how many of those."""
+    events = frames.payment_events(frames.event_stream(spark, folder), unlisted_from=90)
+    target = scratch_path(spark, "quarantine")
+    ingest.payment_stream(
+        events, f"{target}/log", f"{target}/progress", rejected_path=f"{target}/rejected"
+    ).awaitTermination()
+    rejected = ingest.read_batches(spark, f"{target}/rejected", ingest.REJECTED_PAYMENTS)
+    counts = rules.slice_counts(rejected.withColumnRenamed("user_id", "id"), ["id"], "n_rejected")
+    paid = ingest.profiles_after_payments(frames.profiles(spark, folder), f"{target}/log")
+    return paid.join(counts, "id", "left").select(
+        "id",
+        "plan",
+        "plan_type",
+        F.unix_micros("paid_at").alias("paid_at_us"),
+        F.coalesce("n_rejected", F.lit(0).cast("bigint")).alias("n_rejected"),
+    )
+
+
+@query
+def stream_compacted(spark, folder):
+    """The profiles after a payment stream, whose log is compacted, and a new stream that reads everything again."""
+    target = scratch_path(spark, "compacted")
+    for log, progress in (("log", "first"), ("base", "second")):
+        events = frames.payment_events(frames.event_stream(spark, folder))
+        ingest.payment_stream(events, f"{target}/{log}", f"{target}/{progress}").awaitTermination()
+        if log == "log":
+            ingest.compact(spark, f"{target}/log", f"{target}/base", schemas.PAYMENTS, ingest.fold_payments)
+    at = F.lit(UPDATED).cast("timestamp")
+    paid = ingest.profiles_after_payments(frames.profiles(spark, folder), f"{target}/base", at)
+    return paid.select(*profile_columns())
+
+
+@query
+def stream_repeats(spark, folder):
+    """Payments per user, from JSON bodies in several files, out of order and half of them sent twice."""
+    target = scratch_path(spark, "repeats")
+    sent = frames.payment_events(frames.events(spark, folder))
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    bodies = sent.select(F.to_json(F.struct("*"), exact).alias("value"), F.col("ts"))
+    bodies.select("value").repartition(3).write.text(f"{target}/bodies")
+    again = bodies.filter(F.second("ts") < 30).select("value")
+    again.repartition(1).write.mode("append").text(f"{target}/bodies")
+    stream = readers.events_of(
+        readers.read_bodies(spark, f"{target}/bodies", maxFilesPerTrigger=1), schemas.PAYMENT_EVENTS
+    )
+    once = ingest.without_repeats(merge.completed_payments(stream), delay="3650 days")
+    ingest.start(
+        once, lambda rows, batch: ingest.write_batch(rows, f"{target}/log", batch), f"{target}/progress"
+    ).awaitTermination()
+    payments = ingest.read_batches(spark, f"{target}/log", schemas.PAYMENTS)
+    return payments.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n_payments"), F.max(F.unix_micros("ts")).alias("last_us")
+    )
+
+
+@query
+def stream_conversion(spark, folder):
+    """``signup_conversion`` from a join of two streams."""
+    target = scratch_path(spark, "conversion")
+    events = frames.event_stream(spark, folder)
+    signups = events.filter(F.col("event_type") == "signup").select(
+        "event_id", "user_id", "ts", frames.source_of("k").alias("source")
+    )
+    payments = events.filter(F.col("event_type") == "purchase").select("user_id", "ts")
+    for rows, name in ((signups, "signups"), (ingest.conversions(signups, payments), "matches")):
+        ingest.start(
+            rows, lambda r, batch, name=name: ingest.write_batch(r, f"{target}/{name}", batch), f"{target}/{name}-progress"
+        ).awaitTermination()
+    came = ingest.read_batches(
+        spark, f"{target}/signups", T.StructType.fromDDL("event_id bigint, ts timestamp, source string")
+    )
+    matches = ingest.read_batches(
+        spark, f"{target}/matches", T.StructType.fromDDL("event_id bigint, paid_ts timestamp")
+    )
+    return merge.signup_conversion(ingest.first_conversions(came, matches), 7, ["source"])
+
+
 @query
 def stream_signup(spark, folder):
     """The e-mail list after the event files went through the sign-up stream."""

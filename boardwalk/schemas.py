@@ -71,7 +71,7 @@ PROFILES = _table(
     updated_at=_TIME,
 )
 EMAIL_LIST = _table(email=_TEXT, source=_TEXT, created_at=_TIME)
-SIGNUP_EVENTS = _table(event_id=_TEXT, ts=_TIME, email=_TEXT, source=_TEXT, path=_TEXT)
+SIGNUP_EVENTS = _table(event_id=_TEXT, ts=_TIME, email=_TEXT, source=_TEXT, path=_TEXT, user_id=_TEXT)
 PAYMENT_EVENTS = _table(
     event_id=_TEXT,
     ts=_TIME,

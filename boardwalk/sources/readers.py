@@ -14,12 +14,17 @@ from boardwalk.schemas import ROSTER_CONFIG
 CORRUPT = "_corrupt_record"
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
-    """A JSON array of objects, on one line or many; malformed input fails.
+def read_records(spark: SparkSession, path: str, schema: T.StructType, lines: bool | None = None) -> DataFrame:
+    """A JSON array of objects, on one line or many, or JSON lines; malformed input fails.
 
-    One file is one task, as an array cannot be split. Large exports are written as JSON lines,
-    which ``lines`` reads in parallel.
+    One file of an array is one task, as it cannot be split; JSON lines are read in parallel.
+    Unless ``lines`` says which it is, input whose first line is a whole object is taken as lines.
     """
+    if lines is None:
+        line = F.trim("value")
+        ends = spark.read.text(path).filter(line != "").select(F.left(line, F.lit(1)), F.right(line, F.lit(1)))
+        first = ends.first()
+        lines = first is not None and tuple(first) == ("{", "}")
     reader = spark.read.schema(schema).option("mode", "FAILFAST")
     return reader.option("multiLine", not lines).json(path)
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 
 from boardwalk.operators.merge import new_rows
 
 
-def publish_boards(boards: DataFrame, path: str) -> None:
-    """One output folder per board; a published board is replaced, the others stay."""
+def publish_boards(boards: DataFrame, path: str, owned: Iterable[str] = ()) -> None:
+    """One output folder per board; a published board is replaced, the others stay.
+
+    An ``owned`` board that has no rows now is removed.
+    """
+    owned = set(owned)
+    present = {row[0] for row in boards.select("board").distinct().collect()} if owned else owned
     (
         boards.repartition("board")
         .sortWithinPartitions("board", "rank")
@@ -17,6 +24,10 @@ def publish_boards(boards: DataFrame, path: str) -> None:
         .mode("overwrite")
         .parquet(path)
     )
+    spark = boards.sparkSession
+    for name in sorted(owned - present):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/board={name}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def export_json(product: DataFrame, path: str) -> None:

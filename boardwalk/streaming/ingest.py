@@ -20,7 +20,9 @@ from boardwalk.operators import merge, rules
 from boardwalk.operators.features import earliest_per_key, latest_per_key
 
 SIGNUP_RULES = (*rules.EMAIL_RULES, rules.one_of("path", ("capture", "register")))
-REJECTED_SIGNUPS = T.StructType(schemas.SIGNUP_EVENTS.fields + [T.StructField("reject_reason", T.StringType())])
+REASON = T.StructField("reject_reason", T.StringType())
+REJECTED_SIGNUPS = T.StructType([*schemas.SIGNUP_EVENTS.fields, REASON])
+REJECTED_PAYMENTS = T.StructType([*schemas.PAYMENTS.fields, REASON])
 
 
 def without_repeats(
@@ -44,6 +46,18 @@ def write_batch(rows: DataFrame, path: str, batch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
+def write_checked(
+    rows: DataFrame, fold: Callable[[DataFrame], DataFrame], path: str, rejected_path: str, batch: int
+) -> None:
+    """Writes the fold of a batch's accepted rows, and its rejected rows as they are."""
+    rows = rows.persist()
+    try:
+        write_batch(fold(rows.filter(F.col("reject_reason").isNull()).drop("reject_reason")), path, batch)
+        write_batch(rows.filter(F.col("reject_reason").isNotNull()), rejected_path, batch)
+    finally:
+        rows.unpersist()
+
+
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The rows of all batches written so far; none before the first."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -65,13 +79,20 @@ def fold_payments(payments: DataFrame) -> DataFrame:
 
 
 def payment_stream(
-    events: DataFrame, path: str, checkpoint: str, delay: str | None = None, once: bool = True
+    events: DataFrame,
+    path: str,
+    checkpoint: str,
+    delay: str | None = None,
+    once: bool = True,
+    rejected_path: str | None = None,
 ) -> StreamingQuery:
     """Writes the completed payments of an event stream; with ``delay``, ``without_repeats``.
 
-    Other event types are passed over, and counted per batch as ``n_ignored`` of the progress
-    report's ``payment_events``.
+    Payments of an unknown plan type go to ``rejected_path``, with the reason; by default that is
+    ``path`` with ``-rejected``. Other event types are passed over, and counted per batch as
+    ``n_ignored`` of the progress report's ``payment_events``.
     """
+    rejected_path = rejected_path or f"{path}-rejected"
     ignored = F.count_if(~F.col("type").eqNullSafe(merge.PAYMENT_TYPE))
     events = events.observe("payment_events", F.count(F.lit(1)).alias("n_events"), ignored.alias("n_ignored"))
     payments = merge.completed_payments(events)
@@ -79,9 +100,9 @@ def payment_stream(
         payments = without_repeats(payments, delay=delay)
 
     def each_batch(rows: DataFrame, batch: int) -> None:
-        write_batch(fold_payments(rows), path, batch)
+        write_checked(rows, fold_payments, path, rejected_path, batch)
 
-    return start(payments, each_batch, checkpoint, once)
+    return start(rules.check(payments, rules.PAYMENT_RULES), each_batch, checkpoint, once)
 
 
 def profiles_after_payments(profiles: DataFrame, path: str, at=None) -> DataFrame:
@@ -109,14 +130,10 @@ def signup_stream(
     """Writes valid sign-ups to ``path`` and the rest, with the reason, to ``rejected_path``."""
     if delay:
         events = without_repeats(events, delay=delay)
-    checked = rules.check(rules.fill_defaults(events, rules.EMAIL_DEFAULTS), SIGNUP_RULES)
+    checked = rules.check(rules.signup_sources(events), SIGNUP_RULES)
 
     def each_batch(rows: DataFrame, batch: int) -> None:
-        rows = rows.persist()
-        accepted = rows.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-        write_batch(fold_signups(accepted), path, batch)
-        write_batch(rows.filter(F.col("reject_reason").isNotNull()), rejected_path, batch)
-        rows.unpersist()
+        write_checked(rows, fold_signups, path, rejected_path, batch)
 
     return start(checked, each_batch, checkpoint, once)
 
@@ -150,3 +167,12 @@ def conversions(
         F.col("paid_ts") <= F.col("signup_ts") + F.expr(f"INTERVAL {within}")
     )
     return left.join(right, (F.col(user) == F.col("_user")) & later).drop("_user")
+
+
+def first_conversions(signups: DataFrame, matches: DataFrame, key: str = "event_id") -> DataFrame:
+    """Every sign-up with ``paid_ts`` of its earliest match in the log of ``conversions``, null where none came.
+
+    An outer join of the streams would hold the last sign-ups back until later events pass the
+    watermark; read from the logs, none is missing.
+    """
+    return signups.join(matches.groupBy(key).agg(F.min("paid_ts").alias("paid_ts")), key, "left")

@@ -38,12 +38,21 @@ def test_baseline_is_the_least_squares_fit(rows):
         assert r.n_train == len(train)
         assert [r.b0, r.b1, r.b2] == pytest.approx([b0, b1, b2], rel=1e-6)
     predicted = walkforward.predict_baseline(df, fitted)
-    assert {r.season for r in predicted.select("season").distinct().collect()} == {2021, 2022}
-    row, c = predicted.first(), {(r.test_season, r.position): r for r in fitted.collect()}
+    assert predicted.count() == 300
+    tested = predicted.filter("y_base is not null")
+    assert {r.season for r in tested.select("season").distinct().collect()} == {2021, 2022}
+    row, c = tested.first(), {(r.test_season, r.position): r for r in fitted.collect()}
     b, x = c[(row.season, row.position)], math.log(row.adp)
     assert row.y_base == pytest.approx(b.b0 + b.b1 * x + b.b2 * x * x)
 
 
+def test_baseline_of_near_prices(rows):
+    data = [("QB", 2019, 170.0 + i, 300 - 20 * math.log(170 + i)) for i in range(31)]
+    fitted = walkforward.log_market_baseline(rows(data, "position string, season int, adp double, y double"), [2020]).first()
+    x = math.log(180)
+    assert fitted.b0 + fitted.b1 * x + fitted.b2 * x * x == pytest.approx(300 - 20 * x)
+
+
 def test_degenerate_baseline_is_null(rows):
     df = rows([(1, "QB", 2019, 5.0, 1.0)], "player_id int, position string, season int, adp double, y double")
     assert values(walkforward.log_market_baseline(df, [2020]), "n_train", "b0") == [(1, None)]

@@ -73,7 +73,7 @@ def test_email_list_paths(spark, listed):
             ("5", at(2), "d@x", "register", "register"),
             ("6", at(0), "b@x", "landing", "capture"),
         ],
-        schemas.SIGNUP_EVENTS,
+        "event_id string, ts timestamp, email string, source string, path string",
     )
     assert values(merge.email_list(events, listed), "email", "source", "created_at") == [
         ("a@x", "landing", T0),

@@ -112,6 +112,9 @@ def test_publishing_replaces_only_the_boards_written(spark, data, tmp_path):
     sinks.publish_boards(spark.createDataFrame([("qb-rankings", 1)], "board string, rank int"), site)
     counts = spark.read.schema("rank int, board string").parquet(site).groupBy("board").count()
     assert values(counts, "board", "count") == [("qb-rankings", 1), ("rb-rankings", 1), ("top-busts", 1), ("top-sleepers", 2)]
+    (data / "gaps.json").write_text("[]")
+    boards.publish(spark, str(data / "projections.json"), str(data / "gaps.json"), site, UPDATED)
+    assert values(spark.read.parquet(site).select("board").distinct(), "board") == [("qb-rankings",), ("rb-rankings",)]
 
 
 def test_export_and_read_back(spark, data, rows, tmp_path):
@@ -124,7 +127,7 @@ def test_export_and_read_back(spark, data, rows, tmp_path):
     boards.export_static(stats, players, config, str(tmp_path / "out"), seasons=5)
     points = spark.read.json(str(tmp_path / "out" / "season_points"))
     assert values(points, "player_id", "season", "points") == [("q1", 2025, 201.0), ("r1", 2025, 20.0)]
-    exported = readers.read_records(spark, str(tmp_path / "out" / "players"), schemas.PROJECTIONS, lines=True)
+    exported = readers.read_records(spark, str(tmp_path / "out" / "players"), schemas.PROJECTIONS)
     assert values(exported, "player_id", "vbd")[0] == ("k1", 0.0) and exported.count() == 6
     table = readers.read_records(spark, str(tmp_path / "out" / "scarcity"), schemas.SCARCITY, lines=True)
     assert values(table, "position", "top_pts", "replacement_pts") == [("QB", 154.8, 154.8), ("RB", 90.0, 90.0)]

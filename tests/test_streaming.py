@@ -74,6 +74,15 @@ def test_payments_with_repeats_and_late_events(spark, profiles, tmp_path, delay)
     assert values(batch, *columns) == values(state, *columns)
 
 
+def test_payments_of_unknown_plan_types_are_kept_apart(spark, profiles, tmp_path):
+    drop(tmp_path / "events", "a.json", [payment("e1", 1, "u1", "lifetime"), payment("e2", 2, "u2", "draft")])
+    run_payments(spark, tmp_path / "events", tmp_path / "out", None)
+    rejected = ingest.read_batches(spark, str(tmp_path / "out" / "log-rejected"), ingest.REJECTED_PAYMENTS)
+    assert values(rejected, "user_id", "reject_reason") == [("u1", "plan_type not allowed")]
+    state = ingest.profiles_after_payments(profiles, str(tmp_path / "out" / "log"), F.lit(NOW))
+    assert values(state, "id", "plan", "plan_type") == [("u1", "free", "season"), ("u2", "paid", "draft"), ("u3", "free", "season")]
+
+
 def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     rows = spark.createDataFrame([("e1", T0, "u1", "2026", "draft")], schemas.PAYMENTS)
     for _ in range(2):
@@ -92,7 +101,7 @@ def test_signups_rejects_and_compaction(spark, tmp_path):
     stream = stream_of(spark, events, schemas.SIGNUP_EVENTS)
     paths = [str(out / p) for p in ("log", "rejected", "progress")]
     ingest.signup_stream(stream, *paths).awaitTermination()
-    expected = [("a@x", "landing", T0 + timedelta(hours=5)), ("c@x", "landing", T0 + timedelta(hours=2))]
+    expected = [("a@x", "landing", T0 + timedelta(hours=5)), ("c@x", "register", T0 + timedelta(hours=2))]
     assert values(ingest.email_list(spark, paths[0]), "email", "source", "created_at") == expected
     rejected = ingest.read_batches(spark, paths[1], ingest.REJECTED_SIGNUPS)
     assert values(rejected, "event_id", "reject_reason") == [("2", "email required"), ("3", "source not allowed"), ("7", "path not allowed")]
