@@ -202,6 +202,22 @@ def fit_predict(
     return both.drop("_x", "_group", *given, *absent)
 
 
+def tested_seasons(df: DataFrame, season: str = "season") -> list[int]:
+    """The seasons of the rows, oldest first, without the oldest one, which has none before it to train on."""
+    seasons = df.select(season).where(F.col(season).isNotNull()).distinct().collect()
+    return sorted(r[0] for r in seasons)[1:]
+
+
+def predict_folds(df: DataFrame, test_seasons: Sequence[int], features: Sequence[str], groups: Sequence[str], **fitting) -> DataFrame:
+    """``fit_predict`` of every fold, one below the other; without folds no rows."""
+    if not test_seasons:
+        void = {"test_season": "int", "role": "string", "y_hat": "double", "model": "string"}
+        return df.where(F.lit(False)).withColumns({c: F.lit(None).cast(kind) for c, kind in void.items()})
+    folds = walk_forward(df, test_seasons)
+    each = [fit_predict(folds, features, groups, season, **fitting) for season in test_seasons]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each)
+
+
 def ensemble(predictions: DataFrame, keys: Sequence[str], predicted: str = "y_hat") -> DataFrame:
     """Mean and spread of the models' predictions for each entity."""
     return predictions.groupBy(*keys).agg(

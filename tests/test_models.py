@@ -172,3 +172,15 @@ def test_model_and_baseline_share_their_rows(rows):
     row = metrics.season_metrics(df).filter("scope = 'a'").first()
     assert (row.n_rows, row.mae, row.mae_base, row.edge) == (2, 2.0, 10.0, 0.8)
     assert metrics.accuracy(df, ["position"], predicted="y_base").first()[1:3] == (2, 10.0)
+
+
+def test_every_season_but_the_first_is_predicted(spark):
+    from boardwalk.plans import queries
+
+    folder = "/root/testdata/sf0.001"
+    given = queries.ensemble_rows(spark, folder)
+    oldest = given.agg({"season": "min"}).first()[0]
+    want = {(r.player_id, r.season) for r in given.collect() if r.season > oldest}
+    got = queries.ensemble_folds(spark, folder).collect()
+    assert sorted((r.player_id, r.season) for r in got) == sorted(want) and len({s for _, s in want}) > 1
+    assert all(r.n_models == 3 for r in got)
