@@ -43,9 +43,13 @@ def packed(sums: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """A block of benchmark items: their weighted shingles, lengths in words and fingerprints by part."""
+    """A block of benchmark items: their weighted shingles, lengths in words and fingerprints by part.
 
-    def __init__(self, ids: list, texts: list, rule: Rule):
+    ``over_all``: for a block that is not the whole benchmark, the number of all items, and the shingles that more than
+    one of all items holds, sorted, with their numbers of items. All other shingles weigh the same, known or not.
+    """
+
+    def __init__(self, ids: list, texts: list, rule: Rule, over_all: tuple | None = None):
         data, offsets = raw(pa.array([t or "" for t in texts], pa.string()))
         flat, counts = words(data, offsets)
         rows = list(shingle_rows(flat, counts, rule.k))
@@ -56,8 +60,9 @@ class Items:
         self.rows = [rows[i] for i in keep]
         known = np.concatenate(self.rows) if keep else np.zeros(0, np.uint64)
         self.known, held = np.unique(known, return_counts=True)
-        self.weights = (1 + np.log(max(1, len(keep)) / np.maximum(1, held))).astype(np.float32)
-        self.unknown = np.float32(1 + np.log(max(1, len(keep))))
+        n, self.shared, held = over_all or (len(keep), self.known[held > 1], held[held > 1])
+        self.weights = (1 + np.log(max(1, n) / held)).astype(np.float32)
+        self.unknown = np.float32(1 + np.log(max(1, n)))
         self.prints = np.array([packed((signs(r) * self.weight(r)[:, None]).sum(0)[None])[0] for r in self.rows], np.uint64)
         self.totals = np.array([self.weight(r).sum() for r in self.rows], np.float64)
         width = 64 // rule.blocks
@@ -79,10 +84,10 @@ class Items:
         return values[order], items[order]
 
     def weight(self, row: np.ndarray) -> np.ndarray:
-        if not len(self.known):
+        if not len(self.shared):
             return np.full(len(row), self.unknown, np.float32)
-        at = np.minimum(np.searchsorted(self.known, row), len(self.known) - 1)
-        return np.where(self.known[at] == row, self.weights[at], self.unknown)
+        at = np.minimum(np.searchsorted(self.shared, row), len(self.shared) - 1)
+        return np.where(self.shared[at] == row, self.weights[at], self.unknown)
 
     def similarity(self, item: int, window: np.ndarray) -> float:
         both = np.intersect1d(self.rows[item], window, assume_unique=True)
@@ -150,13 +155,36 @@ class Items:
         return [(r, int(self.ids[i]), *v) for (r, i), v in sorted(best.items())]
 
 
+def over_all(items: DataFrame, rule: Rule) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many of the items have words, and the shingles that several of them hold, with how many do."""
+
+    def loop(batches):
+        for batch in pieces(batches):
+            rows = [row for row in shingle_rows(*words(*raw(batch.column("text"))), rule.k) if len(row)]
+            if rows:
+                found, held = np.unique(np.concatenate(rows), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([None, *found.view(np.int64).tolist()], pa.int64()), pa.array([len(rows), *held.tolist()], pa.int64())], ["shingle", "n"])
+
+    counted = items.distinct().mapInArrow(giving_back(loop), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    table = counted.where("shingle is null or n > 1").toArrow()
+    total = table.filter(table.column("shingle").is_null()).column("n").to_pylist()
+    table = table.filter(table.column("shingle").is_valid())
+    shared = table.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(shared)
+    return sum(total), shared[order], table.column("n").to_numpy()[order]
+
+
 def item_blocks(items: DataFrame, rule: Rule):
-    """The benchmark in blocks of about ``items_at_once`` items, one after the other, each ready for the executors."""
+    """The benchmark in blocks of about ``items_at_once`` items, one after the other, each ready for the executors.
+
+    All texts of an item are in one block, and weights are those of the whole benchmark, so blocks change no result.
+    """
     items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
     parts = -(-max(1, items.count()) // rule.items_at_once)
+    weights = over_all(items, rule) if parts > 1 else None
     for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).distinct().orderBy("item_id", "text").collect()
-        yield items.sparkSession.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], rule))
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).distinct().orderBy("item_id", "text").collect()
+        yield items.sparkSession.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], rule, weights))
 
 
 SCHEMA = "doc_id long, item_id long, first_word int, n_words int, differing_bits int, similarity double"
@@ -170,7 +198,8 @@ def leaks(docs: DataFrame, items: DataFrame, rule: Rule = Rule(), key: str = "do
     Documents are scanned once for each block of items and never shuffled. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z
     as a-z. Null or empty texts, and items without words, match nothing; an item of fewer than ``k`` words is one
     shingle. Rows without an id are reported with a null doc_id; repeated rows are reported as often as they come.
-    Several texts of one item_id count for that item. Shingle weights are of the block's items.
+    Several texts of one item_id count for that item. Shingle weights are of all items; those that several
+    items hold are broadcast with each block.
     """
     docs = id_text(docs, key, text)
     found = None

@@ -101,6 +101,25 @@ def test_leaks_equal_all_windows(docs, spark):
     assert decontaminate.leaks(docs(pairs), table.limit(0)).count() == 0
 
 
+def test_blocks_of_items_change_no_result(docs, spark):
+    draw = np.random.RandomState(6)
+    text = lambda n: " ".join(f"v{x}" for x in draw.randint(0, 3000, n))
+    common = [text(12) for _ in range(4)]
+    items = [(i, f"{text(12)} {common[i % 4]} {text(8)}") for i in range(40)] + [(3, text(20)), (3, text(20))]
+    pairs = []
+    for i in range(120):
+        item = items[i % len(items)][1].split()
+        for at in draw.choice(len(item), i % 4, replace=False):
+            item[at] = "changed"
+        pairs.append((i, f"{text(30)} {' '.join(item)} {common[i % 3]} {text(20)}"))
+    pairs.append((500, items[40][1] + " and " + items[41][1]))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(decontaminate.leaks(docs(pairs), table).collect())
+    assert len({r.similarity for r in whole}) > 3
+    for n in (7, 25):
+        assert sorted(decontaminate.leaks(docs(pairs), table, decontaminate.Rule(items_at_once=n)).collect()) == whole
+
+
 def test_all_fingerprints_within_the_radius_are_found():
     rule = decontaminate.Rule(radius=20, blocks=8)
     draw = np.random.RandomState(4)
