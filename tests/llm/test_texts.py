@@ -171,6 +171,23 @@ def test_rotation_of_odd_turns(spark):
     assert chat.rotate(given.limit(0)).count() == 0
 
 
+def test_a_crowded_part_is_one_dialogue(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, i % 3, "ann" if i % 2 else "bob", f"t{i} é") for i in range(3000)] + [(1, 70, "ann", "later"), (2, 0, "ann", "hi"), (2, 1, "bob", "ho")]
+    given = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    pieces = sorted(chat.rotate(given).where("conv_id = 1 and part = 0 and perspective = 'ann'").collect(), key=lambda r: r.piece)
+    assert [r.piece for r in pieces] == list(range(6)) and {r.pieces for r in pieces} == {6}
+    message = lambda r: f"<|im_start|>{'assistant' if r[2] == 'ann' else 'user name=bob'}\n{r[3]}<|im_end|>\n"
+    text = "".join(r.rendered for r in pieces)
+    assert text == "".join(map(message, sorted(rows[:3000])))
+    assert [text[m.begin : m.end] for r in pieces for m in r["mask"]] == [f"{r[3]}<|im_end|>\n" for r in sorted(rows[:3000]) if r[2] == "ann"]
+    given.write.parquet(f"{tmp_path}/turns")
+    db = duckdb.connect()
+    db.execute(f"create table conversations as select * from '{tmp_path}/turns/*.parquet'")
+    assert sorted(map(tuple, chat.digest(chat.rotate(given)).collect())) == sorted(db.execute(chat.ROTATE_SQL).fetchall())
+
+
 def test_top_k_equals_all_products(spark, docs):
     docs([])
     draw = np.random.RandomState(1)
