@@ -130,6 +130,50 @@ def test_network_gradient():
         assert gradient[name][at] == pytest.approx((loss(up) - loss(down)) / 2e-4, abs=2e-3)
 
 
+def small_subwords():
+    rule = attention_lm.Rule(classes=6, window=8, fresh=5, width=4, inner=6)
+    counts = np.array([3, 0, 9, 5, 1, 7, 2, 2, 0, 4, 1, 6])
+    layout = attention_lm.Layout(counts, rule)
+    random = np.random.RandomState(4)
+    w = {k: v + (0.3 * random.randn(*v.shape) if k != "leaf_bias" else 0) for k, v in attention_lm.Subwords.begin(counts, layout, rule).items()}
+    return attention_lm.Subwords(w, layout, rule), {k: v.astype(np.float64) for k, v in w.items()}
+
+
+def test_every_subword_is_scored_and_context():
+    net, _ = small_subwords()
+    prefix = np.array([2, 1, 8, 0, 11, 4, 10, 7, 3])
+    total = sum(10 ** net.score(np.append(prefix, x), np.array([10]))[0] for x in range(12))
+    assert total == pytest.approx(10 ** net.score(prefix, np.array([9]))[0], rel=1e-3)
+    of = lambda before: net.score(np.array([before, 2]), np.array([2]))[0] - net.score(np.array([before]), np.array([1]))[0]
+    assert len({round(of(x), 6) for x in range(12)}) == 12
+    flat, counts = np.concatenate([prefix, prefix[:4]]), np.array([9, 4])
+    assert net.score(flat, counts) == pytest.approx([net.score(prefix, np.array([9]))[0], net.score(prefix[:4], np.array([4]))[0]], rel=1e-4)
+
+
+def test_subword_gradient():
+    net, w = small_subwords()
+    batch = net.windows(np.random.RandomState(5).randint(0, 12, 30), np.array([11, 19]))[:3]
+
+    def loss(w):
+        ids, target, real = batch
+        f, layout = attention_lm.Network.forward(w, ids, 13)[-1], net.layout
+        z = f @ w["out"] + w["bias"]
+        total = np.take_along_axis(z, layout.kind[target][:, :, None], 2)[:, :, 0] - np.log(np.exp(z).sum(2))
+        for at in np.argwhere(layout.kind[target] >= layout.singles):
+            c = layout.kind[target[tuple(at)]] - layout.singles
+            z = w["leaf"][c] @ f[tuple(at)] + w["leaf_bias"][c]
+            total[tuple(at)] += z[layout.leaf[target[tuple(at)]]] - np.log(np.exp(z).sum())
+        return -(total * real).sum() / real.sum()
+
+    gradient = attention_lm.Subwords.slope(w, batch, net.rule, net.layout)
+    for name in w:
+        at = tuple(s // 2 for s in w[name].shape)
+        up, down = {k: v.copy() for k, v in w.items()}, {k: v.copy() for k, v in w.items()}
+        up[name][at] += 1e-4
+        down[name][at] -= 1e-4
+        assert gradient[name][at] == pytest.approx((loss(up) - loss(down)) / 2e-4, abs=2e-3)
+
+
 def test_pipeline_equals_its_stages_by_hand(spark, docs):
     from boardwalk.llm import decontaminate, ngram_join
 
