@@ -2,7 +2,7 @@ import random
 from datetime import date, datetime, timedelta
 
 import pytest
-from conftest import values
+from frames_help import values
 from pyspark.sql import functions as F
 
 from boardwalk.operators import features as X

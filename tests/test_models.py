@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import values
+from frames_help import values
 
 from boardwalk.operators import conformal, metrics, walkforward
 

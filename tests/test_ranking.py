@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import values
+from frames_help import values
 from pyspark.sql import functions as F
 
 from boardwalk.functions import scalars as S

@@ -1,7 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import values
+from frames_help import values
 from pyspark.sql import functions as F
 
 from boardwalk import schemas

@@ -1,7 +1,7 @@
 from datetime import datetime
 
 import pytest
-from conftest import values
+from frames_help import values
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 

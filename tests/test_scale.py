@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import values
+from frames_help import values
 from pyspark.sql import functions as F
 
 from boardwalk.operators import features, ranking

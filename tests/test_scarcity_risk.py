@@ -1,5 +1,5 @@
 import pytest
-from conftest import values
+from frames_help import values
 
 from boardwalk import schemas
 from boardwalk.operators import risk, scarcity

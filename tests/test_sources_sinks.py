@@ -2,7 +2,7 @@ import json
 from datetime import datetime
 
 import pytest
-from conftest import values
+from frames_help import values
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
