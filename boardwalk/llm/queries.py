@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boardwalk.llm import attention_lm, bpe, chat, decontaminate, language, ngram_join, quality, topk, toxicity
+from boardwalk.llm import attention_lm, bpe, chat, decontaminate, fill_middle, language, ngram_join, quality, topk, toxicity
 from boardwalk.llm.common import read, remainder
 from boardwalk.llm.ship import ship
 
@@ -86,3 +86,8 @@ def op8(spark, folder):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     scored = attention_lm.score(read(spark, folder, "documents"), remainder("doc_id", 10) != 0, path, public_tokenizers.PATTERN)
     return scored.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op11_fill_middle", fill_middle.FILL_MIDDLE_SQL)
+def op11(spark, folder):
+    return fill_middle.digests(read(spark, folder, "documents"))
