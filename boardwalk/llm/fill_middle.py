@@ -14,11 +14,13 @@ from dataclasses import dataclass
 
 from pyspark import RDD
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from boardwalk.llm.common import id_text
 
 PLAIN, PSM, SPM = "plain", "psm", "spm"
 HEAD = -1
+PART_BYTES = 1 << 25
 _SECTION = 1 << 40  # places of one section
 
 
@@ -147,8 +149,12 @@ def _restored(records: RDD, rule: Rule, parts: int) -> RDD:
     return _sorted(_gathered(records, start, add, end), parts)
 
 
-def _parts(docs: DataFrame, parts: int | None) -> int:
-    return parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _parts(docs: DataFrame, text: str, parts: int | None) -> int:
+    """The session's shuffle partitions, or more, so that one holds about ``PART_BYTES`` of text and sorts in memory."""
+    if parts:
+        return parts
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
 
 DIGESTS = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string"
@@ -161,9 +167,9 @@ def digests(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str
     Memory follows a partition's share of the texts, and beyond the workers' limit the sort spills; no text is ever
     built whole after the scan. Null and empty texts are plain, of 0 lines, with the digest of nothing; so is a text that
     holds a marker, as it stands. A null id draws as the empty text. Repeated rows are returned as often as they come.
-    Other columns are not read. ``parts``: partitions, by default the session's shuffle partitions.
+    Other columns are not read. ``parts``: partitions; by default their number follows the bytes of the texts.
     """
-    docs, parts = id_text(docs, key, text), _parts(docs, parts)
+    docs, parts = id_text(docs, key, text), _parts(docs, text, parts)
 
     def start(head):
         return head, hashlib.sha256()
@@ -184,7 +190,7 @@ TEXTS = "doc_id long, n long, form string, prefix_chars long, middle_chars long,
 
 def transform(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """As ``digests``, with the output itself: the training text of each row."""
-    docs, parts = id_text(docs, key, text), _parts(docs, parts)
+    docs, parts = id_text(docs, key, text), _parts(docs, text, parts)
 
     def add(state, row, chunk):
         state[1].append(chunk)
@@ -199,16 +205,15 @@ def transform(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: s
 
 def restore(outputs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", output: str = "output", form: str = "form", parts: int | None = None) -> DataFrame:
     """doc_id and text, rebuilt from outputs and their forms alone. A null output is an empty text, a null form plain."""
-    parts = _parts(outputs, parts)
+    parts = _parts(outputs, output, parts)
     given = outputs.select(outputs[key].cast("long"), outputs[output].cast("string"), outputs[form].cast("string"))
 
     def emit(part, rows):
         for at, (doc_id, whole, form) in enumerate(rows):
             row, form, whole = part << 40 | at, form or PLAIN, whole or ""
             yield (row, HEAD), (doc_id, 0, form)
-            marks = sorted((whole.find(m), m) for m in rule.markers) if form != PLAIN else []
-            ends = [i for i, _ in marks[1:]] + [len(whole)]
-            for i, (begin, stop) in enumerate([(b, e) for (b, _), e in zip(marks, ends, strict=True)] or [(0, len(whole))]):
+            begins = sorted(whole.find(m) for m in rule.markers) if form != PLAIN else [0]
+            for i, (begin, stop) in enumerate(zip(begins, [*begins[1:], len(whole)], strict=True)):
                 for j, chunk in enumerate(chunks(whole[begin:stop].encode(), rule.chunk)):
                     yield (row, i * _SECTION + j), chunk
 
