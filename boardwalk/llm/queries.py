@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boardwalk.llm import attention_lm, bpe, chat, decontaminate, fill_middle, language, ngram_join, quality, topk, toxicity
+from boardwalk.llm import attention_lm, ball_tree, bpe, chat, decontaminate, fill_middle, language, ngram_join, quality, topk, toxicity
 from boardwalk.llm.common import read, remainder
 from boardwalk.llm.ship import ship
 
@@ -91,3 +91,8 @@ def op8(spark, folder):
 @query("op11_fill_middle", fill_middle.FILL_MIDDLE_SQL)
 def op11(spark, folder):
     return fill_middle.digests(read(spark, folder, "documents"))
+
+
+@query("op12_ball_tree", ball_tree.RANKED_SQL)
+def op12(spark, folder):
+    return ball_tree.ranked(read(spark, folder, "documents"), read(spark, folder, "benchmark"))

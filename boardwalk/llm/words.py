@@ -40,9 +40,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` in the bytes, and how many words each row has."""
-    inside = ~SPACE[data]
+def spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in the bytes, and how many words each row has.
+
+    ``gap`` says for each byte whether it is between words: by default words are ``[^\\x20\\x09-\\x0D]+``.
+    """
+    inside = ~gap[data]
     before = np.empty_like(inside)
     after = np.empty_like(inside)
     if len(data):
@@ -66,9 +69,9 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((sums[ends - 1] - left) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all rows one after the other, and the number of each row."""
-    starts, ends, counts = spans(data, offsets)
+    starts, ends, counts = spans(data, offsets, gap)
     return hashes(data, starts, ends), counts
 
 
