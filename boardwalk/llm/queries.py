@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boardwalk.llm import attention_lm, ball_tree, bpe, chat, decontaminate, fill_middle, language, ngram_join, quality, topk, toxicity
+from boardwalk.llm import attention_lm, ball_tree, bpe, chat, decontaminate, fill_middle, html_blocks, language, ngram_join, quality, topk, toxicity
 from boardwalk.llm.common import read, remainder
 from boardwalk.llm.ship import ship
 
@@ -96,3 +96,8 @@ def op11(spark, folder):
 @query("op12_ball_tree", ball_tree.RANKED_SQL)
 def op12(spark, folder):
     return ball_tree.ranked(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query("op13_html_blocks")
+def op13(spark, folder):
+    return html_blocks.extract(read(spark, folder, "pages"))
