@@ -12,7 +12,7 @@ import re
 import sys
 import time
 
-from boardwalk.plans.queries import REGISTRY
+from boardwalk.plans.catalog import REGISTRY
 from boardwalk.session import build_session
 
 

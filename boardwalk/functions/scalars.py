@@ -26,7 +26,6 @@ RISK_CLASS = {"low": "safe", "medium": "medium", "high": "risky"}
 DATE_LONG = "MMMM dd, yyyy"
 DATE_MONTH = "MMMM yyyy"
 DATE_ISO = "yyyy-MM-dd"
-MAE_EDGE = {"QB": "34%", "RB": "38%", "WR": "33%", "TE": "39%"}
 
 
 def or_default(value: Column | str, default) -> Column:

@@ -11,6 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boardwalk.operators.joins import join_small
 from boardwalk.session import scratch_path
@@ -175,10 +176,7 @@ def fit_predict(
     """
     spark = folds.sparkSession
     fold = folds.filter((F.col("test_season") == test_season) & ((F.col("role") == TEST) | F.col("y").isNotNull()))
-    given = {f"_f_{f}": F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None)), F.lit(0.0)) for f in features}
-    absent = {f"_no_{f}": (F.col(f).isNull() | F.isnan(F.col(f).cast("double"))).cast("double") for f in features}
-    lacking = fold.agg(*[F.max(c).alias(name) for name, c in absent.items()]).first()
-    absent = {name: c for name, c in absent.items() if lacking[name]}
+    given, absent = _feature_columns(fold, features)
     fold = fold.withColumns({**given, **absent})
     path = scratch_path(spark, "fold")
     fold.withColumn("_group", F.col(group)).write.partitionBy("role", "_group").parquet(path)
@@ -208,14 +206,63 @@ def tested_seasons(df: DataFrame, season: str = "season") -> list[int]:
     return sorted(r[0] for r in seasons)[1:]
 
 
-def predict_folds(df: DataFrame, test_seasons: Sequence[int], features: Sequence[str], groups: Sequence[str], **fitting) -> DataFrame:
-    """``fit_predict`` of every fold, one below the other; without folds no rows."""
-    if not test_seasons:
-        void = {"test_season": "int", "role": "string", "y_hat": "double", "model": "string"}
-        return df.where(F.lit(False)).withColumns({c: F.lit(None).cast(kind) for c, kind in void.items()})
-    folds = walk_forward(df, test_seasons)
-    each = [fit_predict(folds, features, groups, season, **fitting) for season in test_seasons]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each)
+def predict_folds(
+    df: DataFrame,
+    test_seasons: Sequence[int],
+    features: Sequence[str],
+    groups: Sequence[str],
+    group: str = "position",
+    weight: str | None = None,
+    trees: int = 20,
+    rounds: int = 20,
+    models: Sequence[str] = ("forest", "boosted"),
+    parallel: int = 8,
+) -> DataFrame:
+    """``fit_predict`` of every fold, from one copy of the rows.
+
+    Rows are written once, in a folder for each season and group, so a fold reads the folders of its seasons and no row is
+    stored for every fold it serves. Fits of all folds, groups and models run a few at a time; each writes its predictions,
+    which are then read as one table, so neither models nor plans add up on the driver. Without folds there are no rows.
+    """
+    spark = df.sparkSession
+    given, absent = _feature_columns(df, features)
+    path = scratch_path(spark, "folds")
+    named = df.withColumns({**given, **absent}).withColumns({"_season": F.col("season"), "_group": F.col(group)})
+    named.write.partitionBy("_season", "_group").parquet(f"{path}/rows")
+    stored = spark.read.schema(named.schema).parquet(f"{path}/rows")
+    counted = stored.filter(F.col("y").isNotNull()).groupBy("_season", "_group").count().collect()
+    first = {name: min(r["_season"] for r in counted if r["_group"] == name) for name in {r["_group"] for r in counted}}
+    assembler = VectorAssembler(inputCols=[*given, *absent], outputCol="_x")
+    kept = [*df.columns, "test_season", "y_hat", "model"]
+
+    def predict(test: int, name: str, model: str) -> None:
+        own = stored.filter(F.col("_group") == name)
+        tested = own.filter(F.col("_season") == test).withColumn("test_season", F.lit(test))
+        if first.get(name, test) >= test:
+            found = tested.withColumn("y_hat", F.lit(None).cast("double"))
+        else:
+            train = own.filter((F.col("_season") < test) & F.col("y").isNotNull())
+            regressor = group_models(name, weight, trees, rounds)[model]
+            found = Pipeline(stages=[assembler, regressor]).fit(train).transform(tested)
+        found = found.withColumn("model", F.lit(model)).select(*kept)
+        found.write.parquet(f"{path}/predictions/task={test}-{model}-{groups.index(name)}")
+
+    tasks = [(test, name, model) for test in test_seasons for name in groups for model in models]
+    with ThreadPoolExecutor(parallel) as pool:
+        list(pool.map(lambda task: predict(*task), tasks))
+    added = [T.StructField("test_season", T.IntegerType()), T.StructField("y_hat", T.DoubleType()), T.StructField("model", T.StringType())]
+    kinds = T.StructType([*df.schema.fields, *added])
+    if not tasks:
+        return spark.createDataFrame([], kinds)
+    return spark.read.schema(kinds).parquet(f"{path}/predictions").select(*kept)
+
+
+def _feature_columns(df: DataFrame, features: Sequence[str]) -> tuple[dict[str, Column], dict[str, Column]]:
+    """The features with 0 for what is missing, and for each feature that some row lacks, a column of 0 or 1 that says so."""
+    given = {f"_f_{f}": F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None)), F.lit(0.0)) for f in features}
+    absent = {f"_no_{f}": (F.col(f).isNull() | F.isnan(F.col(f).cast("double"))).cast("double") for f in features}
+    lacking = df.agg(*[F.max(c).alias(name) for name, c in absent.items()]).first()
+    return given, {name: c for name, c in absent.items() if lacking[name]}
 
 
 def ensemble(predictions: DataFrame, keys: Sequence[str], predicted: str = "y_hat") -> DataFrame:

@@ -51,7 +51,9 @@ spread as (
 bounds as (
   select *, greatest(0, round_even(pts - 1.282 * u, 0)) as ci_low, round_even(pts + 1.282 * u, 0) as ci_high
   from spread)"""
-FOLDS = "folds(test_season) as (values (1997), (1998), (1999), (2000), (2001))"
+FOLDS = "folds as (select distinct season as test_season from seas where season > (select min(season) from seas))"
+NEWEST = "(select max(season) from seas)"
+CALIBRATING = f"(select max(season) from seas where season < {NEWEST})"
 BASELINE = f"""{SEASONS}, {FOLDS},
 mids as (select position, avg(ln(market)) as mid from pseas group by position),
 centred as (select p.*, mid, ln(market) - mid as z from pseas p join mids on p.position = mids.position),
@@ -284,9 +286,9 @@ SQL: dict[str, str] = {
         select c.player_id, first_season, n_orders, n_events,
           cast(n_orders is not null as integer) as has_1, cast(n_events is not null as integer) as has_2,
           cast(depth <= 2 as integer) as has_3,
-          cast(coalesce(first_season = 2001, false) as integer) as is_rookie,
+          cast(coalesce(first_season = (select max(season) from ord), false) as integer) as is_rookie,
           cast(depth = 1 as integer) as is_starter, cast(depth = 2 as integer) as is_backup,
-          n_events * cast(coalesce(first_season = 2001, false) as integer) as college_x_rookie
+          n_events * cast(coalesce(first_season = (select max(season) from ord), false) as integer) as college_x_rookie
         from cust c left join o on c.player_id = o.player_id left join e on c.player_id = e.user_id
           join d on c.player_id = d.player_id""",
     "zscore_composite": f"""with {CUST}, {ORD},
@@ -298,12 +300,12 @@ SQL: dict[str, str] = {
             / stddev_samp(n_orders) over (partition by position), 6) as athletic_score
         from b""",
     "temporal_weight": f"""with {SEASONS}
-        select player_id, round(sum(y * pow(0.8, 2001 - season)) / sum(pow(0.8, 2001 - season)), 8)
+        select player_id, round(sum(y * pow(0.8, {NEWEST} - season)) / sum(pow(0.8, {NEWEST} - season)), 8)
           as weighted_points, count(*) as n_seasons
         from seas group by player_id""",
     "shrink_mean": f"""with {SEASONS},
         b as (select c.player_id, c.position, s.cents from cust c
-          left join seas s on c.player_id = s.player_id and s.season = 2001),
+          left join seas s on c.player_id = s.player_id and s.season = {NEWEST}),
         m as (select position, avg(cents) as mean from b group by position)
         select player_id, b.position, coalesce(cast(0.6 as double) * cents + cast(0.4 as double) * mean, mean) as projected_points
         from b join m on b.position = m.position""",
@@ -359,26 +361,26 @@ SQL: dict[str, str] = {
     "quantile_base": f"""with {SEASONS},
         q as (
           select position, quantile_cont(y - y_hat, 0.1) as e_lo, quantile_cont(y - y_hat, 0.9) as e_hi
-          from lagged where y_hat is not null and season < 2001 group by position)
+          from lagged where y_hat is not null and season < {NEWEST} group by position)
         select player_id, l.position, round(y_hat + e_lo, 8) as lo, round(y_hat + e_hi, 8) as hi
-        from lagged l join q on l.position = q.position where y_hat is not null and season = 2001""",
+        from lagged l join q on l.position = q.position where y_hat is not null and season = {NEWEST}""",
     "conformal_interval": f"""with {SEASONS},
         q as (
           select position, quantile_cont(y - y_hat, 0.1) as e_lo, quantile_cont(y - y_hat, 0.9) as e_hi
-          from lagged where y_hat is not null and season < 2000 group by position),
+          from lagged where y_hat is not null and season < {CALIBRATING} group by position),
         b as (
           select l.position, season, y, y_hat + e_lo as lo, y_hat + e_hi as hi
-          from lagged l join q on l.position = q.position where y_hat is not null and season >= 2000),
+          from lagged l join q on l.position = q.position where y_hat is not null and season >= {CALIBRATING}),
         s as (
           select position, greatest(lo - y, y - hi) as score,
             row_number() over (partition by position order by greatest(lo - y, y - hi)) as rn,
             count(*) over (partition by position) as n
-          from b where season = 2000),
+          from b where season = {CALIBRATING}),
         m as (select position, score as margin from s where rn = ceil((n + 1) * 0.8))
         select b.position, count(*) as n, round(max(margin), 8) as margin,
           avg(cast(y between lo and hi as integer)) as raw_coverage,
           avg(cast(y between lo - margin and hi + margin as integer)) as coverage
-        from b join m on b.position = m.position where season = 2001 group by b.position""",
+        from b join m on b.position = m.position where season = {NEWEST} group by b.position""",
     "upsert_latest": f"""with {EVENTS}, {LISTED}
         select user_id, source, event_id from heard where newest = 1
         union all

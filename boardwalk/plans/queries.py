@@ -16,6 +16,7 @@ from boardwalk.operators import (
     features,
     merge,
     metrics,
+    moments,
     ranking,
     risk,
     rules,
@@ -40,10 +41,6 @@ ROSTER = {
 FLEX_SEGMENTS = ("BUILDING", "FURNITURE", "HOUSEHOLD")
 EDGE_TEXT = {"AUTOMOBILE": "34%", "BUILDING": "38%", "FURNITURE": "33%", "HOUSEHOLD": "39%"}
 MIN_GAP = 42.0
-TEST_SEASONS = (1997, 1998, 1999, 2000, 2001)
-CALIBRATION_SEASON = 2000
-TEST_SEASON = 2001
-NEWEST_SEASON = 2001
 UPDATED = datetime(2026, 4, 20, 12, 0)
 ALIASES = {"NATION_22": "NATION_2", "NATION_23": "NATION_3", "NATION_24": "NATION_4"}
 STAT_WEIGHTS = {"l_quantity": 0.5, "l_discount": 10.0, "l_tax": -5.0}
@@ -58,6 +55,15 @@ def query(function: Query) -> Query:
     return function
 
 
+def seasons_of(spark, folder) -> list[int]:
+    """The seasons that the orders show and that have one before them, oldest first."""
+    return walkforward.tested_seasons(frames.order_cents(spark, folder))
+
+
+def newest_season(spark, folder) -> int:
+    return max(seasons_of(spark, folder), default=0)
+
+
 def roster_config(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([ROSTER], schemas.ROSTER_CONFIG)
 
@@ -340,7 +346,7 @@ def feature_merge(spark, folder):
         base, ["team"], [F.col("balance").desc(), F.col("player_id")], 2, "depth_rank"
     ).select("player_id", "depth_rank")
     merged = features.merge_features(base, [draft, college, depth])
-    rookie = F.coalesce((F.col("first_season") == NEWEST_SEASON).cast("int"), F.lit(0))
+    rookie = F.coalesce((F.col("first_season") == newest_season(spark, folder)).cast("int"), F.lit(0))
     merged = merged.withColumn("is_rookie", rookie).withColumns(S.starter_flags("depth_rank"))
     return merged.select(
         "player_id",
@@ -368,7 +374,7 @@ def zscore_composite(spark, folder):
 
 @query
 def temporal_weight(spark, folder):
-    weight = features.recency_weight("season", NEWEST_SEASON, 0.8)
+    weight = features.recency_weight("season", newest_season(spark, folder), 0.8)
     mean = features.weighted_mean(F.col("y"), weight)
     return (
         frames.season_points(spark, folder)
@@ -379,7 +385,7 @@ def temporal_weight(spark, folder):
 
 @query
 def shrink_mean(spark, folder):
-    last = frames.season_points(spark, folder).filter(F.col("season") == NEWEST_SEASON)
+    last = frames.season_points(spark, folder).filter(F.col("season") == newest_season(spark, folder))
     base = frames.customers(spark, folder).join(last.select("player_id", "cents"), "player_id", "left")
     pulled = features.shrink_to_group(base, "cents", keep=0.6)
     return pulled.select("player_id", "position", "projected_points")
@@ -416,18 +422,19 @@ def market_seasons(spark, folder) -> DataFrame:
 def with_baseline(spark, folder) -> DataFrame:
     """The test seasons' predictions by last season, and by the market as ``y_base``."""
     seasons = materialise(market_seasons(spark, folder))
-    tested = by_last_season(seasons).filter(F.col("season").isin(*TEST_SEASONS))
-    return walkforward.predict_baseline(tested, walkforward.log_market_baseline(seasons, TEST_SEASONS))
+    folds = walkforward.tested_seasons(seasons)
+    tested = by_last_season(seasons).filter(F.col("season").isin(*folds))
+    return walkforward.predict_baseline(tested, walkforward.log_market_baseline(seasons, folds))
 
 
 @query
 def walk_forward(spark, folder):
-    return walkforward.fold_sizes(frames.season_points(spark, folder), TEST_SEASONS)
+    return walkforward.fold_sizes(frames.season_points(spark, folder), seasons_of(spark, folder))
 
 
 @query
 def log_baseline(spark, folder):
-    fitted = walkforward.log_market_baseline(market_seasons(spark, folder), TEST_SEASONS)
+    fitted = walkforward.log_market_baseline(market_seasons(spark, folder), seasons_of(spark, folder))
     rounded = [F.round(b, 4).alias(b) for b in ("b0", "b1", "b2")]
     return fitted.select("test_season", "position", "n_train", *rounded)
 
@@ -495,22 +502,24 @@ def residual_interval(spark, folder, before: int) -> tuple[DataFrame, DataFrame]
 
 @query
 def quantile_base(spark, folder):
-    predictions, quantiles = residual_interval(spark, folder, TEST_SEASON)
-    test = predictions.filter(F.col("season") == TEST_SEASON)
+    newest = newest_season(spark, folder)
+    predictions, quantiles = residual_interval(spark, folder, newest)
+    test = predictions.filter(F.col("season") == newest)
     bounds = conformal.raw_interval(test, quantiles, ["position"])
     return bounds.select("player_id", "position", *[F.round(c, 8).alias(c) for c in ("lo", "hi")])
 
 
 @query
 def conformal_interval(spark, folder):
-    """Margin and test coverage, raw and calibrated, per segment."""
-    predictions, quantiles = residual_interval(spark, folder, CALIBRATION_SEASON)
-    recent = predictions.filter(F.col("season") >= CALIBRATION_SEASON)
+    """Margin and test coverage, raw and calibrated, per segment: the newest season is tested, the one before it calibrates."""
+    calibrating, newest = seasons_of(spark, folder)[-2:]
+    predictions, quantiles = residual_interval(spark, folder, calibrating)
+    recent = predictions.filter(F.col("season") >= calibrating)
     bounded = conformal.raw_interval(recent, quantiles, ["position"])
     margins = conformal.conformal_margin(
-        bounded.filter(F.col("season") == CALIBRATION_SEASON), ["position"]
+        bounded.filter(F.col("season") == calibrating), ["position"]
     )
-    test = conformal.widen(bounded.filter(F.col("season") == TEST_SEASON), margins, ["position"])
+    test = conformal.widen(bounded.filter(F.col("season") == newest), margins, ["position"])
     hits = {"raw_coverage": metrics.hit("y", "lo", "hi"), "coverage": metrics.hit("y", "cal_lo", "cal_hi")}
     return (
         test.groupBy("position")
@@ -519,30 +528,29 @@ def conformal_interval(spark, folder):
     )
 
 
-def ensemble_rows(spark, folder) -> DataFrame:
-    lagged = features.teammate_production(frames.player_seasons(spark, folder), ["y"])
-    return lagged.select("player_id", "season", "position", "y", "y_lag1", "teammate_y_prev", "adp")
-
-
-def ensemble_of(rows: DataFrame, seasons: list[int]) -> DataFrame:
-    weighted = rows.withColumn("recency", features.recency_weight("season", max(seasons, default=0), 0.8))
-    predictions = walkforward.predict_folds(
-        weighted, seasons, ["y_lag1", "teammate_y_prev", "adp"], SEGMENTS, weight="recency"
-    )
-    return walkforward.ensemble(predictions, ["player_id", "season", "position", "y"])
-
-
-def ensemble_folds(spark, folder) -> DataFrame:
-    """The ensemble of every season that has one before it. Not registered: a registered query needs SQL."""
-    rows = ensemble_rows(spark, folder)
-    return ensemble_of(rows, walkforward.tested_seasons(rows))
+ENSEMBLE_FEATURES = ["y_lag1", "teammate_y_prev", "adp"]
+ENSEMBLE_DECAY = 0.8
 
 
 @query
 def ensemble_ml(spark, folder):
-    """The fold of the newest season, which ``tests/test_oracle.py`` asks for; ``ensemble_folds`` has them all."""
-    rows = ensemble_rows(spark, folder)
-    return ensemble_of(rows, walkforward.tested_seasons(rows)[-1:])
+    """Ridge, forest and boosted trees of every season that has one before it, averaged.
+
+    Ridge comes from the moments of the seasons, for all folds in one pass; the trees are fitted fold by fold.
+    """
+    lagged = features.teammate_production(frames.player_seasons(spark, folder), ["y"])
+    rows = materialise(lagged.select("player_id", "season", "position", "y", *ENSEMBLE_FEATURES))
+    seasons = walkforward.tested_seasons(rows)
+    weighted = rows.withColumn("recency", features.recency_weight("season", max(seasons, default=0), ENSEMBLE_DECAY))
+    trees = walkforward.predict_folds(weighted, seasons, ENSEMBLE_FEATURES, SEGMENTS, weight="recency")
+    filled = rows.fillna(0.0, ENSEMBLE_FEATURES)
+    figures = materialise(moments.season_moments(filled, [*ENSEMBLE_FEATURES, "y"]))
+    folds = moments.fold_moments(figures, seasons, [*ENSEMBLE_FEATURES, "y"], [ENSEMBLE_DECAY])
+    tested = filled.filter(F.col("season").isin(*seasons))
+    ridge = moments.predict(tested, moments.ridge(folds, ENSEMBLE_FEATURES), ENSEMBLE_FEATURES)
+    keys = ["player_id", "season", "position", "y"]
+    both = trees.select(*keys, "y_hat").unionByName(ridge.select(*keys, "y_hat"))
+    return walkforward.ensemble(both, keys)
 
 
 # Subscriber tables

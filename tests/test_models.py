@@ -174,13 +174,14 @@ def test_model_and_baseline_share_their_rows(rows):
     assert metrics.accuracy(df, ["position"], predicted="y_base").first()[1:3] == (2, 10.0)
 
 
-def test_every_season_but_the_first_is_predicted(spark):
-    from boardwalk.plans import queries
-
-    folder = "/root/testdata/sf0.001"
-    given = queries.ensemble_rows(spark, folder)
-    oldest = given.agg({"season": "min"}).first()[0]
-    want = {(r.player_id, r.season) for r in given.collect() if r.season > oldest}
-    got = queries.ensemble_folds(spark, folder).collect()
-    assert sorted((r.player_id, r.season) for r in got) == sorted(want) and len({s for _, s in want}) > 1
-    assert all(r.n_models == 3 for r in got)
+def test_every_fold_is_predicted_from_one_copy_of_the_rows(rows):
+    data = [(f"p{i}", s, g, float(i), float(i + s - 2020) if (i, s) != (1, 2022) else None) for i in range(6) for s in range(2020, 2024) for g in ("QB", "RB")]
+    data += [("new", 2023, "TE", 1.0, 2.0)]
+    df = rows(data, "player_id string, season int, position string, x double, y double")
+    seasons = walkforward.tested_seasons(df)
+    assert seasons == [2021, 2022, 2023]
+    got = walkforward.predict_folds(df, seasons, ["x"], ["QB", "RB", "TE"], trees=3, rounds=3).collect()
+    tested = [r for r in data if r[1] > 2020]
+    assert sorted((r.player_id, r.season, r.position, r.model) for r in got) == sorted((*r[:3], m) for r in tested for m in ("forest", "boosted"))
+    assert all(r.test_season == r.season and (r.y_hat is None) == (r.position == "TE") for r in got)
+    assert walkforward.predict_folds(df, [], ["x"], ["QB"]).count() == 0

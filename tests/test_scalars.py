@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from boardwalk.functions import scalars as S
 
+EDGE = {"QB": "34%", "RB": "38%", "WR": "33%", "TE": "39%"}
+
 
 def show(rows, kind, data, expression):
     df = rows([(i, v) for i, v in enumerate(data)], f"i int, v {kind}")
@@ -59,10 +61,10 @@ def test_reason(rows):
 
 
 def test_lookups(rows):
-    assert show(rows, "string", ["QB", "K", None], S.lookup(S.MAE_EDGE, "v", "none")) == ["34%", "none", "none"]
-    assert show(rows, "string", ["QB", "TE"], S.required_lookup(S.MAE_EDGE, "v", "edge")) == ["34%", "39%"]
+    assert show(rows, "string", ["QB", "K", None], S.lookup(EDGE, "v", "none")) == ["34%", "none", "none"]
+    assert show(rows, "string", ["QB", "TE"], S.required_lookup(EDGE, "v", "edge")) == ["34%", "39%"]
     with pytest.raises(SparkRuntimeException, match="no edge for K"):
-        show(rows, "string", ["K"], S.required_lookup(S.MAE_EDGE, "v", "edge"))
+        show(rows, "string", ["K"], S.required_lookup(EDGE, "v", "edge"))
 
 
 def test_teams_and_dates(rows):
