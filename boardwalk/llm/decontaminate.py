@@ -1,9 +1,10 @@
 """Benchmark decontamination: fingerprints of item-sized windows, then exact similarity.
 
 Each item and each window of an item's length in words is a set of word shingles, weighted by how rare they are among
-the items. A SimHash of 64 bits stands for it. Fingerprints within ``radius`` are found block by block: cut into
-``blocks`` parts, two of them differ in at most ``radius // blocks`` bits in some part, so looking up every value of
-every part at that distance finds all. What remains is verified by the weighted Jaccard similarity itself.
+the items. A SimHash of 128 bits stands for it. Fingerprints within ``radius`` are found block by block: cut into eight
+parts of 16 bits, two of them differ in at most ``radius // 8`` bits in some part, so looking up every value of every part
+at that distance finds all. At 3 bits that is one value in a hundred, so of the items of a window's length few are
+candidates. These are verified by the weighted Jaccard similarity itself.
 """
 
 from __future__ import annotations
@@ -24,22 +25,37 @@ _BITS = np.arange(64, dtype=np.uint64)
 
 @dataclass(frozen=True)
 class Rule:
-    """``items_at_once``: benchmark items that one scan of the documents holds in memory; more take more scans."""
+    """``radius``: bits in which the fingerprints of a window and an item may differ. Of sets that are just similar enough
+    some 19 of 128 bits differ, give or take 4, so beyond 31 there are one or two in a thousand.
+    ``items_at_once``: benchmark items that one scan of the documents holds in memory; more take more scans."""
 
     k: int = 5
     similarity: float = 0.8
-    radius: int = 20
-    blocks: int = 8
-    items_at_once: int = 20_000
+    radius: int = 31
+    items_at_once: int = 5_000
+
+
+WORDS, PARTS, WIDTH = 2, 8, 16
 
 
 def signs(found: np.ndarray) -> np.ndarray:
     """+1 or -1 for each bit of each hash."""
-    return ((mix(found)[:, None] >> _BITS) & np.uint64(1)).astype(np.float32) * 2 - 1
+    hashed = np.stack([mix(found ^ np.uint64(0x9E3779B97F4A7C15 * word)) for word in range(WORDS)], axis=1)
+    return ((hashed[:, :, None] >> _BITS) & np.uint64(1)).astype(np.float32).reshape(len(found), -1) * 2 - 1
 
 
 def packed(sums: np.ndarray) -> np.ndarray:
-    return ((sums > 0).astype(np.uint64) << _BITS).sum(axis=1, dtype=np.uint64)
+    """The fingerprints, ``WORDS`` numbers of 64 bits each."""
+    return ((sums.reshape(len(sums), WORDS, 64) > 0).astype(np.uint64) << _BITS).sum(axis=2, dtype=np.uint64)
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def part_of(prints: np.ndarray, part: int) -> np.ndarray:
+    word, shift = divmod(part * WIDTH, 64)
+    return ((prints[:, word] >> np.uint64(shift)) & np.uint64((1 << WIDTH) - 1)).astype(np.uint16)
 
 
 class Items:
@@ -63,23 +79,19 @@ class Items:
         n, self.shared, held = over_all or (len(keep), self.known[held > 1], held[held > 1])
         self.weights = (1 + np.log(max(1, n) / held)).astype(np.float32)
         self.unknown = np.float32(1 + np.log(max(1, n)))
-        self.prints = np.array([packed((signs(r) * self.weight(r)[:, None]).sum(0)[None])[0] for r in self.rows], np.uint64)
+        self.prints = np.array([packed((signs(r) * self.weight(r)[:, None]).sum(0)[None])[0] for r in self.rows], np.uint64).reshape(-1, WORDS)
         self.totals = np.array([self.weight(r).sum() for r in self.rows], np.float64)
-        width = 64 // rule.blocks
-        near = [0] + [sum(1 << b for b in c) for n in range(1, rule.radius // rule.blocks + 1) for c in combinations(range(width), n)]
-        self.near = np.array(near, np.uint64)
-        self.mask = np.uint64((1 << width) - 1)
-        self.shifts = [np.uint64(width * b) for b in range(rule.blocks)]
+        near = [0] + [sum(1 << b for b in c) for n in range(1, rule.radius // PARTS + 1) for c in combinations(range(WIDTH), n)]
+        self.near = np.array(near, np.uint16)
         self.by_length = {}
         for length in np.unique(self.lengths).tolist():
             own = np.flatnonzero(self.lengths == length)
-            self.by_length[length] = (own, [self._table(own, s) for s in self.shifts])
+            self.by_length[length] = (own, [self._table(own, part) for part in range(PARTS)])
 
-    def _table(self, own, shift):
+    def _table(self, own, part):
         """For each value of a part: which items have a part near it."""
-        part = (self.prints[own] >> shift) & self.mask
-        values = (part[:, None] ^ self.near).ravel()
-        items = np.repeat(np.arange(len(own)), len(self.near))
+        values = (part_of(self.prints[own], part)[:, None] ^ self.near).ravel()
+        items = np.repeat(np.arange(len(own), dtype=np.int32), len(self.near))
         order = np.argsort(values, kind="stable")
         return values[order], items[order]
 
@@ -94,19 +106,23 @@ class Items:
         shared = float(self.weight(both).sum(dtype=np.float64))
         return shared / (self.totals[item] + float(self.weight(window).sum(dtype=np.float64)) - shared)
 
-    def candidates(self, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (window, item) of one length whose fingerprints differ in at most ``radius`` bits: all of them."""
+    def looked_up(self, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (window, item) of one length that some part brings together."""
         own, tables = self.by_length[length]
         found = [np.zeros(0, np.int64)]
-        for shift, (values, items) in zip(self.shifts, tables, strict=True):
-            part = (prints >> shift) & self.mask
-            low, high = np.searchsorted(values, part, "left"), np.searchsorted(values, part, "right")
+        for part, (values, items) in enumerate(tables):
+            wanted = part_of(prints, part)
+            low, high = np.searchsorted(values, wanted, "left"), np.searchsorted(values, wanted, "right")
             n = high - low
             at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
             found.append(np.repeat(np.arange(len(prints)), n) * len(own) + items[at])
         pairs = np.unique(np.concatenate(found))
-        window, item = pairs // len(own), own[pairs % len(own)]
-        close = np.bitwise_count(prints[window] ^ self.prints[item]) <= self.rule.radius
+        return pairs // len(own), own[pairs % len(own)]
+
+    def candidates(self, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (window, item) of one length whose fingerprints differ in at most ``radius`` bits: all of them."""
+        window, item = self.looked_up(prints, length)
+        close = differing(prints[window], self.prints[item]) <= self.rule.radius
         return window[close], item[close]
 
     def matches(self, flat: np.ndarray, counts: np.ndarray):
@@ -150,7 +166,7 @@ class Items:
                     like = self.similarity(item, inside[w][fresh[w]])
                     r = int(row[some[w]])
                     if like >= self.rule.similarity and like > best.get((r, item), (0, 0, 0, 0.0))[3]:
-                        differ = int(np.bitwise_count(prints[w] ^ self.prints[item]))
+                        differ = int(differing(prints[w], self.prints[item]))
                         best[r, item] = (int(spot[some[w]]), length, differ, like)
         return [(r, int(self.ids[i]), *v) for (r, i), v in sorted(best.items())]
 
