@@ -7,14 +7,15 @@ encoded once, and a worker keeps the results of as many pre-tokens as ``KEPT``.
 from __future__ import annotations
 
 import base64
-import hashlib
-import json
 import os
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boardwalk.llm.common import giving_back, id_text, over_texts, ragged, raw
 
@@ -43,20 +44,21 @@ class ByteBPE:
         self.pattern = regex.compile(pattern)
         names = byte_characters()
         self.names = dict(enumerate(names))
+        back = {c: b for b, c in enumerate(names)}
         if path.endswith(".json"):
             self.library = Tokenizer.from_file(path)
-            with open(path, encoding="utf-8") as file:
-                model = json.load(file)
-            self.special = [x["content"] for x in model["added_tokens"]]
-            back = {c: b for b, c in enumerate(names)}
-            self.bytes_of = {i: bytes(back[c] for c in token) for token, i in model["model"]["vocab"].items() if all(c in back for c in token)}
-            self.bytes_of |= {x["id"]: x["content"].encode() for x in model["added_tokens"]}
+            self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         else:
             with open(path, "rb") as file:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
             self.library = _from_ranks(ranks, names)
             self.special = []
-            self.bytes_of = {rank: token for token, rank in ranks.items()}
+        # The byte table in reverse, over the library's own token strings.
+        tokens = self.library.get_vocab(with_added_tokens=False)
+        self.bytes_of = {i: bytes(map(back.__getitem__, token)) for token, i in tokens.items() if all(c in back for c in token)}
+        self.bytes_of |= {self.library.token_to_id(text): text.encode() for text in self.special}
+        self.spots = _Spots(self)
+        self.table: tuple | None = None
         self.known: dict[str, tuple] = {}
         self.found: dict[str, tuple] = {}
 
@@ -91,12 +93,50 @@ class ByteBPE:
                 self.found[text] = self.merged(text)
         return _Both(known, self.found)
 
+    def token_bytes(self) -> tuple[np.ndarray, np.ndarray]:
+        """How many bytes each id stands for (0 if it is none), and the bytes of all, in order of the ids."""
+        if self.table is None:
+            given = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
+            self.table = np.array([len(x) for x in given], np.int64), np.frombuffer(b"".join(given), np.uint8)
+        return self.table
+
     def merged(self, text: str) -> tuple:
         """The ids of one pre-token by the library's merges."""
         characters = text.encode("utf-8").decode("latin-1").translate(self.names)
         return tuple(token.id for token in self.library.model.tokenize(characters))
 
 
+class _Spots(dict):
+    """A number for each pre-token met, in order, and under it the ids; forgets all when there are more than ``KEPT``."""
+
+    def __init__(self, own: ByteBPE):
+        super().__init__()
+        self.own, self.met = own, []
+        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def __missing__(self, text: str) -> int:
+        spot = self[text] = len(self)
+        self.met.append(self.own.known.get(text) or self.own.merged(text))
+        return spot
+
+    def ids(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts one after the other, and how many each has."""
+        if len(self) > KEPT:
+            self.__init__(self.own)
+        self.own.prove_whole_tokens()
+        spots = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64)
+        if self.met:
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(self.met), np.int32)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in self.met])])
+            self.met = []
+        begin = self.ends[spots]
+        n = self.ends[spots + 1] - begin
+        total = np.concatenate([[0], np.cumsum(n)])
+        flat = self.flat[np.repeat(begin - total[:-1], n) + np.arange(total[-1])]
+        last = np.cumsum([len(x) for x in split])
+        return flat, np.diff(np.concatenate([[0], total[last]]))
+
+
 class _Both(dict):
     """Looks up the second mapping, then the first."""
 
@@ -181,54 +221,72 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     def work(batch):
         own = vocabulary(path, pattern)
-        flat, n = _encoded(own, batch.column("text"))
-        sizes = np.fromiter((len(own.bytes_of[i]) for i in flat), np.int64, len(flat))
+        flat, n = own.spots.ids(own.pre_tokens(batch.column("text").fill_null("").to_pylist()))
+        lengths, _ = own.token_bytes()
         data, offsets = raw(batch.column("text"))
+        sizes = lengths[flat]
         begin = np.cumsum(sizes) - sizes
         character = np.cumsum((data & 0xC0) != 0x80) - 1
         row = np.repeat(np.arange(len(n)), n)
         starts = character[begin] - character[offsets[:-1][row]] if len(flat) else np.zeros(0, np.int64)
-        return {"doc_id": batch.column("doc_id"), "ids": ragged(np.array(flat, np.int32), n, pa.int32()), "starts": ragged(starts.astype(np.int32), n, pa.int32())}
+        return {"doc_id": batch.column("doc_id"), "ids": ragged(flat, n, pa.int32()), "starts": ragged(starts.astype(np.int32), n, pa.int32())}
 
     return over_texts(id_text(docs, key, text), work, "doc_id long, ids array<int>, starts array<int>")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, bytes (the tokens' bytes, exact) and text (the same, with U+FFFD where they are not UTF-8,
-    as when ids cut a character). Null ids give nulls; an id that the vocabulary lacks is an error."""
-    from pyspark.sql import functions as F
+def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", as_text: bool = True) -> DataFrame:
+    """The rows with ``bytes`` (the tokens' bytes, exact) and, unless ``as_text`` is off, ``text`` (the same, with U+FFFD
+    where they are not UTF-8, as when ids cut a character). Null ids give nulls; an id that the vocabulary lacks is an
+    error. Columns of these names are replaced."""
+    kept = encoded.drop("bytes", *["text"] * as_text)
+    place = kept.columns.index(ids)
 
     def loop(batches):
         own = vocabulary(path, pattern)
+        lengths, buffer = own.token_bytes()
+        first = np.cumsum(lengths) - lengths
         for batch in batches:
-            got = [None if x is None else b"".join(map(own.bytes_of.__getitem__, x)) for x in batch.column("ids").to_pylist()]
-            text = [None if x is None else x.decode("utf-8", "replace") for x in got]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.binary()), pa.array(text, pa.string())], ["doc_id", "bytes", "text"])
-
-    own = encoded.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{ids}`").alias("ids"))
-    return own.mapInArrow(giving_back(loop), "doc_id long, bytes binary, text string")
+            for rows in _runs(batch, place):
+                column = rows.column(place)
+                flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                if len(flat) and (flat.min() < 0 or flat.max() >= len(lengths) or (lengths[flat] == 0).any()):
+                    raise ValueError("an id is not in the vocabulary")
+                n = lengths[flat]
+                data = buffer[np.repeat(first[flat] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                each = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(each)]
+                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32)).buffers()[1]
+                whole = pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(np.ascontiguousarray(data))])
+                whole = pc.if_else(column.is_valid(), whole, pa.scalar(None, pa.binary()))
+                out = [*rows.columns, whole]
+                if as_text:
+                    out.append(pa.array([None if x is None else x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    added = [T.StructField("bytes", T.BinaryType()), T.StructField("text", T.StringType())]
+    kinds = T.StructType([*kept.schema.fields, *added[: 1 + as_text]])
+    names = kinds.names
+    return kept.mapInArrow(giving_back(loop), kinds)
+
+
+def _runs(batch: pa.RecordBatch, place: int, size: int = 1 << 18):
+    """The batch cut into runs of rows with about ``size`` ids."""
+    lengths = batch.column(place).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for i, n in enumerate(lengths.tolist()):
+        if total and total + n > size:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, and the SHA-256 of the ids (decimal, joined by spaces) and of the bytes that they
-    decode to; the ids of a text are never kept beyond its row. Nulls are empty texts."""
-
-    def work(batch):
-        own = vocabulary(path, pattern)
-        flat, n = _encoded(own, batch.column("text"))
-        ids, back, at = [], [], 0
-        for size in n.tolist():
-            row = flat[at : at + size]
-            at += size
-            ids.append(hashlib.sha256(" ".join(map(str, row)).encode()).hexdigest())
-            back.append(hashlib.sha256(b"".join(map(own.bytes_of.__getitem__, row))).hexdigest())
-        return {"doc_id": batch.column("doc_id"), "n_tokens": n, "ids_sha256": ids, "decoded_sha256": back}
-
-    return over_texts(id_text(docs, key, text), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def _encoded(own: ByteBPE, column: pa.Array) -> tuple[list[int], np.ndarray]:
-    split = own.pre_tokens(column.fill_null("").to_pylist())
-    ids = own.ids(split)
-    rows = [list(chain.from_iterable(map(ids.__getitem__, s))) for s in split]
-    return list(chain.from_iterable(rows)), np.array([len(r) for r in rows], np.int64)
+    decode to: of what ``encode`` gives, and of what ``decode`` makes of it. Nulls are empty texts."""
+    back = decode(encode(docs, path, pattern, key, text), path, pattern, as_text=False)
+    decimal = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
+    )

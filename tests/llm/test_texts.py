@@ -42,6 +42,39 @@ def test_offsets_and_split_characters(docs, library):
     back = bpe.decode(cut, RANKS, PATTERN).first()
     assert bytes(back.bytes) == library.decode_bytes(row.ids[:-1]) and back.text.endswith("�")
     assert bpe.decode(bpe.encode(docs([(2, None)]), RANKS, PATTERN), RANKS, PATTERN).first().text == ""
+    none = bpe.decode(encoded.selectExpr("doc_id", "cast(null as array<int>) as ids", "1 as text"), RANKS, PATTERN).first()
+    assert none.bytes is None and none.text is None
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        bpe.decode(encoded.selectExpr("doc_id", "array(99999) as ids"), RANKS, PATTERN).collect()
+
+
+def test_the_query_encodes_then_decodes(docs, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT", 50)
+    pairs = [(None, "é日x 👩 cut"), (7, "same"), (7, "same"), (8, "other " * 300), *enumerate(f"w{i} é{i}" for i in range(400))]
+    rows = bpe.round_trip(docs(pairs), RANKS, PATTERN)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    assert sorted((r.doc_id or -1, r.decoded_sha256) for r in rows.collect()) == sorted((i or -1, hashlib.sha256(t.encode()).hexdigest()) for i, t in pairs)
+    assert bpe.round_trip(docs([]), RANKS, PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("path", [RANKS, JSON, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")])
+def test_the_byte_table_in_reverse(path):
+    own = bpe.ByteBPE(path, PATTERN)
+    assert all(b"".join([own.bytes_of[i]]) for i in own.bytes_of)
+    for text in ("é", "日", "👩", " \x00\x7f", "ÿ"):
+        assert b"".join(own.bytes_of[i] for i in own.merged(text)).decode() == text
+
+
+def test_whole_table_as_the_libraries(spark, docs, library):
+    docs([])
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in table.collect()}
+    own = Tokenizer.from_file(JSON)
+    for r in bpe.round_trip(table, RANKS, PATTERN).collect():
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+    for r in bpe.token_counts(table, JSON, PATTERN).collect():
+        assert r.n_tokens == len(own.encode(texts[r.doc_id], add_special_tokens=False).ids)
 
 
 def test_token_counts_as_the_library(docs):
@@ -121,18 +154,41 @@ def test_blocks_of_items_change_no_result(docs, spark):
 
 
 def test_all_fingerprints_within_the_radius_are_found():
-    rule = decontaminate.Rule(radius=20, blocks=8)
+    rule = decontaminate.Rule()
     draw = np.random.RandomState(4)
     items = decontaminate.Items(list(range(200)), [" ".join(map(str, draw.randint(0, 999, 20))) for _ in range(200)], rule)
-    some = items.prints[:50].copy()
-    for i in range(50):
-        for bit in draw.choice(64, i % 24, replace=False):
-            some[i] ^= np.uint64(1) << np.uint64(bit)
+    some = items.prints[:80].copy()
+    for i in range(80):
+        for bit in draw.choice(128, i % 40, replace=False).tolist():
+            some[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
     window, item = items.candidates(some, 20)
-    want = {(w, i) for w in range(50) for i in range(200) if bin(int(some[w] ^ items.prints[i])).count("1") <= 20}
+    ones = lambda x: sum(bin(int(v)).count("1") for v in x)
+    want = {(w, i) for w in range(80) for i in range(200) if ones(some[w] ^ items.prints[i]) <= rule.radius}
     assert set(zip(window.tolist(), item.tolist(), strict=True)) == want
 
 
+def test_the_index_leaves_most_items_out():
+    """Of windows and items without anything in common fewer than a fifth are compared at all."""
+    rule = decontaminate.Rule()
+    draw = np.random.RandomState(8)
+    text = lambda: " ".join(map(str, draw.randint(0, 10**6, 30)))
+    items = decontaminate.Items(list(range(300)), [text() for _ in range(300)], rule)
+    others = decontaminate.Items(list(range(300)), [text() for _ in range(300)], rule)
+    window, _ = items.looked_up(others.prints, 30)
+    assert len(window) < 0.2 * 300 * 300
+
+
+def test_recall_on_the_brink_of_similarity():
+    """Windows just similar enough: the radius loses at most one in a hundred of them."""
+    rule = decontaminate.Rule()
+    draw = np.random.RandomState(9)
+    ids = np.array([draw.randint(1, 2**62, 40) for _ in range(2000)]).astype(np.uint64)
+    near = ids.copy()
+    near[:, :4] = draw.randint(1, 2**62, (2000, 4)).astype(np.uint64)  # 36 of 44 in common: 0.818
+    prints = [decontaminate.packed(np.array([decontaminate.signs(row).sum(0) for row in rows])) for rows in (ids, near)]
+    assert (decontaminate.differing(*prints) <= rule.radius).mean() >= 0.99
+
+
 def test_language_profiles(docs, spark):
     from pyspark.sql import functions as F
 
