@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +25,34 @@ def test_toxic_documents_are_found(spark):
     assert n.get((0, True), 0) <= 5 and n[1, True] >= 0.95 * (n[1, True] + n.get((1, False), 0))
 
 
+def test_toxic_documents_held_out_of_the_fit_are_found(spark):
+    """A third of the labelled documents, by their id, is left out of the fit; the others alone are scored."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    seen = remainder("doc_id", 3) != 1
+    scored = toxicity.score(docs.where(~seen), toxicity.fit(docs, labels, seen=seen))
+    rows = scored.join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id").groupBy("label", "toxic").count().collect()
+    n = {(r.label, r.toxic): r["count"] for r in rows}
+    # Some labelled toxic have no word that any other toxic document has: 128 of 144 are found, and 1 of 1,200 others.
+    assert n.get((0, True), 0) <= 3 and n[1, True] >= 0.85 * (n[1, True] + n.get((1, False), 0)) and n[1, True] > 100
+
+
+def test_severity_by_hand(docs):
+    """The cumulative link written out: grades' chances, their sum, and the expected grade."""
+    words = np.sort(np.concatenate([toxicity.terms(pa.array([w]))[0] for w in ("foul", "vile", "nice")]))
+    weights, thresholds = np.array([0.7, -0.4, 1.1]), np.array([0.5, 1.0, 2.5])
+    model = toxicity.Model(words, weights, thresholds)
+    texts = [(1, "foul foul vile x"), (2, "Nice"), (3, None), (4, ""), (5, "nice foul " * 50)]
+    for r in toxicity.score(docs(texts), model).collect():
+        found = Counter(toxicity.terms(pa.array([dict(texts)[r.doc_id] or ""]))[0].tolist())
+        linear = sum(weights[i] * (1 + np.log(found[int(w)])) for i, w in enumerate(words) if int(w) in found)
+        above = [1 / (1 + np.exp(t - linear)) for t in thresholds]
+        chances = -np.diff([1, *above, 0])
+        assert chances.min() >= 0 and chances.sum() == pytest.approx(1)
+        assert r.p_toxic == pytest.approx(above[0]) and r.severity == pytest.approx(sum(g * c for g, c in enumerate(chances)))
+        assert r.toxic == (above[0] >= 0.5)
+
+
 def test_severity_grows_with_toxic_words(docs, spark):
     clean = [(i, f"plain text number {i} of many words") for i in range(200)]
     bad = [(1000 + i, "plain text " + "foul " * (1 + i % 5) + f"word {i}") for i in range(60)]
@@ -44,25 +73,68 @@ def test_quality_of_held_out_documents(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
 
 
-def test_attention_gradient():
+def attention_by_hand(w, x, bags, slots, n):
+    """The score of each bag, passage by passage and without any array work over passages."""
+    out, at, word = [], 0, 0
+    for size in bags:
+        z, a = [], []
+        for j in range(at, at + size):
+            encoded = x[j] @ w["encode"] + w["shift"]
+            for slot in slots[word : word + n[j]]:
+                encoded = encoded + w["word"][slot] / n[j]
+            word += n[j]
+            z.append(np.maximum(encoded, 0))
+            a.append((np.tanh(z[-1] @ w["tanh"]) / (1 + np.exp(-(z[-1] @ w["gate"])))) @ w["attend"])
+        at += size
+        share = np.exp(a) / np.sum(np.exp(a))
+        out.append(1 / (1 + np.exp(-(sum(s * v for s, v in zip(share, z, strict=True)) @ w["score"] + w["bias"][0]))))
+    return out
+
+
+def small_bags():
     random = np.random.RandomState(0)
     h = 4
-    w = {"encode": random.randn(quality.WIDTH, h) * 0.3, "shift": random.randn(h) * 0.1 + 0.5, "tanh": random.randn(h, h), "gate": random.randn(h, h), "attend": random.randn(h), "score": random.randn(h), "bias": np.zeros(1)}
-    x, bags, y = random.randn(7, quality.WIDTH), np.array([3, 1, 3]), np.array([1.0, 0.0, 1.0])
+    w = {"word": random.randn(quality.N_WORDS, h), "encode": random.randn(quality.WIDTH, h) * 0.3, "shift": random.randn(h) * 0.1 + 0.5, "tanh": random.randn(h, h), "gate": random.randn(h, h), "attend": random.randn(h), "score": random.randn(h), "bias": np.zeros(1)}
+    n = np.array([3, 0, 2, 1, 4, 0, 2])
+    return w, (random.randn(7, quality.WIDTH), np.array([3, 1, 3]), random.randint(0, 5, n.sum()).astype(np.int32), n)
+
+
+def test_attention_scores_by_hand():
+    w, given = small_bags()
+    assert np.allclose(quality._forward(w, *given)[-1], attention_by_hand(w, *given))
+
+
+def test_attention_gradient():
+    w, given = small_bags()
+    y = np.array([1.0, 0.0, 1.0])
 
     def loss(w):
-        p = quality._forward(w, x, bags)[-1]
+        p = quality._forward(w, *given)[-1]
         return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + 5e-5 * sum((v**2).sum() for v in w.values())
 
-    gradient = quality._gradient(w, (x, bags, y))
+    gradient = quality._gradient(w, (*given, y))
     for name, value in w.items():
-        at = tuple(0 for _ in value.shape)
+        at = (int(given[2][0]), 0) if name == "word" else tuple(0 for _ in value.shape)
         up, down = {k: v.copy() for k, v in w.items()}, {k: v.copy() for k, v in w.items()}
         up[name][at] += 1e-5
         down[name][at] -= 1e-5
         assert gradient[name][at] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=1e-5)
 
 
+def test_scores_of_the_query_by_hand(docs, spark):
+    """Whole documents through the query's path against passages cut and encoded one by one."""
+    texts = [(i, " ".join(f"w{(i * j) % 97}" for j in range(5 + 40 * i))) for i in range(12)]
+    model = quality.fit(docs(texts), spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int"))
+    got = {r.doc_id: r.score for r in quality.score(docs(texts), model).collect()}
+    for i, text in texts:
+        words = text.split()
+        cut = [" ".join(words[j : j + model.passage]) for j in range(0, len(words), model.passage)]
+        parts = [quality.passages(pa.array([c]), model.passage) for c in cut]
+        x = (quality.passages(pa.array([text]), model.passage)[0] - model.mean) / model.spread
+        slots, n = np.concatenate([p[2] for p in parts]), np.array([len(c.split()) for c in cut])
+        assert got[i] == pytest.approx(attention_by_hand(model.weights, x, [len(cut)], slots, n)[0])
+
+
 def test_quality_of_odd_texts(docs, spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     table = docs([(i, "good words of prose, all fine." if i % 2 else "BAD!! BAD!! BAD!!") for i in range(40)])

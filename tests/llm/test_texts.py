@@ -204,12 +204,54 @@ def test_language_profiles(docs, spark):
 
 
 def test_out_of_place_distance_by_hand(docs):
-    owner, grams, place, counts = language.ranked(["ab ab b"], 400)
-    order = {g: p for g, p in zip(grams.tolist(), place.tolist(), strict=True)}
-    same, far = grams.copy(), grams[::-1].copy()
-    row = language.identify(docs([(1, "ab ab b")]), {"x": same, "y": far}).first()
-    want = sum(abs(order[int(g)] - i) for i, g in enumerate(far))
-    assert row.lang_pred == "x" and row.score == pytest.approx(1.0) and want > 0
+    """Every language and document by the distance written out, over several texts and profiles."""
+    texts = [(1, "ab ab b"), (2, "the quick brown fox and the lazy dog"), (3, "le renard brun et le chien"), (4, "zz zz zz zq"), (5, "Ab bA")]
+    size = 12
+    known = {n: language.ranked([t], size)[1] for n, t in (("x", "ab ab b"), ("y", "the dog and the fox"), ("z", "le chien et le renard"))}
+    for row in language.identify(docs(texts), known, size).collect():
+        _, own, place, _ = language.ranked([dict(texts)[row.doc_id]], size)
+        away = {}
+        for name, profile in known.items():
+            order = {g: i for i, g in enumerate(profile.tolist())}
+            away[name] = sum(min(abs(order[g] - p), size) if g in order else size for g, p in zip(own.tolist(), place.tolist(), strict=True))
+        best = sorted(away, key=lambda n: (away[n], n))
+        assert row.lang_pred == best[0]
+        assert row.score == pytest.approx((away[best[1]] - away[best[0]]) / away[best[1]] if away[best[1]] else 0.0)
+
+
+def test_equally_near_languages_and_odd_tables(docs, spark):
+    from pyspark.sql import functions as F
+
+    profile = language.ranked(["same words"], 20)[1]
+    tied = language.identify(docs([(1, "same words"), (None, "same"), (1, "same words")]), {"b": profile, "a": profile}, 20).collect()
+    assert {(r.lang_pred, r.score) for r in tied} == {("a", 0.0)} and len(tied) == 3
+    assert language.identify(docs([]), {"a": profile}).count() == 0
+    nulls = spark.createDataFrame([(1, "text", None), (None, None, "en"), (2, "other text", "en")], "doc_id long, text string, lang string")
+    assert list(language.profiles(nulls, F.lit(True))) == ["en"]
+
+
+def test_most_frequent_grams_by_counting():
+    from collections import Counter
+
+    text = "Banana band, BAN! été 12 été"
+    grams, place = language.ranked([text], 400)[1:3]
+    words = ["banana", "band", "ban", "été", "été"]
+    counted = Counter()
+    for w in words:
+        for n in (1, 2, 3):
+            counted.update(w[i : i + n] for i in range(len(w) - n + 1))
+    assert len(grams) == len(counted) or len(grams) > len(counted)  # borders of words may count as letters
+    assert place.tolist() == list(range(len(grams)))
+
+
+def test_held_out_documents_of_the_table(spark, docs):
+    """Against the languages the table names, on rows the profiles did not learn from."""
+    from boardwalk.llm.queries import REGISTRY
+
+    docs([])
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    rows = REGISTRY["op4_language"](spark, "/root/testdata/sf0.01").join(table, "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 200 and sum(r.lang == r.lang_pred for r in rows) >= 0.99 * len(rows)
 
 
 def test_rotation_of_odd_turns(spark):
