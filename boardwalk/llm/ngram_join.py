@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardwalk.llm.common import Scratch, bitmap, giving_back, id_text, over_texts, ragged, raw, rows_maybe_in, within
+from boardwalk.llm.common import Scratch, bitmap, giving_back, id_text, over_texts, pieces, ragged, raw, rows_maybe_in, within
 from boardwalk.llm.components import components
 from boardwalk.llm.words import mix, shingle_rows, words
 
@@ -110,8 +110,6 @@ def _counted(docs: DataFrame, rule: Similarity) -> DataFrame:
     """Keys of the counted shingles that at least ``common`` rows hold, with their number; tasks add up their own first."""
 
     def loop(batches):
-        from boardwalk.llm.common import pieces
-
         held, size = [], 0
         for batch in pieces(batches):
             flat, counts = words(*raw(batch.column("text")))
@@ -135,33 +133,38 @@ def _counted(docs: DataFrame, rule: Similarity) -> DataFrame:
     return counted.where(F.col("n") >= rule.common)
 
 
+PARITIES = 1024
+
+
 def _signed(docs: DataFrame, rule: Similarity, common, frequent) -> DataFrame:
-    """Per row: doc_id, n (distinct shingles), two sums that stand for the set, its signatures, and its parities: for
-    each of 256 hash values, whether an odd number of the shingles has it."""
+    """Per row: doc_id, n (distinct shingles), two sums that stand for the set, its signatures, how many of its counted
+    shingles few rows hold, and its parities: for each of ``PARITIES`` hash values, whether an odd number of the shingles has it."""
 
     def work(batch):
         flat, counts = words(*raw(batch.column("text")))
-        found, sizes, sums = [np.zeros(0, np.uint64)], [], np.zeros((3, len(counts)), np.int64)
-        odd = np.zeros((len(counts), 4), np.int64)
+        found, sizes, sums = [np.zeros(0, np.uint64)], [], np.zeros((4, len(counts)), np.int64)
+        odd = np.zeros((len(counts), PARITIES // 64), np.int64)
         for i, row in enumerate(shingle_rows(flat, counts, rule.k)):
             own = [np.zeros(0, np.uint64)]
             if len(row) > rule.lone - 1:
                 own = [signatures(row, level, rule, common.value, frequent.value) for level in rule.levels(len(row))]
+                keys = _keys(row, rule.levels(len(row))[0])
+                sums[3, i] = (~within(common.value, keys[keys < rule.counted(rule.levels(len(row))[0])])).sum()
             found += own
             sizes.append(sum(map(len, own)))
-            odd[i] = np.packbits((np.bincount((row & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
-            sums[:, i] = len(row), row.sum().view(np.int64), mix(row).sum().view(np.int64)
+            odd[i] = np.packbits((np.bincount((row & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64)
+            sums[:3, i] = len(row), row.sum().view(np.int64), mix(row).sum().view(np.int64)
         flat = np.concatenate(found).view(np.int64)
-        ids = batch.column("doc_id")
-        return {"doc_id": ids, "n": sums[0], "f1": sums[1], "f2": sums[2], "signs": ragged(flat, np.array(sizes), pa.int64()), "odd": ragged(odd.ravel(), np.full(len(counts), 4), pa.int64())}
+        parities = ragged(odd.ravel(), np.full(len(counts), PARITIES // 64), pa.int64())
+        return {"doc_id": batch.column("doc_id"), "n": sums[0], "f1": sums[1], "f2": sums[2], "signs": ragged(flat, np.array(sizes), pa.int64()), "rare": sums[3], "odd": parities}
 
-    return over_texts(docs, work, "doc_id long, n long, f1 long, f2 long, signs array<long>, odd array<long>")
+    return over_texts(docs, work, "doc_id long, n long, f1 long, f2 long, signs array<long>, rare long, odd array<long>")
 
 
 def _may_link(rule: Similarity, n: str, odd: str, other_n: str, other_odd: str):
     """False only for sets too different: each shingle of just one of them flips one parity, so as many parities as
     differ, as many shingles at least are not shared; and their sizes bound what they can share."""
-    differ = sum((F.bit_count(F.col(odd)[i].bitwiseXOR(F.col(other_odd)[i])) for i in range(1, 4)), F.bit_count(F.col(odd)[0].bitwiseXOR(F.col(other_odd)[0])))
+    differ = F.aggregate(F.zip_with(odd, other_odd, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     few = differ * (rule.den + rule.num) <= (F.col(n) + F.col(other_n)) * (rule.den - rule.num)
     return few & (F.least(n, other_n) * rule.den >= F.greatest(n, other_n) * rule.num)
 
@@ -179,7 +182,7 @@ def _shared(signed: DataFrame) -> DataFrame:
 
 
 def _signs_in(signed: DataFrame, marks) -> DataFrame:
-    """(sign, doc_id) for the signatures in the bitmap."""
+    """(sign, node) for the signatures in the bitmap."""
 
     def loop(batches):
         for batch in batches:
@@ -187,33 +190,65 @@ def _signs_in(signed: DataFrame, marks) -> DataFrame:
             flat = signs.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(signs)), signs.value_lengths().to_numpy(zero_copy_only=False))
             kept = within(marks.value, flat)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[kept]), batch.column("doc_id").take(pa.array(row[kept]))], ["sign", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[kept]), batch.column("node").take(pa.array(row[kept]))], ["sign", "node"])
 
-    return signed.mapInArrow(giving_back(loop), "sign long, doc_id long")
+    return signed.select("node", "signs").mapInArrow(giving_back(loop), "sign long, node long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rule: Similarity) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose whole texts are similar enough, with shared and union sizes.
+@dataclass(frozen=True)
+class Classes:
+    """``sets``: doc_id, n, f1, f2 of every row. ``classes``: a node for each different set with shingles, with n, f1, f2, the
+    smallest id that has it (class_id) and the number of that id's rows that do (times)."""
 
-    Only texts that a pair names are shuffled: a bitmap of the ids leaves the others out at the scan.
-    """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    texts = rows_maybe_in(docs, "doc_id", bitmap(ids))
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    sets: DataFrame
+    classes: DataFrame
 
-    def loop(batches):
-        from boardwalk.llm.common import pieces
 
+def _classes(signed: DataFrame, scratch: Scratch) -> Classes:
+    sets = scratch.write(signed.select("doc_id", "n", "f1", "f2"), "sets")
+    by_id = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("n", "f1", "f2", "doc_id").agg(F.count(F.lit(1)).alias("times"))
+    least = by_id.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "times")).alias("least"))
+    found = least.select("n", "f1", "f2", F.col("least.doc_id").alias("class_id"), F.col("least.times").alias("times"))
+    return Classes(sets, scratch.write(found.withColumn("node", F.monotonically_increasing_id()), "classes"))
+
+
+def _one_each(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """The signatures of each class once. Only where the class's id has the set in several rows are rows put together."""
+    wanted = classes.select("n", "f1", "f2", F.col("class_id").alias("doc_id"), "times", "node")
+    rows = signed.join(wanted, ["n", "f1", "f2", "doc_id"]).select("node", "n", "signs", "rare", "odd", "times")
+    again = rows.where("times > 1").drop("times").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "signs", "rare", "odd")])
+    return rows.where("times = 1").drop("times").unionByName(again)
+
+
+def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame, rule: Similarity) -> DataFrame:
+    """node and text, one row a node: a bitmap of their ids leaves the other documents out at the scan."""
+    wanted = classes.join(nodes, "node", "leftsemi").select(F.col("class_id").alias("doc_id"), "f1", "node")
+    near = rows_maybe_in(docs, "doc_id", bitmap(wanted.select("doc_id")))
+
+    def work(batch):
+        sums = [int(row.sum().view(np.int64)) for row in shingle_rows(*words(*raw(batch.column("text"))), rule.k)]
+        return {"doc_id": batch.column("doc_id"), "f1": sums, "text": batch.column("text")}
+
+    rows = over_texts(near, work, "doc_id long, f1 long, text string").join(wanted, ["doc_id", "f1"])
+    return rows.groupBy("node").agg(F.first("text").alias("text"))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Similarity) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose whole texts are similar enough, with shared and union sizes."""
+    nodes = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
+    texts = _texts(nodes, classes, docs, rule)
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+
+    def loop(batches):
         seen = (None, None)
         for batch in pieces(batches, "text_b"):
             a, b = batch.column("a"), batch.column("b")
             sets_b = shingle_rows(*words(*raw(batch.column("text_b"))), rule.k)
             kept, common, union = [], [], []
             for i, (x, set_b) in enumerate(zip(a.to_pylist(), sets_b, strict=True)):
-                one = batch.column("text_a").slice(i, 1)
-                if seen[0] != (x, one):
-                    seen = ((x, one), next(shingle_rows(*words(*raw(one)), rule.k)))
+                if seen[0] != x:
+                    seen = (x, next(shingle_rows(*words(*raw(batch.column("text_a").slice(i, 1))), rule.k)))
                 shared = len(np.intersect1d(seen[1], set_b, assume_unique=True))
                 both = len(seen[1]) + len(set_b) - shared
                 if rule.den * shared >= rule.num * both and both:
@@ -223,18 +258,146 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Similarity) -> DataFrame:
             rows = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([a.take(rows), b.take(rows), pa.array(common, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "shared", "union_size"])
 
-    both = pairs.join(right, "b").join(left, "a")
+    both = pairs.select("a", "b").join(right, "b").join(left, "a")
     return both.mapInArrow(giving_back(loop), "a long, b long, shared long, union_size long")
 
 
+BLOCK = 512
+AT_ONCE = 1 << 17
+
+
+def _held_against(members: DataFrame, rule: Similarity, best: bool) -> DataFrame:
+    """(a, b, differ): pairs of members (sign, node, n, odd, component) of one bucket but of different components that may
+    link, with the parities in which they differ; a pair may come from several buckets.
+
+    ``best``: for each member of a block only the pair that differs least. Large buckets fall into blocks of about ``BLOCK``
+    members, and each pair of blocks is held against each other on its own, as arrays: no row is made for a pair that
+    cannot link, and no task gets a whole bucket.
+    """
+    sizes = members.groupBy("sign").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    own = members.join(sizes, "sign").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("sign", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "n", "odd")
+    dealt = dealt.repartition("sign", "low", "high").sortWithinPartitions("sign", "low", "high")
+
+    def pairs_of(rows):
+        """Of complete groups: the pairs that may link, some rows at a time."""
+        key, block, node, component, n, odd = rows
+        new = np.ones(len(node) + 1, bool)
+        new[1:-1] = (key[1:] != key[:-1]).any(axis=1)
+        border = np.flatnonzero(new)
+        end = np.repeat(border[1:], np.diff(border))
+        later = end - np.arange(len(node)) - 1
+        start, total = 0, np.cumsum(later)
+        while start < len(node):
+            stop = max(start + 1, int(np.searchsorted(total, total[start] - later[start] + AT_ONCE, "right")))
+            counts = later[start:stop]
+            x = np.repeat(np.arange(start, stop), counts)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(counts) - counts, counts)
+            small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            good = (component[x] != component[y]) & (small * rule.den >= large * rule.num)
+            good &= (block[x] != block[y]) | (key[x, 1] == key[x, 2])
+            x, y = x[good], y[good]
+            differ = np.zeros(len(x), np.int64)
+            for word in range(odd.shape[1]):
+                differ += np.bitwise_count(odd[x, word] ^ odd[y, word])
+            good = differ * (rule.den + rule.num) <= (n[x] + n[y]) * (rule.den - rule.num)
+            yield node[x[good]], node[y[good]], differ[good]
+            start = stop
+
+    def out(found):
+        a, b, differ = (np.concatenate(c) for c in zip(*found, strict=True))
+        if best and len(a):
+            a, b, differ = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([differ, differ])
+            order = np.lexsort((b, differ, a))
+            a, b, differ = a[order], b[order], differ[order]
+            first = np.ones(len(a), bool)
+            first[1:] = a[1:] != a[:-1]
+            a, b, differ = a[first], b[first], differ[first]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, differ)], ["a", "b", "differ"])
+
+    def columns(batch):
+        key = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("sign", "low", "high")])
+        odd = batch.column("odd").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
+        return key, *[batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "node", "component", "n")], odd
+
+    def loop(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = columns(batch)
+            if held is not None:
+                rows = tuple(np.concatenate(c) for c in zip(held, rows, strict=True))
+            whole = int(np.flatnonzero((rows[0] == rows[0][-1]).all(axis=1))[0])  # the last group may go on
+            if whole:
+                yield out(list(pairs_of([c[:whole] for c in rows])))
+            held = tuple(c[whole:] for c in rows)
+        if held is not None:
+            yield out(list(pairs_of(held)))
+
+    return dealt.mapInArrow(giving_back(loop), "a long, b long, differ long")
+
+
+def _bucketed(docs: DataFrame, rule: Similarity, scratch: Scratch) -> tuple[Classes, DataFrame, DataFrame]:
+    """The classes of the documents, (sign, node) for signatures that several classes hold, and the forms: node, n, rare, odd."""
+    counted = scratch.write(_counted(docs, rule), "counted")
+    common, frequent = bitmap(counted.select("key")), bitmap(counted.where(F.col("n") >= rule.frequent).select("key"))
+    scratch.drop("counted")
+    signed = scratch.write(_signed(docs, rule, common, frequent), "signed")
+    known = _classes(signed, scratch)
+    once = _one_each(signed.where(F.col("n") >= rule.lone), known.classes.where(F.col("n") >= rule.lone))
+    signed = scratch.write(once, "signed-once")
+    scratch.drop("signed")
+    shared = scratch.write(_shared(signed), "shared")
+    rows = scratch.write(_signs_in(signed, bitmap(shared)), "rows")
+    forms = scratch.write(signed.select("node", "n", "rare", "odd"), "forms")
+    scratch.drop("signed-once", "shared")
+    return known, rows, forms
+
+
+def _same_id(known: Classes) -> DataFrame:
+    """Links (a, b) between the different sets of one id."""
+    rows = known.sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).distinct().join(known.classes.select("n", "f1", "f2", "node"), ["n", "f1", "f2"])
+    least = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
+    return rows.join(least, "doc_id").where("a < node").select("a", F.col("node").alias("b"))
+
+
+def similar_pairs(docs: DataFrame, rule: Similarity, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The whole join: every pair of different texts that link, and who has which text.
+
+    First (class_a, class_b, shared, union_size), classes being sets of shingles named by a number, each pair once, then
+    (class, doc_id, n_shingles) for every row with words and an id. Copies are members of one class and make no pairs.
+    The pairs are as many as there are links, so a group of near copies gives the square of its size; components, which do
+    not need them all, come from ``ngram_components``.
+    """
+    docs = id_text(docs, key, text)
+    scratch = Scratch(docs.sparkSession, "similar-pairs")
+    known, rows, forms = _bucketed(docs, rule, scratch)
+    several = rows.groupBy("sign").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sign")
+    members = rows.join(several, "sign").join(forms, "node").withColumn("component", F.col("node"))
+    pairs = _held_against(members, rule, best=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = verified(scratch.write(pairs, "pairs"), known.classes, docs, rule).toDF("class_a", "class_b", "shared", "union_size")
+    owned = known.sets.join(known.classes, ["n", "f1", "f2"]).where("doc_id is not null")
+    return scratch.write(links, "links"), owned.select(F.col("node").alias("class"), "doc_id", F.col("n").alias("n_shingles"))
+
+
+def link_counts(links: DataFrame, members: DataFrame) -> DataFrame:
+    """Of what ``similar_pairs`` returns: per row doc_id, n_shingles, class, and the number of other texts that it links to."""
+    both = links.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
+    return members.join(both, "class", "left").select("doc_id", "n_shingles", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def ngram_components(docs: DataFrame, rule: Similarity, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles (set size), class_id (smallest id with the same set) and component_id
     (smallest id reachable by links).
 
-    Equal sets are one class first, so copies are never paired. Then every bucket of a signature is verified
-    against its smallest member, and a bucket is searched in full only for members that this leaves in another
-    component than the smallest one, so a large group of near copies costs a pair a member and signature.
-    Links between members already known to be connected are not listed.
+    Equal sets are one class first, so copies are never paired. Then every bucket of a signature is verified against the
+    member with the fewest rare shingles, the one most likely to link. What stays apart is held against the members of
+    other components by parities: first each member tries the pair that differs least, and once components have grown by
+    that, every pair that is left is verified. So a large group of near copies costs a few pairs a member, and only texts
+    on the brink of similarity cost more. Links between members already known to be connected are not listed;
+    ``similar_pairs`` lists all.
 
     Null or empty texts and texts without words have n_shingles 0 and are linked with nothing; they and rows without
     an id are their own component. Rows of one id are one document: they are linked if any of their texts is.
@@ -242,61 +405,55 @@ def ngram_components(docs: DataFrame, rule: Similarity, key: str = "doc_id", tex
     """
     docs = id_text(docs, key, text)
     scratch = Scratch(docs.sparkSession, "ngram-join")
-    counted = scratch.write(_counted(docs, rule), "counted")
-    common, frequent = bitmap(counted.select("key")), bitmap(counted.where(F.col("n") >= rule.frequent).select("key"))
-    scratch.drop("counted")
-    signed = scratch.write(_signed(docs, rule, common, frequent), "signed")
-    sets = scratch.write(signed.select("doc_id", "n", "f1", "f2"), "sets")
-    usable = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
-    chosen = classes.where(F.col("n") >= rule.lone).select(F.col("class_id").alias("doc_id")).distinct()
-
-    signed = signed.join(chosen, "doc_id", "leftsemi")
-    forms = scratch.write(signed.groupBy("doc_id").agg(F.first(F.struct("n", "odd")).alias("f")).select("doc_id", "f.n", "f.odd"), "forms")
-    signed = signed.select("doc_id", "signs")
-    shared = scratch.write(_shared(signed), "shared")
-    rows = scratch.write(_signs_in(signed, bitmap(shared)), "rows")
-    scratch.drop("signed", "shared")
-    buckets = rows.groupBy("sign").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("last > hub").select("sign", "hub")
-    members = scratch.write(rows.join(buckets, "sign"), "members")
+    known, rows, forms = _bucketed(docs, rule, scratch)
+    placed = rows.join(forms.select("node", "rare"), "node")
+    hubs = placed.groupBy("sign").agg(F.min(F.struct("rare", "node")).alias("hub"), F.min("node").alias("low"), F.max("node").alias("high"))
+    members = scratch.write(rows.join(hubs.where("low < high").select("sign", F.col("hub.node").alias("hub")), "sign"), "members")
     scratch.drop("rows")
-
-    stars = members.where(F.col("doc_id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = stars.join(forms.select(F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("odd").alias("b_odd")), "b")
-    stars = stars.join(forms.select(F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("odd").alias("a_odd")), "a")
-    stars = scratch.write(stars.where(_may_link(rule, "a_n", "a_odd", "b_n", "b_odd")).select("a", "b"), "stars")
-    links = scratch.write(verified(stars, docs, rule).select("a", "b"), "links")
+    stars = members.where(F.col("node") != F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    stars = stars.join(forms.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("odd").alias("b_odd")), "b")
+    stars = stars.join(forms.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("odd").alias("a_odd")), "a")
+    tried = scratch.write(stars.where(_may_link(rule, "a_n", "a_odd", "b_n", "b_odd")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
+    links = scratch.write(verified(tried, known.classes, docs, rule).select("a", "b").union(_same_id(known)), "links")
     label = scratch.write(components(links, scratch, "first"), "label")
-
-    placed = members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(forms, "doc_id")
-    placed = placed.withColumn("component", F.coalesce("component", "doc_id")).select("sign", "doc_id", "n", "odd", "hub", "component")
-    placed = scratch.write(placed, "placed")
-    split = placed.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("component"))).alias("main"))
-    split = split.where("low < high").select("sign", "main")
-    others = placed.join(split, "sign")
-    outside = others.where("component <> main").select("sign", F.col("doc_id").alias("x"), F.col("n").alias("x_n"), F.col("odd").alias("x_odd"), F.col("component").alias("x_component"))
-    others = others.select("sign", F.col("doc_id").alias("y"), F.col("n").alias("y_n"), F.col("odd").alias("y_odd"), F.col("component").alias("y_component"))
-    apart = outside.join(others, "sign").where((F.col("x_component") != F.col("y_component")) & _may_link(rule, "x_n", "x_odd", "y_n", "y_odd"))
-    apart = apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "leftanti")
-    apart = scratch.write(apart, "apart")
-    more = scratch.write(verified(apart, docs, rule).select("a", "b"), "more")
-    scratch.drop("members", "placed", "apart", "stars", "forms")
-    if not more.isEmpty():
-        label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch, "last")
-    by_class = classes.join(label.withColumnRenamed("node", "class_id"), "class_id", "left")
-    by_class = scratch.write(by_class.withColumn("component_id", F.coalesce("component", "class_id")).drop("component"), "by-class")
-    linked = usable.join(by_class, ["n", "f1", "f2"])
-    alone = sets.where(~(F.col("doc_id").isNotNull() & (F.col("n") > 0)))
+    for turn, best in (("best", True), ("rest", False)):
+        apart = scratch.write(_apart(members, forms, label, tried, rule, best), f"apart-{turn}")
+        if apart.isEmpty():
+            break
+        more = scratch.write(verified(apart, known.classes, docs, rule).select("a", "b"), f"more-{turn}")
+        tried = tried.union(apart)
+        if not more.isEmpty():
+            edges = label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+            label = scratch.write(components(edges, scratch, turn), f"label-{turn}")
+    scratch.drop("members", "forms", "stars", "apart-best", "apart-rest")
+    by_class = known.classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = by_class.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    by_class = scratch.write(by_class.join(least, "component").select("n", "f1", "f2", "class_id", "component_id"), "by-class")
+    usable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    linked = known.sets.where(usable).join(by_class, ["n", "f1", "f2"])
+    alone = known.sets.where(~usable)
     return linked.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id").union(
         alone.select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     )
 
 
+def _apart(members: DataFrame, forms: DataFrame, label: DataFrame, tried: DataFrame, rule: Similarity, best: bool) -> DataFrame:
+    """Pairs (a, b) of one bucket, of different components, that may link and were not tried."""
+    placed = members.select("sign", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = placed.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sign")
+    rows = placed.join(split, "sign").join(forms.select("node", "n", "odd"), "node")
+    pairs = _held_against(rows, rule, best)
+    if best:
+        pairs = pairs.groupBy("a").agg(F.min(F.struct("differ", "b")).alias("first")).select("a", F.col("first.b").alias("b"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.join(tried, ["a", "b"], "leftanti")
+
+
 def one_of_each(docs: DataFrame, rule: Similarity) -> DataFrame:
     """Rows of ``docs``, all columns: of each group of linked documents the one with the smallest id.
 
-    Documents without words and rows without an id stay. Of several rows with one id, one stays (the first by text).
-    Only documents that a bitmap marks as possibly dropped or repeated are shuffled.
+    Documents without words and rows without an id stay. Of several rows with one id, one stays (the first by text, then by
+    the other columns as JSON). Only documents that a bitmap marks as possibly dropped or repeated are shuffled.
     """
     scratch = Scratch(docs.sparkSession, "one-of-each")
     found = scratch.write(ngram_components(docs, rule), "found")
@@ -306,7 +463,8 @@ def one_of_each(docs: DataFrame, rule: Similarity) -> DataFrame:
     marks = bitmap(dropped.union(twice))
     rows = rows_maybe_in(docs, "doc_id", marks).join(dropped, "doc_id", "leftanti").select(docs.columns)
     again = rows_maybe_in(rows, "doc_id", bitmap(twice))
-    least = again.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in ["text", *[c for c in docs.columns if c not in ("doc_id", "text")]]])).alias("row"))
-    least = least.select(*[F.col("doc_id") if c == "doc_id" else F.col("row").getField(c).alias(c) for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = again.groupBy("doc_id").agg(F.min_by(whole, F.struct("text", F.to_json(whole))).alias("row"))
+    least = least.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
     plain = rows_maybe_in(rows, "doc_id", bitmap(twice), inside=False)
     return rows_maybe_in(docs, "doc_id", marks, inside=False).union(plain).union(least)

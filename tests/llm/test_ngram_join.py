@@ -97,3 +97,73 @@ def test_components_of_a_chain_and_a_star(spark, docs):
     found = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()
     want = {i: 0 for i in range(21)} | {i: 100 for i in range(100, 140)}
     assert {r.node: r.component for r in found} == want and len(found) == len(want)
+
+
+def near_copies(n, seed=1, edits=(2, 4), size=200):
+    """Texts of one base with some words changed: only few link, most are on the brink."""
+    draw = random.Random(seed)
+    base = [f"b{i}" for i in range(size)]
+    out = []
+    for i in range(n):
+        row = list(base)
+        for _ in range(draw.randint(*edits)):
+            row[draw.randrange(size)] = f"x{draw.randrange(10**9)}"
+        out.append((i, " ".join(row)))
+    return out
+
+
+def test_near_copies_on_the_brink_equal_all_pairs(docs):
+    for pairs in (near_copies(300), near_copies(120, 2, (1, 6), 60)):
+        rule = ngram_join.Similarity()
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs(pairs), rule).collect()}
+        assert got == brute(pairs, rule)
+
+
+def test_pairs_verified_grow_with_the_members(docs, monkeypatch):
+    sizes = {}
+    plain = ngram_join.verified
+
+    def counting(pairs, *rest):
+        sizes[n] = sizes.get(n, 0) + pairs.count()
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "verified", counting)
+    for n in (300, 1500):
+        ngram_join.ngram_components(docs(near_copies(n)), ngram_join.Similarity()).count()
+    assert sizes[1500] < 10 * sizes[300]
+
+
+def test_all_pairs_and_their_counts(docs):
+    rule = ngram_join.Similarity(3, 80, 100, 2, 4)
+    pairs = corpus(7) + [(None, "a b c d e f g h i j"), (9000, "a b c d e f g h i j")]
+    sets = sets_of([p for p in pairs if p[0] is not None], rule.k)
+    want = {}
+    for x, one in sets.items():
+        others = {frozenset(o) for y, o in sets.items() if o != one and rule.den * len(one & o) >= rule.num * len(one | o) and one & o}
+        want[x] = (len(one), len(others))
+    found = ngram_join.link_counts(*ngram_join.similar_pairs(docs(pairs), rule)).collect()
+    assert {r.doc_id: (r.n_shingles, r.n_links) for r in found} == {x: v for x, v in want.items() if v[0]}
+
+
+def test_ids_with_several_texts_do_not_depend_on_row_order(docs):
+    one = " ".join(f"a{i}" for i in range(100))
+    other = " ".join(f"b{i}" for i in range(150))
+    rows = [(5, one), (5, other), (9, one + " more"), (7, other + " more"), (8, "x y z"), (8, one)]
+    for given in (rows, rows[::-1], rows + rows):
+        found = ngram_join.ngram_components(docs(given), ngram_join.Similarity()).collect()
+        assert {(r.doc_id, r.component_id) for r in found} == {(5, 5), (9, 5), (7, 5), (8, 5)}
+
+
+def test_many_rows_of_one_id_and_text(docs):
+    text = " ".join(f"a{i}" for i in range(100))
+    found = ngram_join.ngram_components(docs([(4, text)] * 500 + [(6, text + " z")] * 300), ngram_join.Similarity()).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(4, 4), (6, 4)} and len(found) == 800
+
+
+def test_one_of_each_with_map_columns(spark, docs):
+    docs([])
+    text = " ".join(map(str, range(40)))
+    rows = [(3, text, {"a": 1}, b"x"), (3, text, {"b": 2}, b"x"), (2, text + " more", None, b"x"), (9, None, {}, None)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>, raw binary")
+    kept = ngram_join.one_of_each(given, ngram_join.Similarity())
+    assert kept.schema == given.schema and sorted(r.doc_id for r in kept.collect()) == [2, 9]
