@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from boardwalk.plans import folds, oracle, products
+from boardwalk.plans import folds, oracle, products, streams
 from boardwalk.plans.queries import REGISTRY
 
-SQL = {**oracle.SQL, **folds.SQL, **products.SQL}
+SQL = {**oracle.SQL, **folds.SQL, **products.SQL, **streams.SQL}
 
 __all__ = ["REGISTRY", "SQL"]

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardwalk.operators import features, moments, walkforward
+from boardwalk.operators import agreement, features, moments, walkforward
 from boardwalk.plans import frames
 from boardwalk.plans.oracle import SEASONS
-from boardwalk.plans.queries import query
+from boardwalk.plans.queries import naive_predictions, query
 from boardwalk.session import materialise
 
 FEATURES = ("lag", "mates", "adp")
@@ -134,3 +134,31 @@ SQL = {
         placed as (select *, row_number() over (partition by test_season, position order by before, decay desc) as best from shown)
         select test_season, position, cast(decay as double) as decay, n_test, round(mse, 6) as mse from placed where best = 1""",
 }
+
+
+@query
+def rank_agreement(spark, folder):
+    """How well the order by last season's points agrees with the season's, per season and segment; whole points, so that
+    there are ties."""
+    predicted = naive_predictions(spark, folder)
+    whole = materialise(predicted.select("season", "position", F.floor("y_hat").alias("before"), F.floor("y").alias("now")))
+    keys = ["season", "position"]
+    tau = agreement.kendall(whole, "before", "now", keys)
+    both = tau.join(agreement.spearman(whole, "before", "now", keys), keys)
+    return both.select(*keys, "n", F.round("tau_b", 9).alias("tau_b"), F.round("spearman", 9).alias("spearman"))
+
+
+SQL["rank_agreement"] = f"""with {SEASONS},
+    w as (select player_id, season, position, floor(y_hat) as p, floor(y) as a from lagged where y_hat is not null),
+    pairs as (
+      select season, position, sign(x.p - z.p) as s, sign(x.a - z.a) as t
+      from w x join w z using (season, position) where x.player_id < z.player_id),
+    tau as (
+      select season, position, sum(s * t) / nullif(sqrt(sum(s * s)) * sqrt(sum(t * t)), 0) as tau_b from pairs group by 1, 2),
+    ranks as (
+      select season, position,
+        rank() over (partition by season, position order by p desc) + (count(*) over (partition by season, position, p) - 1) / 2.0 as r,
+        rank() over (partition by season, position order by a desc) + (count(*) over (partition by season, position, a) - 1) / 2.0 as q
+      from w),
+    rho as (select season, position, count(*) as n, corr(r, q) as spearman from ranks group by 1, 2)
+    select season, position, n, round(tau_b, 9) as tau_b, round(spearman, 9) as spearman from rho left join tau using (season, position)"""

@@ -58,12 +58,15 @@ def write_checked(
         rows.unpersist()
 
 
-def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The rows of all batches written so far; none before the first."""
+def read_batches(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """The rows of all batches written so far, or of those ``before`` one; none before the first."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+    rows = spark.read.schema(schema).parquet(path)
+    if before is not None:
+        rows = rows.filter(F.col("batch") < before)
+    return rows.select(*schema.fieldNames())
 
 
 def start(
