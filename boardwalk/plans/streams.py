@@ -11,7 +11,7 @@ from boardwalk.plans import frames
 from boardwalk.plans.oracle import EMAIL_LIST, EVENTS, PROFILES
 from boardwalk.plans.queries import UPDATED, profile_columns, query
 from boardwalk.session import scratch_path
-from boardwalk.streaming import ingest, windows
+from boardwalk.streaming import ingest, keyed, windows
 
 FILES = 6
 DELAY = "1 day"
@@ -120,3 +120,22 @@ SQL = {
         union all select 'session', cast(user_id as varchar), epoch_us(min(ts)), count(*) from runs group by user_id, run
         union all select 'late', source, epoch_us(day), count(*) from s where late group by 2, 3""",
 }
+
+
+@query
+def stream_plan_state(spark, folder):
+    """``stream_payment`` by state kept per user, over many micro-batches with late and repeated events and a restart, and the
+    number of times each user's plan changed."""
+    target = scratch_path(spark, "plan-state")
+    sent = frames.payment_events(frames.events(spark, folder))
+    in_files(sent, f"{target}/events", F.second("ts") < 10)
+    sent.filter(F.second("ts") < 20).coalesce(1).write.mode("append").parquet(f"{target}/events")
+    profiles = frames.profiles(spark, folder)
+    interrupted(lambda once: keyed.plan_stream(as_stream(spark, sent, f"{target}/events"), profiles, f"{target}/changes", f"{target}/progress", once=once))
+    changes = keyed.changes_of(spark, f"{target}/changes")
+    paid = keyed.profiles_after_changes(profiles, changes, F.lit(UPDATED).cast("timestamp"))
+    known = changes.groupBy(F.col("user_id").alias("id")).agg((F.count(F.lit(1)) <= FILES + 2).alias("few_changes"))
+    return paid.join(known, "id", "left").select(*profile_columns(), F.coalesce("few_changes", F.lit(True)).alias("few_changes"))
+
+
+SQL["stream_plan_state"] = f"select *, true as few_changes from ({PROFILES})"

@@ -41,15 +41,16 @@ def window_stream(windows: DataFrame, path: str, checkpoint: str, once: bool = T
 def late_stream(events: DataFrame, path: str, checkpoint: str, width: str, time: str = "ts", delay: str = "1 day", once: bool = True) -> StreamingQuery:
     """Writes the events whose window of ``width`` had closed before their micro-batch came, as they are.
 
-    The watermark of a batch is the newest time of all batches before it, less the delay; each batch logs its newest time
-    next to the late events, so a replay judges its events by the same batches.
+    As in the windows' own stream, an event of a batch is late by the watermark that the batch before it worked with: the
+    newest time of all batches up to the last but one, less the delay. So both streams have to cut their input alike, as
+    one file a batch does. Each batch logs its newest time next to the late events, so a replay judges by the same batches.
     """
 
     def each_batch(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         rows = rows.persist()
         try:
-            seen = read_batches(spark, f"{path}-seen", SEEN, before=batch)
+            seen = read_batches(spark, f"{path}-seen", SEEN, before=batch - 1)
             newest = seen.agg(F.max("newest")).first()[0]
             closed = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay}")
             write_batch(rows.filter(F.window(time, width).getField("end") <= closed), path, batch)
