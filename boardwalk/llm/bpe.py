@@ -111,7 +111,12 @@ class _Spots(dict):
 
     def __init__(self, own: ByteBPE):
         super().__init__()
-        self.own, self.met = own, []
+        self.own = own
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.met = []
         self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def __missing__(self, text: str) -> int:
@@ -122,7 +127,7 @@ class _Spots(dict):
     def ids(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts one after the other, and how many each has."""
         if len(self) > KEPT:
-            self.__init__(self.own)
+            self.forget()
         self.own.prove_whole_tokens()
         spots = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64)
         if self.met:

@@ -48,8 +48,18 @@ def test_offsets_and_split_characters(docs, library):
         bpe.decode(encoded.selectExpr("doc_id", "array(99999) as ids"), RANKS, PATTERN).collect()
 
 
-def test_the_query_encodes_then_decodes(docs, monkeypatch):
-    monkeypatch.setattr(bpe, "KEPT", 50)
+def test_a_worker_forgets_pre_tokens_beyond_its_bound(library, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT", 20)
+    own = bpe.ByteBPE(RANKS, PATTERN)
+    for i in range(8):
+        texts = [f"unheard{i}x{j} éword{j} the" for j in range(9)] + [""]
+        flat, n = own.spots.ids(own.pre_tokens(texts))
+        want = [library.encode_ordinary(t) for t in texts]
+        assert flat.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want]
+        assert len(own.spots) <= 20 + 3 * 9 * 5
+
+
+def test_the_query_encodes_then_decodes(docs):
     pairs = [(None, "é日x 👩 cut"), (7, "same"), (7, "same"), (8, "other " * 300), *enumerate(f"w{i} é{i}" for i in range(400))]
     rows = bpe.round_trip(docs(pairs), RANKS, PATTERN)
     assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
