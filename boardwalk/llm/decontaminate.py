@@ -128,8 +128,8 @@ class Items:
     def matches(self, flat: np.ndarray, counts: np.ndarray):
         """(row, item, first word, words, differing bits, similarity): for each row and item the most similar window.
 
-        Windows are item-sized, at every word. Only those that hold a shingle of some item are fingerprinted, as
-        the similarity of all others is 0.
+        Windows are item-sized, at every word. Only those that can be similar enough are fingerprinted: they hold a shingle of
+        some item, and no more than their share of different shingles of no item, which weigh as much as any.
         """
         k = self.rule.k
         best: dict[tuple[int, int], tuple] = {}
@@ -140,8 +140,8 @@ class Items:
                 found, runs = shingles(flat, counts, size)
                 row = np.repeat(np.arange(len(counts)), runs)
                 at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
-                by_size[size] = (found, row, np.arange(len(found)) - (np.cumsum(runs) - runs)[row], self.known[at] == found)
-            found, row, spot, known = by_size[size]
+                by_size[size] = (found, row, np.arange(len(found)) - (np.cumsum(runs) - runs)[row], self.known[at] == found, _since(found, row))
+            found, row, spot, known, since = by_size[size]
             if not known.any():
                 continue
             span = length - size + 1
@@ -153,6 +153,9 @@ class Items:
             hit_row = np.zeros(len(found) + 1, np.int64)
             np.cumsum(known, out=hit_row[1:])
             begin = begin[hit_row[begin + span] > hit_row[begin]]
+            lone = np.zeros(len(found) + 1, np.int64)
+            np.cumsum(~known & (since >= span), out=lone[1:])
+            begin = begin[lone[begin + span] - lone[begin] <= (1 - self.rule.similarity) * span + 1e-9]
             for lo in range(0, len(begin), 2048):
                 some = begin[lo : lo + 2048]
                 inside = found[some[:, None] + np.arange(span)]
@@ -171,6 +174,15 @@ class Items:
         return [(r, int(self.ids[i]), *v) for (r, i), v in sorted(best.items())]
 
 
+def _since(found: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each shingle, how many places before it the same one stands in its row; beyond all places if it is the first."""
+    order = np.argsort(found, kind="stable")
+    again = (found[order][1:] == found[order][:-1]) & (row[order][1:] == row[order][:-1])
+    out = np.full(len(found), len(found) + 1, np.int64)
+    out[order[1:][again]] = (order[1:] - order[:-1])[again]
+    return out
+
+
 def over_all(items: DataFrame, rule: Rule) -> tuple[int, np.ndarray, np.ndarray]:
     """How many of the items have words, and the shingles that several of them hold, with how many do."""
 
