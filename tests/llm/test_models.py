@@ -205,7 +205,7 @@ def test_network_gradient():
 def test_the_network_learns_from_all_training_texts(docs):
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
     texts = {i: "red blue " * 40 for i in range(400)} | {held[0]: "red blue " * 30, held[1]: "red " * 30 + "blue " * 30}
-    rule = attention_lm.Rule(steps=0, sample=1, batch=2, share=1, task_words=2000)
+    rule = attention_lm.Rule(steps=0, sample=1, batch=2, task_words=2000)
     rows = {r.doc_id: r.score for r in attention_lm.score(docs(list(texts.items())), remainder("doc_id", 10) != 0, PATH, PATTERN, rule).collect()}
     assert rows[held[0]] > rows[held[1]] + 0.1
 
