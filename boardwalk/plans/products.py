@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from boardwalk import schemas
 from boardwalk.functions import scalars as S
-from boardwalk.operators import metrics, ranking, scarcity
+from boardwalk.operators import metrics, ranking, scarcity, sketches
 from boardwalk.plans import boards, frames
 from boardwalk.plans.oracle import CUST, GAPS, SEASONS
 from boardwalk.plans.queries import MIN_GAP, UPDATED, money_rank, naive_predictions, query, roster_config
@@ -171,3 +171,22 @@ SQL = {
         select asked.id, opened_us, event_id
         from (select distinct cast(user_id as varchar) as id from events) asked left join held on asked.id = held.id""",
 }
+
+
+@query
+def distinct_sketches(spark, folder):
+    """Distinct users per event type and month, exact and whether the stored daily sketches come within four standard errors."""
+    path = f"{scratch_path(spark, 'sketches')}/daily"
+    events = frames.events(spark, folder)
+    sketches.daily_sketches(events, "user_id", ["event_type"]).write.parquet(path)
+    month = F.trunc("day", "month").alias("month")
+    estimated = sketches.distinct_between(spark.read.parquet(path), ["event_type", month])
+    exact = events.groupBy("event_type", F.trunc(F.to_date("ts"), "month").alias("month")).agg(F.count_distinct("user_id").alias("n_users"))
+    bound = 4 * sketches.relative_error() * F.col("n_users") + 1
+    close = (F.abs(F.col("n_estimated") - F.col("n_users")) <= bound).alias("close")
+    return exact.join(estimated, ["event_type", "month"]).select("event_type", F.date_format("month", "yyyy-MM").alias("month"), "n_users", close)
+
+
+SQL["distinct_sketches"] = """
+    select event_type, strftime(ts, '%Y-%m') as month, count(distinct user_id) as n_users, true as close
+    from events group by 1, 2"""
