@@ -13,7 +13,7 @@ from boardwalk.plans import boards, frames
 from boardwalk.plans.oracle import CUST, GAPS, SEASONS
 from boardwalk.plans.queries import MIN_GAP, UPDATED, money_rank, naive_predictions, query, roster_config
 from boardwalk.session import scratch_path
-from boardwalk.sources import readers, sinks
+from boardwalk.sources import buckets, readers, sinks
 
 POSITIONS = {"AUTOMOBILE": "QB", "BUILDING": "RB", "FURNITURE": "WR", "HOUSEHOLD": "TE", "MACHINERY": "K"}
 ARRAY_RECORDS = 1000
@@ -190,3 +190,17 @@ def distinct_sketches(spark, folder):
 SQL["distinct_sketches"] = """
     select event_type, strftime(ts, '%Y-%m') as month, count(distinct user_id) as n_users, true as close
     from events group by 1, 2"""
+
+
+@query
+def keyed_reads(spark, folder):
+    """Every event's user with the profile that a table in buckets has of it."""
+    stored = buckets.store(frames.profiles(spark, folder), f"{scratch_path(spark, 'buckets')}/profiles", 16)
+    users = frames.events(spark, folder).select(F.col("user_id").cast("string").alias("id")).distinct()
+    return buckets.find(users, stored).select("id", "email", "plan", F.unix_micros("created_at").alias("opened_us"))
+
+
+SQL["keyed_reads"] = """
+    select u.id, 'user' || c_custkey || '@example.com' as email, case when c_custkey is not null then 'free' end as plan,
+      case when c_custkey is not null then epoch_us(timestamp '2023-12-31 00:00:00') end as opened_us
+    from (select distinct cast(user_id as varchar) as id from events) u left join customer on u.id = cast(c_custkey as varchar)"""
