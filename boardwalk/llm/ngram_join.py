@@ -263,22 +263,25 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Simila
 
 
 BLOCK = 512
+SHARES = 8
 AT_ONCE = 1 << 17
 
 
 def _held_against(members: DataFrame, rule: Similarity, best: bool) -> DataFrame:
-    """(a, b, differ): pairs of members (sign, node, n, odd, component) of one bucket but of different components that may
-    link, with the parities in which they differ; a pair may come from several buckets.
+    """(a, b, differ): pairs of members (sign, hub, node, n, odd, component) of one bucket but of different components that
+    may link, with the parities in which they differ. Buckets with one hub are dealt to ``SHARES`` tasks (large ones to more,
+    by their blocks), as they hold much the same pairs, and a pair comes once a task.
 
-    ``best``: for each member of a block only the pair that differs least. Large buckets fall into blocks of about ``BLOCK``
+    ``best``: for each member of a task only the pair that differs least. Large buckets fall into blocks of about ``BLOCK``
     members, and each pair of blocks is held against each other on its own, as arrays: no row is made for a pair that
     cannot link, and no task gets a whole bucket.
     """
     sizes = members.groupBy("sign").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     own = members.join(sizes, "sign").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("sign", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "n", "odd")
-    dealt = dealt.repartition("sign", "low", "high").sortWithinPartitions("sign", "low", "high")
+    share = F.pmod(F.xxhash64("sign"), F.lit(SHARES)).alias("share")
+    dealt = dealt.select("hub", share, "sign", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "n", "odd")
+    dealt = dealt.repartition("hub", "share", "low", "high").sortWithinPartitions("sign", "low", "high").drop("hub", "share")
 
     def pairs_of(rows):
         """Of complete groups: the pairs that may link, some rows at a time."""
@@ -305,23 +308,25 @@ def _held_against(members: DataFrame, rule: Similarity, best: bool) -> DataFrame
             yield node[x[good]], node[y[good]], differ[good]
             start = stop
 
-    def out(found):
+    def few(found):
+        """Each pair once, or each member's nearest; a pair comes up in every bucket that it shares."""
         a, b, differ = (np.concatenate(c) for c in zip(*found, strict=True))
-        if best and len(a):
-            a, b, differ = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([differ, differ])
-            order = np.lexsort((b, differ, a))
-            a, b, differ = a[order], b[order], differ[order]
-            first = np.ones(len(a), bool)
-            first[1:] = a[1:] != a[:-1]
-            a, b, differ = a[first], b[first], differ[first]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, differ)], ["a", "b", "differ"])
+        order = np.lexsort((b, differ, a) if best else (b, a))
+        a, b, differ = a[order], b[order], differ[order]
+        first = np.ones(len(a), bool)
+        first[1:] = (a[1:] != a[:-1]) | ((b[1:] != b[:-1]) & (not best))
+        return a[first], b[first], differ[first]
+
+    def out(found):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in few(found)], ["a", "b", "differ"])
 
     def columns(batch):
         key = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("sign", "low", "high")])
         odd = batch.column("odd").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
         return key, *[batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "node", "component", "n")], odd
 
-    def loop(batches):
+    def groups(batches):
+        """Rows of complete groups, as many as a batch brings."""
         held = None
         for batch in batches:
             if not batch.num_rows:
@@ -331,10 +336,25 @@ def _held_against(members: DataFrame, rule: Similarity, best: bool) -> DataFrame
                 rows = tuple(np.concatenate(c) for c in zip(held, rows, strict=True))
             whole = int(np.flatnonzero((rows[0] == rows[0][-1]).all(axis=1))[0])  # the last group may go on
             if whole:
-                yield out(list(pairs_of([c[:whole] for c in rows])))
+                yield [c[:whole] for c in rows]
             held = tuple(c[whole:] for c in rows)
         if held is not None:
-            yield out(list(pairs_of(held)))
+            yield held
+
+    def loop(batches):
+        found, size = [], 0
+        for rows in groups(batches):
+            for a, b, differ in pairs_of(rows):
+                found += [(a, b, differ), (b, a, differ)] if best else [(np.minimum(a, b), np.maximum(a, b), differ)]
+                size += len(a)
+            if size > AT_ONCE:
+                found = [few(found)]
+                size = 0
+                if len(found[0][0]) > 16 * AT_ONCE:
+                    yield out(found)
+                    found = []
+        if found:
+            yield out(found)
 
     return dealt.mapInArrow(giving_back(loop), "a long, b long, differ long")
 
@@ -374,8 +394,8 @@ def similar_pairs(docs: DataFrame, rule: Similarity, key: str = "doc_id", text:
     docs = id_text(docs, key, text)
     scratch = Scratch(docs.sparkSession, "similar-pairs")
     known, rows, forms = _bucketed(docs, rule, scratch)
-    several = rows.groupBy("sign").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sign")
-    members = rows.join(several, "sign").join(forms, "node").withColumn("component", F.col("node"))
+    several = rows.groupBy("sign").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    members = rows.join(several.select("sign", F.col("low").alias("hub")), "sign").join(forms, "node").withColumn("component", F.col("node"))
     pairs = _held_against(members, rule, best=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = verified(scratch.write(pairs, "pairs"), known.classes, docs, rule).toDF("class_a", "class_b", "shared", "union_size")
     owned = known.sets.join(known.classes, ["n", "f1", "f2"]).where("doc_id is not null")
@@ -422,9 +442,7 @@ def ngram_components(docs: DataFrame, rule: Similarity, key: str = "doc_id", tex
             break
         more = scratch.write(verified(apart, known.classes, docs, rule).select("a", "b"), f"more-{turn}")
         tried = tried.union(apart)
-        if not more.isEmpty():
-            edges = label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-            label = scratch.write(components(edges, scratch, turn), f"label-{turn}")
+        label = _joined(label, more, scratch, turn)
     scratch.drop("members", "forms", "stars", "apart-best", "apart-rest")
     by_class = known.classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = by_class.groupBy("component").agg(F.min("class_id").alias("component_id"))
@@ -437,9 +455,23 @@ def ngram_components(docs: DataFrame, rule: Similarity, key: str = "doc_id", tex
     )
 
 
+def _joined(label: DataFrame, more: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The components after more links: only components that a link joins are looked at."""
+    own = label.select("node", "component")
+    ends = [own.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")) for end in ("a", "b")]
+    edges = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    edges = scratch.write(edges.where("a <> b").distinct(), f"edges-{name}")
+    if edges.isEmpty():
+        return label
+    moved = components(edges, scratch, name).withColumnRenamed("component", "to")
+    known = own.join(moved.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    alone = moved.join(own, "node", "leftanti").join(own.select(F.col("component").alias("node")), "node", "leftanti").select("node", F.col("to").alias("component"))
+    return scratch.write(known.union(alone), f"label-{name}")
+
+
 def _apart(members: DataFrame, forms: DataFrame, label: DataFrame, tried: DataFrame, rule: Similarity, best: bool) -> DataFrame:
     """Pairs (a, b) of one bucket, of different components, that may link and were not tried."""
-    placed = members.select("sign", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = members.select("sign", "hub", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sign")
     rows = placed.join(split, "sign").join(forms.select("node", "n", "odd"), "node")
     pairs = _held_against(rows, rule, best)
