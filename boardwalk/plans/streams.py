@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boardwalk.plans import frames
 from boardwalk.plans.oracle import EMAIL_LIST, EVENTS, PROFILES
@@ -14,22 +15,36 @@ from boardwalk.session import scratch_path
 from boardwalk.streaming import ingest, keyed, windows
 
 FILES = 6
+FILE_ROWS = 1 << 19
 DELAY = "1 day"
 
 
-def in_files(rows: DataFrame, path: str, late=None) -> None:
-    """The rows as ``FILES`` files of rising time, written one after the other, those of ``late`` in a last one."""
+def in_files(rows: DataFrame, path: str, late=None, more: tuple[DataFrame, ...] = (), file_rows: int = FILE_ROWS) -> int:
+    """The rows as ``FILES`` parts of rising time, written one after the other, those of ``late`` in a last one, then ``more``.
+
+    Gives the number of files a part, the same for all: as many as keep a file at about ``file_rows`` rows.
+    """
+    spark, schema = rows.sparkSession, rows.schema
     late = F.lit(False) if late is None else late
     bounds = rows.agg(F.min("ts"), F.max("ts")).first()
     share = F.try_divide(F.unix_micros("ts") - F.unix_micros(F.lit(bounds[0])), F.unix_micros(F.lit(bounds[1])) - F.unix_micros(F.lit(bounds[0])))
     part = F.when(late, FILES).otherwise(F.least(F.floor(F.coalesce(share, F.lit(0.0)) * FILES), F.lit(FILES - 1)))
-    for i in range(FILES + 1):
-        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    parts = [rows.withColumn("part", part.cast("int")), *(m.withColumn("part", F.lit(FILES + 1 + i)) for i, m in enumerate(more))]
+    reduce(DataFrame.unionByName, parts).write.partitionBy("part").parquet(f"{path}-parts")
+    staged = spark.read.schema(T.StructType([*schema.fields, T.StructField("part", T.IntegerType())])).parquet(f"{path}-parts")
+    largest = staged.groupBy("part").count().agg(F.max("count")).first()[0] or 0
+    files = max(1, -(-largest // file_rows))
+    for i in range(FILES + 1 + len(more)):
+        staged.filter(F.col("part") == i).drop("part").repartition(files).write.mode("append").parquet(path)
+        # Parts of few rows leave files out; without them a micro-batch would reach into the next part.
+        while len(spark.read.schema(schema).parquet(path).inputFiles()) < files * (i + 1):
+            spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(path)
+    return files
 
 
-def as_stream(spark, rows: DataFrame, path: str) -> DataFrame:
-    """The files as a stream that takes one a micro-batch, in the order in which they were written."""
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def as_stream(spark, rows: DataFrame, path: str, files: int) -> DataFrame:
+    """The files as a stream that takes one part of them a micro-batch, in the order in which they were written."""
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def interrupted(run) -> None:
@@ -48,13 +63,12 @@ def stream_windows(spark, folder):
     events = frames.events(spark, folder).select("ts", "user_id", "event_type", "k", frames.source_of("k").alias("source"))
     newest = events.agg(F.max("ts")).first()[0]
     late = (F.col("event_type") == "signup") & (F.col("k") < 5) & (F.col("ts") < F.lit(newest) - F.expr("INTERVAL 10 DAYS"))
-    in_files(events, f"{target}/events", late)
     # An event far ahead lets the last windows close; it belongs to no kind that is counted.
     ahead = events.limit(1).withColumns({"ts": F.lit(newest) + F.expr("INTERVAL 900 DAYS"), "event_type": F.lit("end")})
-    ahead.coalesce(1).write.mode("append").parquet(f"{target}/events")
+    files = in_files(events, f"{target}/events", late, (ahead,))
 
     def stream(*kinds: str) -> DataFrame:
-        return as_stream(spark, events, f"{target}/events").withColumn("kind", F.when(F.col("event_type").isin(*kinds), "counted").otherwise("other"))
+        return as_stream(spark, events, f"{target}/events", files).withColumn("kind", F.when(F.col("event_type").isin(*kinds), "counted").otherwise("other"))
 
     views = stream("view").withColumn("source", F.col("user_id").cast("string"))
     made = {
@@ -81,9 +95,8 @@ def stream_payment_batches(spark, folder):
     twice, at the end."""
     target = scratch_path(spark, "payment-batches")
     sent = frames.payment_events(frames.events(spark, folder))
-    in_files(sent, f"{target}/events")
-    sent.filter(F.second("ts") < 20).coalesce(1).write.mode("append").parquet(f"{target}/events")
-    interrupted(lambda once: ingest.payment_stream(as_stream(spark, sent, f"{target}/events"), f"{target}/log", f"{target}/progress", once=once))
+    files = in_files(sent, f"{target}/events", more=(sent.filter(F.second("ts") < 20),))
+    interrupted(lambda once: ingest.payment_stream(as_stream(spark, sent, f"{target}/events", files), f"{target}/log", f"{target}/progress", once=once))
     paid = ingest.profiles_after_payments(frames.profiles(spark, folder), f"{target}/log", F.lit(UPDATED).cast("timestamp"))
     return paid.select(*profile_columns())
 
@@ -94,8 +107,8 @@ def stream_signup_batches(spark, folder):
     target = scratch_path(spark, "signup-batches")
     sent = frames.signups(frames.events(spark, folder))
     backwards = F.col("ts").isNotNull() & (F.dayofmonth("ts") <= 10)
-    in_files(sent, f"{target}/events", backwards)
-    interrupted(lambda once: ingest.signup_stream(as_stream(spark, sent, f"{target}/events"), f"{target}/log", f"{target}/rejected", f"{target}/progress", once=once))
+    files = in_files(sent, f"{target}/events", backwards)
+    interrupted(lambda once: ingest.signup_stream(as_stream(spark, sent, f"{target}/events", files), f"{target}/log", f"{target}/rejected", f"{target}/progress", once=once))
     listed = ingest.email_list(spark, f"{target}/log")
     return listed.select("email", "source", F.unix_micros("created_at").alias("created_us"))
 
@@ -128,10 +141,9 @@ def stream_plan_state(spark, folder):
     number of times each user's plan changed."""
     target = scratch_path(spark, "plan-state")
     sent = frames.payment_events(frames.events(spark, folder))
-    in_files(sent, f"{target}/events", F.second("ts") < 10)
-    sent.filter(F.second("ts") < 20).coalesce(1).write.mode("append").parquet(f"{target}/events")
+    files = in_files(sent, f"{target}/events", F.second("ts") < 10, (sent.filter(F.second("ts") < 20),))
     profiles = frames.profiles(spark, folder)
-    interrupted(lambda once: keyed.plan_stream(as_stream(spark, sent, f"{target}/events"), profiles, f"{target}/changes", f"{target}/progress", once=once))
+    interrupted(lambda once: keyed.plan_stream(as_stream(spark, sent, f"{target}/events", files), profiles, f"{target}/changes", f"{target}/progress", once=once))
     changes = keyed.changes_of(spark, f"{target}/changes")
     paid = keyed.profiles_after_changes(profiles, changes, F.lit(UPDATED).cast("timestamp"))
     known = changes.groupBy(F.col("user_id").alias("id")).agg((F.count(F.lit(1)) <= FILES + 2).alias("few_changes"))

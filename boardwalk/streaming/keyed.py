@@ -2,7 +2,8 @@
 
 The latest payment of a user stays in keyed state, filled at the start from the stored profiles. A repeated event, or one
 older than what the state holds, changes nothing. With ``expire`` a plan ends that long after its payment in event time,
-by a timer; the state then goes too.
+by a timer; the state then goes too. Every call of a key to the store costs the same whatever the key holds, so users are
+dealt by hash to groups, and a key of the store holds the state of a whole group.
 """
 
 from __future__ import annotations
@@ -27,12 +28,18 @@ _TEXT = T.StringType()
 CHANGES = T.StructType(
     [T.StructField(c, T.LongType() if c == "paid_us" else _TEXT) for c in ("user_id", "plan", "plan_type", "season", "paid_us", "event_id")]
 )
-KEPT = "paid_us bigint, event_id string"
+KEPT = "users array<string>, paid_us array<bigint>, event_ids array<string>, timer bigint"
 STORED = "\U0010ffff"  # sorts after every event: of equal times the stored payment stays
+GROUPS = 256
+
+
+def _place(paid_us: int, event_id: str | None) -> tuple:
+    """Sorts payments by time, then by id; one without an id comes first."""
+    return paid_us, event_id is not None, event_id
 
 
 class PlanState(StatefulProcessor):
-    """``expire`` in microseconds, or None."""
+    """The state of a group of users. ``expire`` in microseconds, or None."""
 
     def __init__(self, expire: int | None):
         self.expire = expire
@@ -42,38 +49,63 @@ class PlanState(StatefulProcessor):
         self.latest = handle.getValueState("latest", KEPT)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        if not pd.isna(initialState["paid_us"].iloc[0]):
-            self._keep(int(initialState["paid_us"].iloc[0]), STORED)
+        held, timer = self._held()
+        rows = initialState[initialState["paid_us"].notna()]
+        for user, paid_us in zip(rows["user_id"], rows["paid_us"], strict=True):
+            if user not in held or int(paid_us) > held[user][0]:
+                held[user] = (int(paid_us), STORED)
+        if len(rows):
+            self._keep(held, timer)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = None
+        best: dict[str, tuple] = {}
         for part in rows:
-            own = part.sort_values(["paid_us", "event_id"]).iloc[-1]
-            if best is None or (own["paid_us"], own["event_id"]) > (best["paid_us"], best["event_id"]):
-                best = own
-        held = self.latest.get() if self.latest.exists() else None
-        if best is not None and (held is None or (int(best["paid_us"]), best["event_id"]) > tuple(held)):
-            self._keep(int(best["paid_us"]), best["event_id"])
-            yield self._row(key, merge.PAID, best["plan_type"], best["season"], int(best["paid_us"]), best["event_id"])
+            for user, *own in zip(*(part[c].tolist() for c in ("user_id", "paid_us", "event_id", "plan_type", "season")), strict=True):
+                if user not in best or _place(*own[:2]) > _place(*best[user][:2]):
+                    best[user] = own
+        held, timer = self._held()
+        changed = {u: own for u, own in best.items() if u not in held or _place(*own[:2]) > _place(*held[u])}
+        if changed:
+            self._keep(held | {u: (int(paid_us), event_id) for u, (paid_us, event_id, _, _) in changed.items()}, timer)
+            yield self._rows((u, merge.PAID, kind, season, int(paid_us), event_id) for u, (paid_us, event_id, kind, season) in changed.items())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.latest.get() if self.latest.exists() else None
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        if held is not None and -(-(held[0] + self.expire) // 1000) <= due:
+        held, timer = self._held()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        ended = {u: own for u, own in held.items() if self._due(own[0]) <= now}
+        left = {u: own for u, own in held.items() if u not in ended}
+        if left:
+            self._keep(left, None if timer is None or timer <= now else timer)
+        else:
             self.latest.clear()
-            yield self._row(key, merge.FREE, None, None, due * 1000, held[1])
+        if ended:
+            yield self._rows((u, merge.FREE, None, None, self._due(paid_us) * 1000, event_id) for u, (paid_us, event_id) in ended.items())
 
     def close(self) -> None:
         pass
 
-    def _keep(self, paid_us: int, event_id: str) -> None:
-        self.latest.update((paid_us, event_id))
+    def _held(self) -> tuple[dict, int | None]:
+        """The latest payment of each user of the group, and when its next timer is due."""
+        if not self.latest.exists():
+            return {}, None
+        users, paid_us, event_ids, timer = self.latest.get()
+        return dict(zip(users, zip(paid_us, event_ids, strict=True), strict=True)), timer
+
+    def _due(self, paid_us: int) -> int:
+        return -(-(paid_us + self.expire) // 1000)
+
+    def _keep(self, held: dict, timer: int | None) -> None:
+        """A group waits for the first of its plans to end; when the timer fires, it waits for the next."""
         if self.expire is not None:
-            self.handle.registerTimer(-(-(paid_us + self.expire) // 1000))
+            first = min(self._due(paid_us) for paid_us, _ in held.values())
+            if timer is None or first < timer:
+                self.handle.registerTimer(first)
+                timer = first
+        self.latest.update((list(held), [p for p, _ in held.values()], [e for _, e in held.values()], timer))
 
     @staticmethod
-    def _row(key, *values) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *values)], columns=CHANGES.names)
+    def _rows(values) -> pd.DataFrame:
+        return pd.DataFrame(list(values), columns=CHANGES.names)
 
 
 @contextmanager
@@ -91,20 +123,32 @@ def _rocks(spark: SparkSession):
 
 
 def plan_stream(
-    events: DataFrame, profiles: DataFrame, path: str, checkpoint: str, expire: timedelta | None = None, delay: str = "7 days", once: bool = True
+    events: DataFrame,
+    profiles: DataFrame,
+    path: str,
+    checkpoint: str,
+    expire: timedelta | None = None,
+    delay: str = "7 days",
+    once: bool = True,
+    groups: int = GROUPS,
 ) -> StreamingQuery:
     """Writes the changes of plans that the completed payments of an event stream make, batch by batch.
 
     Payments of an unknown plan type are passed over. Without ``expire`` no payment is too late to count; with it, events
-    later than ``delay`` are dropped, as their timers may have fired. Without a user id a payment belongs to nobody.
+    later than ``delay`` are dropped, as their timers may have fired. Without a user id a payment belongs to nobody, and
+    without a time it is later than none. A batch reads and writes the state of the groups its payments fall in, so tables
+    of many millions of users call for more ``groups``; a checkpoint holds for one number of them.
     """
-    payments = rules.check(merge.completed_payments(events), rules.PAYMENT_RULES).filter(F.col("reject_reason").isNull() & F.col("user_id").isNotNull())
+    payments = rules.check(merge.completed_payments(events), rules.PAYMENT_RULES)
+    payments = payments.filter(F.col("reject_reason").isNull() & F.col("user_id").isNotNull() & F.col("ts").isNotNull())
     if expire is not None:
         payments = payments.withWatermark("ts", delay)
-    keyed = payments.select("user_id", "ts", F.unix_micros("ts").alias("paid_us"), "event_id", "season", "plan_type").groupBy("user_id")
+    place = F.pmod(F.xxhash64("user_id"), F.lit(groups)).alias("place")
+    keyed = payments.select(place, "user_id", "ts", F.unix_micros("ts").alias("paid_us"), "event_id", "season", "plan_type").groupBy("place")
     stored = profiles.select(F.col("id").alias("user_id"), F.unix_micros("paid_at").alias("paid_us")).filter(F.col("paid_us").isNotNull())
     span = None if expire is None else int(expire.total_seconds() * 1_000_000)
-    changes = keyed.transformWithStateInPandas(PlanState(span), CHANGES, "Append", "None" if span is None else "EventTime", stored.groupBy("user_id"))
+    stored = stored.select(place, "user_id", "paid_us").groupBy("place")
+    changes = keyed.transformWithStateInPandas(PlanState(span), CHANGES, "Append", "None" if span is None else "EventTime", stored)
     with _rocks(events.sparkSession):
         return start(changes, lambda rows, batch: write_batch(rows, path, batch), checkpoint, once)
 

@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 from boardwalk import schemas
+from boardwalk.plans import streams
 from boardwalk.streaming import keyed, windows
 from boardwalk.streaming.ingest import read_batches
 from pyspark.sql import functions as F
@@ -56,6 +57,47 @@ def test_a_plan_ends_when_event_time_passes_it(spark, tmp_path):
     assert after == {"a": "free", "b": "free", "c": "free"}
 
 
+def test_users_of_one_group_keep_their_own_state(spark, tmp_path):
+    batches = [
+        [payment("1", 1, "a"), payment("2", 3, "c"), payment("3", 3, "c", "draft"), payment(None, 2, "n"), ("x", None, *payment("x", 1, "a")[2:])],
+        [payment("4", 8, "c"), payment(None, 2, "n"), payment("5", 2, "n", "draft")],
+        [payment("6", 14, "d")], [payment("7", 60, "e")], [payment("8", 61, "e")],
+    ]
+    got = {}
+    for groups in (1, 7, keyed.GROUPS):
+        events, target = files(spark, f"{tmp_path}/{groups}/events", batches, schemas.PAYMENT_EVENTS), f"{tmp_path}/{groups}"
+        keyed.plan_stream(events, profiles_of(spark), f"{target}/changes", f"{target}/progress", expire=timedelta(days=10), delay="1 day", groups=groups).awaitTermination()
+        got[groups] = sorted((r.user_id, r.paid_us, r.plan, r.plan_type, r.event_id) for r in keyed.changes_of(spark, f"{target}/changes").collect() if r.event_id != keyed.STORED)
+    at = lambda n: int((DAY + timedelta(days=n)).timestamp()) * 1_000_000
+    assert got[1] == got[7] == got[keyed.GROUPS] == [
+        ("a", at(1), "paid", "season", "1"), ("a", at(11), "free", None, "1"),
+        ("c", at(3), "paid", "draft", "3"), ("c", at(8), "paid", "season", "4"), ("c", at(18), "free", None, "4"),
+        ("d", at(14), "paid", "season", "6"), ("d", at(24), "free", None, "6"),
+        ("e", at(60), "paid", "season", "7"), ("e", at(61), "paid", "season", "8"),
+        ("n", at(2), "paid", "draft", "5"), ("n", at(2), "paid", "season", None), ("n", at(12), "free", None, "5"),
+    ]
+
+
+def test_the_store_holds_groups_however_many_users(spark, tmp_path):
+    """A user of its own in the store costs calls of its own in every batch."""
+    events = files(spark, f"{tmp_path}/events", [[payment(str(i), 1, f"u{i}") for i in range(3000)]], schemas.PAYMENT_EVENTS)
+    query = keyed.plan_stream(events, profiles_of(spark), f"{tmp_path}/changes", f"{tmp_path}/progress")
+    query.awaitTermination()
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= keyed.GROUPS
+    assert keyed.changes_of(spark, f"{tmp_path}/changes").count() == 3000
+
+
+def test_parts_of_a_stream_are_micro_batches_of_several_files(spark, tmp_path):
+    rows = spark.range(4000).select((F.lit(DAY) + F.make_dt_interval(F.col("id") % 60)).alias("ts"), "id")
+    late, more = F.col("id") == 7, rows.filter(F.col("id") < 2)
+    n = streams.in_files(rows, f"{tmp_path}/events", late, (more,), file_rows=300)
+    assert n == 3
+    stream, seen = streams.as_stream(spark, rows, f"{tmp_path}/events", n), {}
+    stream.writeStream.foreachBatch(lambda b, i: seen.update({i: sorted(r.id for r in b.collect())})).option("checkpointLocation", f"{tmp_path}/p").trigger(availableNow=True).start().awaitTermination()
+    part = lambda i: min(i % 60 * 6 // 59, 5)
+    assert seen == {k: [i for i in range(4000) if i != 7 and part(i) == k] for k in range(6)} | {6: [7], 7: [0, 1]}
+
+
 def test_late_events_go_to_the_side_log(spark, tmp_path):
     schema = "ts timestamp, source string"
     at = lambda *days: [(DAY + timedelta(days=d), "s") for d in days]
