@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -284,3 +285,20 @@ def test_every_row_of_the_table_is_there(spark, name):
         assert got.count() == spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").count()
     else:
         assert got.count() > 0
+
+
+def test_class_shares_of_a_batch_are_never_held_at_once():
+    """The softmax goes by rows that fit the cache; the gradients are those of the whole batch, padding left out."""
+    random = np.random.RandomState(4)
+    w = {"out": random.randn(16, 256).astype(np.float32), "bias": random.randn(256).astype(np.float32)}
+    f, target, counted = random.randn(96, 64, 16).astype(np.float32), random.randint(0, 256, (96, 64)), random.rand(96, 64) < 0.9
+    tracemalloc.start()
+    out, df = attention_lm.Network.head(w, f, target, counted)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < f.shape[0] * f.shape[1] * 256 * 4
+    z = f.astype(np.float64) @ w["out"] + w["bias"]
+    p = np.exp(z - z.max(2, keepdims=True))
+    p = (p / p.sum(2, keepdims=True) - np.eye(256)[target]) * counted[:, :, None] / counted.sum()
+    assert np.allclose(df, p @ w["out"].T, atol=1e-6) and np.allclose(out["bias"], p.sum((0, 1)), atol=1e-6)
+    assert np.allclose(out["out"], np.einsum("nld,nlk->dk", f, p), atol=1e-6)
