@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from boardwalk.llm import attention_lm, quality, toxicity
+from boardwalk.llm import attention_lm, fit, quality, toxicity
 from boardwalk.llm.common import remainder
 from boardwalk.llm.queries import REGISTRY
 
@@ -302,3 +302,55 @@ def test_class_shares_of_a_batch_are_never_held_at_once():
     p = (p / p.sum(2, keepdims=True) - np.eye(256)[target]) * counted[:, :, None] / counted.sum()
     assert np.allclose(df, p @ w["out"].T, atol=1e-6) and np.allclose(out["bias"], p.sum((0, 1)), atol=1e-6)
     assert np.allclose(out["out"], np.einsum("nld,nlk->dk", f, p), atol=1e-6)
+
+
+def test_a_step_holds_and_moves_only_what_its_batch_touches():
+    rule = attention_lm.Rule(window=8, fresh=5, width=4, inner=6)
+    counts = np.arange(5000, 0, -1.0)
+    layout = attention_lm.Layout(counts, rule)
+    net = attention_lm.Subwords(attention_lm.Subwords.begin(counts, layout, rule), layout, rule)
+    batch = net.windows(np.array([3, 4000, 3, 70, 4900, 1]), np.array([2, 4]))[:3]
+    part, full = attention_lm.Subwords.touched(net.w, batch, layout), attention_lm.Subwords.slope(net.w, batch, rule, layout)
+    assert {k for k, g in part.items() if isinstance(g, fit.Rows)} == {"token", "leaf", "leaf_bias"}
+    assert set(part["token"].at) == set(np.unique(batch[0])) and len(part["leaf"].at) == 2 * layout.size
+    for name, g in full.items():
+        assert g.shape == net.w[name].shape and np.array_equal(fit.whole(part[name], net.w[name]), g)
+    before = {k: v.copy() for k, v in net.w.items()}
+    moved = fit.adam(net.w, lambda w, b: attention_lm.Subwords.touched(w, b, layout), iter([batch, net.windows(np.array([9, 8]), np.array([2]))[:3]]), 0.01)
+    assert all(np.array_equal(net.w[k], before[k]) for k in before)
+    one = fit.adam(net.w, lambda w, b: attention_lm.Subwords.touched(w, b, layout), iter([batch]), 0.01)
+    assert np.array_equal(moved["token"][70], one["token"][70]) and not np.array_equal(one["token"][70], before["token"][70])
+
+
+def test_context_alone_gets_no_state_and_masks_no_block():
+    """Positions that are context only are neither queries nor outputs; the others are as when all are computed."""
+    rule = attention_lm.Rule(classes=6, window=50, fresh=29, width=4, inner=6)
+    net = attention_lm.Network(attention_lm.Network.start(np.full(6, 1 / 6), rule), rule)
+    ids, _, _, _ = net.windows(np.random.RandomState(6).randint(0, 6, 170), np.array([1, 33, 136]))
+    every, late = attention_lm.Network.forward(net.w, ids, 7), attention_lm.Network.forward(net.w, ids, 7, 21)
+    assert late[-1].shape == (len(ids), 29, 4) and np.allclose(every[-1][:, 21:], late[-1], atol=1e-6)
+    assert max(part.shape[2] for part in late[4]) == 50 and late[4][0].shape[2] < 50
+
+
+def test_a_text_is_cut_into_ids_once_and_kept_as_the_vocabulary_has_them(docs, monkeypatch):
+    texts = {1: "The cat, the CAT's hat", 2: None, 3: "", 4: "É naïve 東京 x" * 30}
+    end = attention_lm._end(PATH, PATTERN)
+    rows = attention_lm._cut(docs(list(texts.items())), F.col("doc_id") != 4, PATH, PATTERN).collect()
+    own = attention_lm.vocabulary(PATH, PATTERN)
+    ids_of = lambda word: [x for part in own.pattern.findall(" " + word) for x in own.merged(part)]
+    for r in rows:
+        flat, counts = attention_lm._symbols(pa.array([r.symbols], pa.binary()), end)
+        assert flat.tolist() == [x for w in words_of(texts[r.doc_id])[:-1] for x in ids_of(w)] + [end] and counts.tolist() == [len(flat)]
+        assert r.learn == (r.doc_id != 4) and r.text == texts[r.doc_id] and len(r.symbols) == 2 * len(flat)
+    monkeypatch.setattr(attention_lm, "IDS_KEPT", 3)
+    for text in ("a bb ccc", "ccc dddd a", "eeeee é a bb"):
+        _, kinds, back, flat, sizes = attention_lm.tokens(pa.array([text]), PATH, PATTERN)
+        cut = np.split(flat, np.cumsum(sizes)[:-1])
+        assert [x for i in back for x in cut[i]] == [x for w in text.split() for x in ids_of(w)]
+
+
+def test_logits_too_large_for_a_plain_exponential_lose_nothing():
+    w = {"out": np.eye(4, dtype=np.float32) * 300, "bias": np.zeros(4, np.float32)}
+    out, df = attention_lm.Network.head(w, np.eye(4, dtype=np.float32)[None], np.array([[0, 1, 2, 0]]), np.ones((1, 4), bool))
+    assert np.isfinite(df).all() and np.allclose(out["bias"], [-0.25, 0, 0, 0.25], atol=1e-6)
+    assert np.allclose(attention_lm.Subwords._own(np.eye(4, dtype=np.float32), w["out"], w["bias"], np.array([0, 1, 2, 0])), [0, 0, 0, -300])
